@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: The complement of the word class `[^\x20\x09-\x0D]`, as a regular expression.
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -64,6 +66,7 @@ atexit.register(_at_exit)
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id (any type) and the text (null: empty) of docs, as `doc_id` and `text`."""
+    ship(docs.sparkSession)
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
