@@ -36,23 +36,42 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
+class State(dict):
+    """Byte to the next state and the last token (id, length) of the encoding up to there; a move is made when first taken.
+
+    open_places: for each place where a token may still be open, the token before it and the bytes of the open token."""
+
+    __slots__ = ("machine", "open_places")
+
+    def __init__(self, machine: Transducer, open_places: tuple):
+        self.machine, self.open_places = machine, open_places
+
+    def __missing__(self, byte: int) -> tuple[State, tuple[int, int]]:
+        move = self[byte] = self.machine.move(self.open_places, byte)
+        return move
+
+
 class Transducer:
     """Bytes of one pre-token to ids."""
 
     NEVER = 1 << 60
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 200_000):
         self.ranks, self.most_states = ranks, most_states
         self.open = {token[:i] for token in ranks for i in range(1, len(token))}
         self.spines: dict[bytes, tuple[list, list] | None] = {}
+        self.borders: dict[tuple[bytes, bytes], bool] = {}
         self._reset()
 
     def _reset(self) -> None:
-        # a state: for each place where a token may still be open, (token before it, bytes of the open token)
-        self.states = [((b"", b""),)]
-        self.number = {self.states[0]: 0}
-        #: (state, byte) to the next state and the last token of the encoding up to there
-        self.moves: dict[int, tuple[int, bytes]] = {}
+        self.states: dict[tuple, State] = {}
+        self.start = self._state(((b"", b""),))
+
+    def _state(self, open_places: tuple) -> State:
+        state = self.states.get(open_places)
+        if state is None:
+            state = self.states[open_places] = State(self, open_places)
+        return state
 
     def merged(self, text: bytes, below: int = NEVER) -> list[bytes]:
         """BPE by its definition, with the merges under a rank: again and again the lowest pair merges, the leftmost first."""
@@ -84,6 +103,14 @@ class Transducer:
 
     def adjacent(self, left: bytes, right: bytes) -> bool:
         """Whether merging the bytes of both gives back both: no merge over the border comes before the merges on its two sides."""
+        known = self.borders.get((left, right))
+        if known is None:
+            if len(self.borders) > 400_000:
+                self.borders.clear()
+            known = self.borders[left, right] = self._adjacent(left, right)
+        return known
+
+    def _adjacent(self, left: bytes, right: bytes) -> bool:
         ends, starts, rank_of = self._spine(left)[1], self._spine(right)[0], self.ranks.get
         for a, taken_a in ends:
             for b, taken_b in starts:
@@ -92,36 +119,30 @@ class Transducer:
                     return False
         return True
 
-    def _move(self, state: int, byte: int) -> tuple[int, bytes]:
+    def move(self, open_places: tuple, byte: int) -> tuple[State, tuple[int, int]]:
         going, closed = [], None
-        for before, part in self.states[state]:
+        for before, part in open_places:
             part += bytes((byte,))
             if closed is None and part in self.ranks and self._spine(part) is not None and (not before or self.adjacent(before, part)):
                 closed = part
             if part in self.open:
                 going.append((before, part))
         going.append((closed, b""))
-        after = tuple(going)
-        number = self.number.get(after)
-        if number is None:
-            number = self.number[after] = len(self.states)
-            self.states.append(after)
-        move = self.moves[state << 8 | byte] = (number, closed)
-        return move
+        return self._state(tuple(going)), (self.ranks[closed], len(closed))
 
     def encode(self, piece: bytes) -> list[int]:
         """Tokens are known once the input is a longest entry ahead of them, as no open token reaches back further; short pieces are read to their end first."""
         if len(self.states) > self.most_states:
             self._reset()
-        state, lasts, known = 0, [], self.moves.get
+        state, lasts = self.start, []
         for byte in piece:
-            state, last = known(state << 8 | byte) or self._move(state, byte)
+            state, last = state[byte]
             lasts.append(last)
         out, at = [], len(lasts)
         while at:
-            token = lasts[at - 1]
-            out.append(self.ranks[token])
-            at -= len(token)
+            token, length = lasts[at - 1]
+            out.append(token)
+            at -= length
         out.reverse()
         return out
 
@@ -141,14 +162,15 @@ class Encoder:
         self.find = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
         self.machine = Transducer(ranks)
         self.pieces: dict[str, list[int]] = {}
-        self.after_space = Memo(self._after_space)
+        self.after_space = Memo(self._after_space, 1_000_000)
 
     def _chunk(self, chunk: str) -> bytes:
         ids: list[int] = []
-        for piece in self.find(chunk):
+        # letters alone, after one space or none, are one pre-token
+        for piece in (chunk,) if chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()) else self.find(chunk):
             known = self.pieces.get(piece)
             if known is None:
-                if len(self.pieces) > 200_000:
+                if len(self.pieces) > 400_000:
                     self.pieces.clear()
                 known = self.machine.encode(piece.encode())
                 if len(piece) < 64:
@@ -223,9 +245,9 @@ class Decoder:
             self.table[rank] = token
 
     def stream_bytes(self, ids: Iterable[int], step: int = 1 << 16) -> Iterator[bytes]:
-        ids, table = list(ids), self.table
+        ids, table = ids if isinstance(ids, (list, memoryview)) else list(ids), self.table
         for at in range(0, len(ids), step):
-            yield b"".join([table[i] for i in ids[at : at + step]])
+            yield b"".join(map(table.__getitem__, ids[at : at + step]))
 
     def stream(self, ids: Iterable[int], errors: str = "replace") -> Iterator[str]:
         machine = Utf8Machine(errors)
