@@ -1,69 +1,21 @@
-"""What several operators share: the shared folder, written tables, memoised word work."""
+"""What several operators share: texts as Arrow batches, memoised word work, a filter of fixed size."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import drop, drop_written, new_path, written  # noqa: F401
 from ..shipping import ship
 
 #: The complement of the word class `[^\x20\x09-\x0D]`, as a regular expression.
 SPACE = r"[\x20\x09-\x0D]"
 
-_own_dir: str | None = None
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset."""
-    global _own_dir
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if _own_dir is None:
-        _own_dir = "file://" + tempfile.mkdtemp(prefix="tessel-shared-")
-    return _own_dir
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; drop_written() removes it."""
-    path = f"{shared_dir(spark)}/tessel-{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts lineage, survives the loss of executors, is computed once."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_written() -> None:
-    """Remove every intermediate table of this process. Results that still depend on them can't be read afterwards."""
-    while _written:
-        spark, path = _written.pop()
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def _at_exit() -> None:
-    try:
-        drop_written()
-    except Exception:  # the session may be gone; the folder is a scratch folder
-        _written.clear()
-
-
-atexit.register(_at_exit)
-
-
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id (any type) and the text (null: empty) of docs, as `doc_id` and `text`."""
     ship(docs.sparkSession)
@@ -115,3 +67,87 @@ def groups(rows: list, weight: Callable[[object], int], most: int) -> Iterator[l
             part, total = [], 0
     if part:
         yield part
+
+
+class WordHashes:
+    """64-bit hashes of words, memoised by word (bounded, emptied when full)."""
+
+    def __init__(self, limit: int = 400_000):
+        self.limit, self.table = limit, {}
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        table = self.table
+        try:
+            return np.array([table[w] for w in words], np.uint64)
+        except KeyError:
+            if len(table) > self.limit:
+                table.clear()
+            digest = xxhash.xxh3_64_intdigest
+            for w in words:
+                if w not in table:
+                    table[w] = digest(w)
+            return np.array([table[w] for w in words], np.uint64)
+
+
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the `size` words from each place."""
+    n = len(hashes) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out = hashes[:n] + np.uint64(size)
+    for i in range(1, size):
+        out = (out ^ (out >> np.uint64(29))) * _STEP + hashes[i : n + i]
+    out = (out ^ (out >> np.uint64(32))) * _STEP
+    return out ^ (out >> np.uint64(29))
+
+
+class Filter:
+    """A Bloom filter of one fixed size, whatever is put in: 64 slices, 16 MB. When it fills up it lets more through, and never too little."""
+
+    SLICES, BITS = 64, 1 << 21
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits  # slices x bytes
+
+    @classmethod
+    def _places(cls, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mixed = values * np.uint64(0xD6E8FEB86659FD93)
+        mixed ^= mixed >> np.uint64(32)
+        return ((values >> np.uint64(8)) % np.uint64(cls.BITS)).astype(np.int64), (mixed % np.uint64(cls.BITS)).astype(np.int64)
+
+    def has(self, values: np.ndarray) -> np.ndarray:
+        rows = (values % np.uint64(self.SLICES)).astype(np.int64) * (self.BITS // 8)
+        flat, out = self.bits.reshape(-1), None
+        for place in self._places(values):
+            bit = (flat[rows + (place >> 3)] >> (place & 7).astype(np.uint8)) & np.uint8(1)
+            out = bit if out is None else out & bit
+        return out.astype(bool)
+
+    @classmethod
+    def of(cls, values: DataFrame) -> Filter:
+        """From a table with one bigint column. Each slice is built in one task, as a bitmap; what comes to the driver is the fixed 16 MB."""
+        name = values.columns[0]
+
+        def build(batches):
+            slices: dict[int, np.ndarray] = {}
+            for batch in batches:
+                found = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+                numbers = (found % np.uint64(cls.SLICES)).astype(np.int64)
+                one, two = cls._places(found)
+                for number in np.unique(numbers).tolist():
+                    bits = slices.setdefault(number, np.zeros(cls.BITS, bool))
+                    mine = numbers == number
+                    bits[one[mine]] = True
+                    bits[two[mine]] = True
+            for number, bits in slices.items():
+                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["slice", "bits"])
+
+        # the low 6 bits are the slice, for negative numbers too
+        dealt = values.where(F.col(name).isNotNull()).repartition(cls.SLICES, F.col(name).bitwiseAND(cls.SLICES - 1))
+        out = np.zeros((cls.SLICES, cls.BITS // 8), np.uint8)
+        for row in dealt.mapInArrow(build, "slice bigint, bits binary").collect():
+            out[row["slice"]] |= np.frombuffer(row["bits"], np.uint8)
+        return cls(out)

@@ -23,52 +23,19 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_rows, id_type, texts, written
+from .common import WordHashes, byte_rows, id_type, shingles, texts, written
 
 #: A-Z in lower case; the bytes that are in no word `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` become spaces.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
-_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(_WORD_BYTES).split()
 
 
-class _WordHashes:
-    """64-bit hashes of words, memoised by word."""
-
-    def __init__(self, limit: int = 400_000):
-        self.limit, self.table = limit, {}
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        table = self.table
-        try:
-            return np.array([table[w] for w in words], np.uint64)
-        except KeyError:
-            if len(table) > self.limit:
-                table.clear()
-            digest = xxhash.xxh3_64_intdigest
-            for w in words:
-                if w not in table:
-                    table[w] = digest(w)
-            return np.array([table[w] for w in words], np.uint64)
-
-
-def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
-    """Hash of `size` words from each place."""
-    n = len(hashes) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    out = hashes[:n] + np.uint64(size)
-    for i in range(1, size):
-        out = (out ^ (out >> np.uint64(29))) * _STEP + hashes[i : n + i]
-    return out ^ (out >> np.uint64(32))
-
-
 def item_windows(items: DataFrame, window: int, shingle: int, block_bytes: int, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """block, item_id (string), words of each distinct window: a written table, cut into blocks of about block_bytes."""
     rows = items.select(F.col(item_col).cast("string").alias("item_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -99,7 +66,7 @@ def _count(rows: DataFrame, wanted: np.ndarray, sizes: list[int]) -> dict[int, i
     held = rows.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches):
-        hashes, known = _WordHashes(), held.value
+        hashes, known = WordHashes(), held.value
         total = np.zeros(len(known), np.int64)
         for batch in batches:
             for text in byte_rows(batch):
@@ -120,7 +87,7 @@ def _count(rows: DataFrame, wanted: np.ndarray, sizes: list[int]) -> dict[int, i
 
 def _index(windows: list[tuple[str | None, list[bytes]]], shingle: int, rarity: dict[int, int]):
     """Prefix token to (offset of the token, words of the window, items that have it); the tokens, sorted; shingle sizes."""
-    hashes, places = _WordHashes(), {}
+    hashes, places = WordHashes(), {}
     for item, words in windows:
         key = tuple(words)
         if key not in places:
@@ -149,7 +116,7 @@ def find(documents: DataFrame, items: DataFrame, window: int = 13, shingle: int
     for block in range(n_blocks):
         windows = [(r["item_id"], bytes(r["words"]).split()) for r in table.where(F.col("block") == block).collect()]  # about block_bytes
         sizes = _sizes([w for _, w in windows], shingle)
-        hashes = _WordHashes()
+        hashes = WordHashes()
         all_tokens = [shingles(hashes(w), min(shingle, len(w))) for _, w in windows]
         wanted = np.unique(np.concatenate(all_tokens)) if all_tokens else np.zeros(0, np.uint64)
         rarity = _count(texts(documents, id_col, text_col), wanted, sizes) if len(wanted) else {}
@@ -158,7 +125,7 @@ def find(documents: DataFrame, items: DataFrame, window: int = 13, shingle: int
     source = rows.select(*kept, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text")) if keep is not None else rows.withColumnRenamed("text", "__text")
 
     def run(batches):
-        hashes = _WordHashes()
+        hashes = WordHashes()
         for batch in batches:
             counts, hits, found_items = [], [], []
             for text in byte_rows(batch, "__text"):

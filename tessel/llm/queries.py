@@ -8,13 +8,32 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, sstable, token_counts, toxicity, urls
+from . import bpe, decontaminate, line_dedup, quality, sstable, token_counts, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+_OP1_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+win AS (SELECT doc_id, s, array_to_string(list_slice(w, s, s + 4), ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS s FROM d WHERE len(w) >= 5)),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(s, s + 5)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, t) AS c FROM win) WHERE c > 1) GROUP BY doc_id),
+c AS (SELECT doc_id, text, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+  CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, len(l) AS n_lines,
+  coalesce(rep.n, 0) AS n_repeat_words FROM d LEFT JOIN rep USING (doc_id)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 10 * n_symbols > n_words OR 2 * (length(text) - length(replace(text, '!', ''))) > n_words OR 2 * n_dup_lines > n_lines OR word_chars < 3 * n_words OR word_chars > 12 * n_words) AS kept
+FROM b
+"""
+
+
 def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -79,9 +98,27 @@ def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.write_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"), min_lines=2)
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+_OP10_SQL = r"""
+WITH a AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+f AS (SELECT *, regexp_matches(line, '[^\x20\x09-\x0D]') AS filled FROM a),
+n AS (SELECT *, sum(CAST(filled AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM f),
+pairs AS (SELECT doc_id, n, line, lead(line) OVER (PARTITION BY doc_id ORDER BY n) AS next FROM n WHERE filled),
+later AS (SELECT doc_id, n FROM (SELECT doc_id, n, row_number() OVER (PARTITION BY line, next ORDER BY doc_id, n) AS k FROM pairs WHERE next IS NOT NULL) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, unnest([n, n + 1]) AS n FROM later)
+SELECT n.doc_id, CAST(count(*) FILTER (WHERE filled) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE filled AND gone.n IS NOT NULL) AS BIGINT) AS n_removed,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT filled OR gone.n IS NULL), '')) AS kept_sha256
+FROM n LEFT JOIN gone ON n.doc_id = gone.doc_id AND n.n = gone.n GROUP BY n.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe_codec, op4_token_counts, op5_decontaminate, op7_url_filter, op8_toxicity, op9_token_shards)}
+    return {f.__name__: f for f in (op1_quality, op2_bpe_codec, op4_token_counts, op5_decontaminate, op7_url_filter, op8_toxicity, op9_token_shards, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontaminate": _OP5_SQL, "op7_url_filter": _OP7_SQL}
+    return {"op1_quality": _OP1_SQL, "op10_line_dedup": _OP10_SQL, "op5_decontaminate": _OP5_SQL, "op7_url_filter": _OP7_SQL}

@@ -1,6 +1,6 @@
 """Toxicity: a linear classifier over character n-grams whose features are scaled by naive Bayes log-count ratios.
 
-A text's features are the presence of hashed n-grams of 3 to 5 bytes of its text with A-Z in lower case. From the labelled
+A text's features are the presence of hashed n-grams of 4, 6 and 8 bytes of its text with A-Z in lower case. From the labelled
 training texts, each bucket gets the log ratio of its smoothed document shares among toxic and other texts.
 The buckets that tell the classes apart best are kept, presence is scaled by the ratio, and logistic regression with an
 L2 penalty is fitted on the scaled features. A score is the logistic of the sum of the weights of the buckets
@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_rows, id_type, texts, written
+from .common import byte_rows, groups, id_type, texts, written
 
-SIZES = (3, 4, 5)
-BITS = 18
+SIZES = (4, 6, 8)
+BITS = 22
 SLICE = 1 << 20
 _FACTOR = np.uint32(0x01000193)
 _SPREAD = np.uint32(0x9E3779B1)
@@ -49,18 +49,17 @@ def buckets(text: bytes):
 
 def present(text: bytes) -> np.ndarray:
     """Distinct buckets of a text."""
-    seen = np.zeros(1 << BITS, bool)
-    for found in buckets(text):
-        seen[found] = True
-    return np.flatnonzero(seen).astype(np.int32)
+    found = list(buckets(text))
+    return np.unique(np.concatenate(found)).astype(np.int32) if found else np.zeros(0, np.int32)
 
 
 class Model(NamedTuple):
     bias: float
     weights: np.ndarray  # by bucket, float32; 0 for buckets that aren't used
+    used: np.ndarray  # by bucket, whether it has a weight: small enough for a processor's cache
 
     def score(self, text: bytes) -> float:
-        used = [found[self.weights[found] != 0] for found in buckets(text)]
+        used = [found[self.used[found]] for found in buckets(text)]
         total = self.bias
         if used:
             total += float(self.weights[np.unique(np.concatenate(used))].sum(dtype=np.float64))
@@ -84,16 +83,6 @@ class Features(NamedTuple):
         return at[self.chosen[at] == found].astype(np.int32)
 
 
-def choose(ones: np.ndarray, zeros: np.ndarray, n_one: int, n: int, most_features: int = 4096, smoothing: float = 1.0) -> Features:
-    """ones, zeros: by bucket, the toxic and the other training texts that have it."""
-    share_one, share_zero = (ones + smoothing) / (n_one + 2 * smoothing), (zeros + smoothing) / (n - n_one + 2 * smoothing)
-    # how far apart the shares are, in standard errors
-    pooled = (ones + zeros + 2 * smoothing) / (n + 4 * smoothing)
-    apart = np.abs(share_one - share_zero) / np.sqrt(pooled * (1 - pooled) * (1 / n_one + 1 / (n - n_one)))
-    chosen = np.sort(np.argsort(-apart, kind="stable")[:most_features])
-    return Features(chosen, np.log(share_one / share_zero)[chosen])
-
-
 def fit(features: Features, rows: list[tuple[np.ndarray, int]], penalty: float = 1e-3, rounds: int = 300) -> Model:
     """rows: places in features.chosen, and the label, of each training text; both labels occur."""
     labels = np.array([y for _, y in rows], np.float64)
@@ -115,10 +104,34 @@ def fit(features: Features, rows: list[tuple[np.ndarray, int]], penalty: float =
         bias = at_bias - error.mean() * 2
     weights = np.zeros(1 << BITS, np.float32)
     weights[features.chosen] = w * features.ratio
-    return Model(bias, weights)
+    return Model(bias, weights, weights != 0)
 
 
-def train(docs: DataFrame, labels: DataFrame, most_rows: int = 8_000, most_features: int = 4096, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def choose(sample: DataFrame, n_one: int, n: int, most_features: int, smoothing: float = 1.0) -> Features:
+    """The buckets whose shares among toxic and other texts are the most standard errors apart; `sample` has found, label."""
+
+    def count(batches):
+        for batch in batches:
+            rows = list(zip(batch.column("found").to_pylist(), batch.column("label").to_pylist()))
+            for part in groups(rows, lambda r: len(r[0]), 16 << 20):
+                for label in (0, 1):
+                    found = [np.frombuffer(f, np.int32) for f, y in part if y == label]
+                    if found:
+                        bucket, n_texts = np.unique(np.concatenate(found), return_counts=True)
+                        none = np.zeros_like(n_texts)
+                        yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(n_texts if label else none), pa.array(none if label else n_texts)], ["bucket", "ones", "zeros"])
+
+    counted = sample.mapInArrow(count, "bucket int, ones bigint, zeros bigint").groupBy("bucket").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
+    one = (F.col("ones") + smoothing) / (n_one + 2 * smoothing)
+    zero = (F.col("zeros") + smoothing) / (n - n_one + 2 * smoothing)
+    pooled = (F.col("ones") + F.col("zeros") + 2 * smoothing) / (n + 4 * smoothing)
+    apart = F.abs(one - zero) / F.sqrt(pooled * (1 - pooled) * (1 / n_one + 1 / (n - n_one)))
+    best = counted.select("bucket", F.log(one / zero).alias("ratio"), apart.alias("apart")).orderBy(F.desc("apart"), "bucket").limit(most_features).collect()
+    best.sort(key=lambda r: r["bucket"])
+    return Features(np.array([r["bucket"] for r in best], np.int64), np.array([r["ratio"] for r in best], np.float64))
+
+
+def train(docs: DataFrame, labels: DataFrame, most_rows: int = 8_000, most_features: int = 2048, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learn from the labelled rows that aren't held out, at most `most_rows` of them."""
     usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
     usable = usable.groupBy(F.col(id_col).alias("doc_id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
@@ -131,23 +144,11 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 8_000, most_featu
     # at most most_rows rows are broadcast
     sample = written(texts(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("text", "label").mapInArrow(extract, "found binary, label int"), "toxicity-sample")
 
-    def count(batches):
-        totals = np.zeros((2, 1 << BITS), np.int64)
-        for batch in batches:
-            for found, label in zip(batch.column("found").to_pylist(), batch.column("label").to_pylist()):
-                totals[label, np.frombuffer(found, np.int32)] += 1
-        some = np.flatnonzero(totals.sum(0))
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(totals[1][some]), pa.array(totals[0][some])], ["bucket", "ones", "zeros"])
-
     by_label = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n_one, n = by_label.get(1, 0), sum(by_label.values())
     if not 0 < n_one < n:
-        return Model(float(np.log((n_one + 1) / (n - n_one + 1))), np.zeros(1 << BITS, np.float32))
-    ones, zeros = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    counted = sample.mapInArrow(count, "bucket bigint, ones bigint, zeros bigint").groupBy("bucket").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
-    for bucket, one, zero in counted.collect():  # at most 2 ** BITS rows
-        ones[bucket], zeros[bucket] = one, zero
-    features = choose(ones, zeros, n_one, n, most_features)
+        return Model(float(np.log((n_one + 1) / (n - n_one + 1))), np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, bool))
+    features = choose(sample, n_one, n, most_features)
 
     def select(batches):
         for batch in batches:
