@@ -128,7 +128,7 @@ class Filter:
 
     @classmethod
     def of(cls, values: DataFrame) -> Filter:
-        """From a table with one bigint column. Each slice is built in one task, as a bitmap; what comes to the driver is the fixed 16 MB."""
+        """From a table with one bigint column. Each slice is built in one task, as a bitmap; a task has a few; what comes to the driver is the fixed 16 MB."""
         name = values.columns[0]
 
         def build(batches):
@@ -146,7 +146,7 @@ class Filter:
                 yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["slice", "bits"])
 
         # the low 6 bits are the slice, for negative numbers too
-        dealt = values.where(F.col(name).isNotNull()).repartition(cls.SLICES, F.col(name).bitwiseAND(cls.SLICES - 1))
+        dealt = values.where(F.col(name).isNotNull()).repartition(16, F.col(name).bitwiseAND(cls.SLICES - 1))
         out = np.zeros((cls.SLICES, cls.BITS // 8), np.uint8)
         for row in dealt.mapInArrow(build, "slice bigint, bits binary").collect():
             out[row["slice"]] |= np.frombuffer(row["bits"], np.uint8)

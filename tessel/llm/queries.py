@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, quality, sstable, token_counts, toxicity, urls
+from . import bpe, decontaminate, line_dedup, quality, sstable, substring, token_counts, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,21 @@ def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.deduplicate(table(spark, sf_dir, "documents"), window=35).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+_OP3_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, s, hash(array_to_string(list_slice(w, s, s + 34), ' ')) AS h, md5(array_to_string(list_slice(w, s, s + 34), ' ')) AS t FROM (SELECT *, unnest(range(1, len(w) - 33)) AS s FROM d WHERE len(w) >= 35)),
+twice AS (SELECT doc_id, s FROM (SELECT *, count(*) OVER (PARTITION BY h, t) AS c FROM win) WHERE c > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 35)) AS p FROM twice),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS k, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
 
@@ -117,8 +132,8 @@ FROM n LEFT JOIN gone ON n.doc_id = gone.doc_id AND n.n = gone.n GROUP BY n.doc_
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_bpe_codec, op4_token_counts, op5_decontaminate, op7_url_filter, op8_toxicity, op9_token_shards, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_quality, op2_bpe_codec, op3_substring_dedup, op4_token_counts, op5_decontaminate, op7_url_filter, op8_toxicity, op9_token_shards, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality": _OP1_SQL, "op10_line_dedup": _OP10_SQL, "op5_decontaminate": _OP5_SQL, "op7_url_filter": _OP7_SQL}
+    return {"op1_quality": _OP1_SQL, "op10_line_dedup": _OP10_SQL, "op3_substring_dedup": _OP3_SQL, "op5_decontaminate": _OP5_SQL, "op7_url_filter": _OP7_SQL}
