@@ -22,6 +22,12 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def plain(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs with its columns named own_0, own_1, ..., so that no name meets one of ours; and the new names."""
+    names = [f"own_{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), names
+
+
 def id_type(docs: DataFrame) -> str:
     return docs.schema["doc_id"].dataType.simpleString()
 

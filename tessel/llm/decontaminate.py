@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, byte_rows, id_type, shingles, texts, written
+from .common import WordHashes, byte_rows, id_type, plain, shingles, texts, written
 
 #: A-Z in lower case; the bytes that are in no word `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` become spaces.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -175,3 +175,10 @@ def verdicts(found: DataFrame) -> DataFrame:
 
 def items_digest(item_ids: list[str]) -> str:
     return hashlib.sha256(",".join(item_ids).encode()).hexdigest()
+
+
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of docs that aren't contaminated, with their own columns."""
+    rows, names = plain(docs)
+    found = verdicts(find(rows, items, id_col=names[0], text_col=names[docs.columns.index(text_col)], keep=names))
+    return found.where("NOT contaminated").select(*names).toDF(*docs.columns)

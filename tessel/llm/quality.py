@@ -20,6 +20,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import plain
+
 SPACES = " \t\n\v\f\r"
 WINDOW = 5
 
@@ -117,3 +119,10 @@ def judge(docs: DataFrame, rules: dict[str, Callable[[], Column]] | None = None,
     for name in order:
         verdict = verdict.when(rules[name](), F.lit(name))
     return counted.withColumn("rejected_by", verdict).withColumns({"base_failed": base_failed(), "kept": F.col("rejected_by").isNull()})
+
+
+def accepted(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of docs that no rule rejects, with their own columns."""
+    rows, names = plain(docs)
+    judged = judge(rows, text_col=names[docs.columns.index(text_col)], keep=names)
+    return judged.where("kept").select(*names).toDF(*docs.columns)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, quality, sstable, substring, token_counts, toxicity, urls
+from . import bpe, decontaminate, jaccard, line_dedup, quality, sstable, substring, token_counts, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +78,22 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(table(spark, sf_dir, "documents"), size=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
+_OP6_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, s, s + 3), ' ') AS t FROM (SELECT *, unnest(range(1, greatest(len(w) - 2, 2))) AS s FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+often AS (SELECT t FROM sh GROUP BY t HAVING count(*) > 1),
+common AS (SELECT * FROM sh SEMI JOIN often USING (t)),
+links AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM common x JOIN common y ON x.t = y.t AND x.doc_id <> y.doc_id GROUP BY ALL) JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 85 * (na.n + nb.n - k)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c USING (doc_id)
+"""
+
+
 URL_RULES = [urls.Rule("com", "/en/", "block"), urls.Rule("example.com", "/en/7", "allow"), urls.Rule("net", "/de/", "allow"), urls.Rule("example.net", "/de/8", "block"), urls.Rule("org", "/es/", "block")]
 #: Where no rule above fits: hosts whose names say what they are.
 BLOCK_GLOBS = [("*cheap-pills*", "*"), ("*spam-farm*", "*")]
@@ -132,8 +148,8 @@ FROM n LEFT JOIN gone ON n.doc_id = gone.doc_id AND n.n = gone.n GROUP BY n.doc_
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_bpe_codec, op3_substring_dedup, op4_token_counts, op5_decontaminate, op7_url_filter, op8_toxicity, op9_token_shards, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_quality, op2_bpe_codec, op3_substring_dedup, op4_token_counts, op5_decontaminate, op6_ngram_jaccard, op7_url_filter, op8_toxicity, op9_token_shards, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality": _OP1_SQL, "op10_line_dedup": _OP10_SQL, "op3_substring_dedup": _OP3_SQL, "op5_decontaminate": _OP5_SQL, "op7_url_filter": _OP7_SQL}
+    return {"op1_quality": _OP1_SQL, "op10_line_dedup": _OP10_SQL, "op3_substring_dedup": _OP3_SQL, "op5_decontaminate": _OP5_SQL, "op6_ngram_jaccard": _OP6_SQL, "op7_url_filter": _OP7_SQL}
