@@ -1,0 +1,211 @@
+"""Text functions as column expressions; Python only where Unicode decomposition is needed."""
+
+from __future__ import annotations
+
+import unicodedata
+from collections.abc import Mapping
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+#: Dash characters that count as "-", and quotes that count as a space.
+DASHES = "‐‑‒–—−"
+QUOTES = '"«»'
+
+_SPACES = r"(?U)\s+"
+
+
+def clean_value(text: Column) -> Column:
+    """Null becomes empty; white space at both ends goes."""
+    return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"(?U)^\s+|\s+$", "")
+
+
+def casefold(text: Column) -> Column:
+    """Caseless form: lower case, with the two letters that lower() leaves apart."""
+    return F.replace(F.replace(F.lower(text), F.lit("ς"), F.lit("σ")), F.lit("ß"), F.lit("ss"))
+
+
+def collapse(text: Column) -> Column:
+    """Runs of white space become one space; none at the ends."""
+    return F.trim(F.regexp_replace(text, _SPACES, " "))
+
+
+@F.pandas_udf(StringType())
+def strip_accents(text: pd.Series) -> pd.Series:
+    """Without combining marks (NFD less Mn)."""
+    return text.map(lambda t: t if t is None or t.isascii() else "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn"))
+
+
+@F.pandas_udf(StringType())
+def nfc(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
+
+
+def text_key(text: Column) -> Column:
+    """Ignores case, accents, dash type, quotes and extra spaces."""
+    folded = F.translate(F.translate(casefold(clean_value(text)), DASHES, "-" * len(DASHES)), QUOTES, " " * len(QUOTES))
+    return collapse(strip_accents(folded))
+
+
+def plain_text_key(text: Column) -> Column:
+    """Ignores case, accents and extra spaces, but keeps dashes and quotes."""
+    return collapse(strip_accents(casefold(clean_value(text))))
+
+
+def caseless_key(text: Column) -> Column:
+    """Ignores case and extra spaces, keeps accents."""
+    return collapse(casefold(clean_value(text)))
+
+
+def lower_key(text: Column) -> Column:
+    """Lower case only, extra spaces out."""
+    return collapse(F.lower(F.coalesce(text, F.lit(""))))
+
+
+def joined_key(*texts: Column) -> Column:
+    """NFC, caseless and collapsed parts, joined by U+001F."""
+    return F.concat_ws("\x1f", *[collapse(casefold(nfc(clean_value(t)))) for t in texts])
+
+
+def exact_key(*texts: Column) -> Column:
+    """Stripped parts as a struct; case and accents count."""
+    return F.struct(*[clean_value(t).alias(f"part_{i}") for i, t in enumerate(texts)])
+
+
+def fingerprint(fields: Mapping[str, Column], length: int = 24) -> Column:
+    """First hex digits of the SHA-256 of `name=text` records, each ended by U+001F; text in NFC and collapsed, case kept."""
+    records = [F.concat(F.lit(name + "="), collapse(nfc(clean_value(text))), F.lit("\x1f")) for name, text in fields.items()]
+    return F.left(F.sha2(F.concat(*records), 256), F.lit(length))
+
+
+def prompt_hash(*prompts: Column, length: int = 16) -> Column:
+    """First hex digits of the SHA-256 of the prompts, each ended by a boundary line."""
+    return F.left(F.sha2(F.concat(*[F.concat(p, F.lit("\n<<prompt-file-boundary>>\n")) for p in prompts]), 256), F.lit(length))
+
+
+def cache_key(fields: Mapping[str, Column]) -> Column:
+    """SHA-256 of the fields as JSON in order of their names."""
+    return F.sha2(F.to_json(F.struct(*[fields[name].alias(name) for name in sorted(fields)])), 256)
+
+
+def language_style(text: Column) -> Column:
+    greek, latin = text.rlike("[Α-Ωα-ωΆ-Ώά-ώ]"), text.rlike("[A-Za-z]")
+    return F.when(greek & latin, "mixed").when(greek, "greek").when(latin, "english").otherwise("other")
+
+
+def is_uppercase(text: Column) -> Column:
+    """All letters are capitals; false without letters."""
+    letters = F.regexp_replace(text, r"[^\p{L}]", "")
+    return (letters != "") & (letters == F.upper(letters))
+
+
+def has_digit(text: Column) -> Column:
+    return text.rlike(r"(?U)\d")
+
+
+def word_count(text: Column) -> Column:
+    collapsed = collapse(text)
+    return F.when(collapsed == "", 0).otherwise(F.size(F.split(collapsed, " "))).cast("bigint")
+
+
+# Fixed values of the lexical score: what each spelling becomes, in the order in which it is replaced.
+GREEK_PAIRS = [("ου", "u"), ("ει", "i"), ("οι", "i"), ("αι", "e"), ("αυ", "av"), ("ευ", "ev"), ("μπ", "b"), ("ντ", "d"), ("γκ", "g"), ("γγ", "g")]
+GREEK_SINGLE = {"α": "a", "β": "v", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "i", "ι": "i", "κ": "k", "λ": "l", "μ": "m", "ν": "n", "ο": "o", "π": "p", "ρ": "r", "σ": "s", "ς": "s", "τ": "t", "υ": "i", "φ": "f", "χ": "x", "ω": "o"}
+GREEK_DOUBLE = {"θ": "th", "ξ": "ks", "ψ": "ps"}
+LATIN_SPELLINGS = [("8", "th"), ("ou", "u"), ("ei", "i"), ("oi", "i"), ("ai", "e"), ("au", "av"), ("eu", "ev"), ("mp", "b"), ("nt", "d"), ("ch", "x"), ("ph", "f"), ("y", "i"), ("w", "o")]
+STOPWORDS = """
+και του της των τον την το τα τη στο στη στην στα στον στις στους
+σε με για από απο ως η ο οι ενός ένα ενα μια μία που είναι ειναι
+κατά κατα προς επί επι ή αλλά καθώς όπως δεν μη μην θα να ανά ανα
+περί λπ κλπ οτι ότι αυτό αυτή αυτά εκ έως εως μέσω μεσω
+""".split()
+LEAST_PREFIX, LEAST_TOKEN = 5, 2
+
+
+def to_common_latin(token: Column) -> Column:
+    """One caseless, accent-free token, Greek or Latin, in a common Latin spelling."""
+    for pair, latin in GREEK_PAIRS:
+        token = F.replace(token, F.lit(pair), F.lit(latin))
+    token = F.translate(token, "".join(GREEK_SINGLE), "".join(GREEK_SINGLE.values()))
+    for letter, latin in [*GREEK_DOUBLE.items(), *LATIN_SPELLINGS]:
+        token = F.replace(token, F.lit(letter), F.lit(latin))
+    return F.regexp_replace(token, r"(.)\1+", "$1")
+
+
+def tokens(text: Column) -> Column:
+    """Caseless, accent-free runs of Latin or Greek letters and digits."""
+    return F.regexp_extract_all(strip_accents(casefold(F.coalesce(text, F.lit("")))), F.lit("([a-zα-ω0-9]+)"), 1)
+
+
+def normalized_words(token_array: Column) -> Column:
+    """Distinct tokens in the common spelling, without stop words and one-letter tokens."""
+    stop = F.transform(F.array(*[F.lit(_fold(w)) for w in STOPWORDS]), to_common_latin)
+    spelled = F.transform(token_array, to_common_latin)
+    return F.array_except(F.filter(spelled, lambda t: F.char_length(t) >= LEAST_TOKEN), stop)
+
+
+def _fold(word: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFD", word.casefold()) if unicodedata.category(c) != "Mn")
+
+
+def same_word(a: Column, b: Column) -> Column:
+    """Equal; or both of 5 letters or more, with a common beginning of 5 letters and seven tenths of the shorter word."""
+    shorter = F.least(F.char_length(a), F.char_length(b))
+    needed = F.greatest(F.lit(LEAST_PREFIX), F.ceil(7 * shorter / 10).cast("int"))
+    return F.when(shorter < LEAST_PREFIX, a == b).otherwise(F.left(a, needed) == F.left(b, needed))
+
+
+def overlap_score(one: Column, two: Column) -> Column:
+    """Shared words over the words of the smaller side (the first on a tie); 0 if a side is empty."""
+    small = F.when(F.size(one) <= F.size(two), one).otherwise(two)
+    large = F.when(F.size(one) <= F.size(two), two).otherwise(one)
+    shared = F.size(F.filter(small, lambda a: F.exists(large, lambda b: same_word(a, b))))
+    return F.when(F.size(small) == 0, F.lit(0.0)).otherwise(shared / F.size(small))
+
+
+def lexical_band(score: Column) -> Column:
+    return F.when(score == 0, "= 0").when(score < 0.1, "0–0.1").otherwise(">= 0.1")
+
+
+def template(pattern: str, **values: Column) -> Column:
+    """pattern with each literal `{name}` replaced, in the order given."""
+    out = F.lit(pattern)
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
+    return out
+
+
+def strip_fence(reply: Column) -> Column:
+    """A reply without the code fence around it."""
+    text = F.regexp_replace(reply, r"(?U)^\s+|\s+$", "")
+    text = F.regexp_replace(text, r"^```(json)?", "")
+    return F.regexp_replace(F.regexp_replace(text, r"```$", ""), r"(?U)^\s+|\s+$", "")
+
+
+def match_key(text: Column) -> Column:
+    """Caseless, with every run of characters that are no word characters as one space."""
+    return F.trim(F.regexp_replace(casefold(clean_value(text)), r"(?U)[^\w]+", " "))
+
+
+def agreement(value: Column) -> Column:
+    """true, 1, 1.0 and blank are true; false, 0 and 0.0 are false; anything else is an error."""
+    text = F.lower(clean_value(value))
+    return F.when(text.isin("true", "1", "1.0", ""), True).when(text.isin("false", "0", "0.0"), False).otherwise(F.raise_error(F.concat(F.lit("not an agreement: "), text)).cast("boolean"))
+
+
+def lenient_boolean(value: Column) -> Column:
+    """true, 1, 1.0 and yes are true, anything else is false."""
+    return F.coalesce(F.lower(clean_value(value)).isin("true", "1", "1.0", "yes"), F.lit(False))
+
+
+def to_int_or_none(value: Column) -> Column:
+    """A number's whole part; null if it is none."""
+    return value.cast("string").try_cast("double").cast("bigint")
+
+
+def strict_int(value: Column) -> Column:
+    """A whole number, or an error."""
+    number = value.cast("string").cast("double")
+    return F.when(number.isNull() | (number % 1 == 0), number.cast("bigint")).otherwise(F.raise_error(F.lit("not a whole number")).cast("bigint"))
