@@ -6,7 +6,6 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,24 +74,70 @@ def groups(rows: list, weight: Callable[[object], int], most: int) -> Iterator[l
         yield part
 
 
-class WordHashes:
-    """64-bit hashes of words, memoised by word (bounded, emptied when full)."""
-
-    def __init__(self, limit: int = 400_000):
-        self.limit, self.table = limit, {}
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        table = self.table
-        try:
-            return np.array([table[w] for w in words], np.uint64)
-        except KeyError:
-            if len(table) > self.limit:
-                table.clear()
-            digest = xxhash.xxh3_64_intdigest
-            for w in words:
-                if w not in table:
-                    table[w] = digest(w)
-            return np.array([table[w] for w in words], np.uint64)
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes that are hashed at once; longer texts are cut at white space.
+STRIP_BYTES = 1 << 17
+_BASE = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = []
+
+
+def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse, modulo 2 ** 64."""
+    if not _powers or len(_powers[0]) < n:
+        out = []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            values = np.full(max(n, STRIP_BYTES + 1), base, np.uint64)
+            values[0] = 1
+            out.append(np.multiply.accumulate(values))
+        if n > 4 * STRIP_BYTES:  # one enormous word: not kept
+            return out[0], out[1]
+        _powers[:] = out
+    return _powers[0], _powers[1]
+
+
+def mix(values: np.ndarray) -> np.ndarray:
+    out = (values ^ (values >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    out = (out ^ (out >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return out ^ (out >> np.uint64(32))
+
+
+def _hash_strip(strip: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of a strip that ends with white space, and where they begin."""
+    data = np.frombuffer(strip, np.uint8)
+    space = _SPACE[data]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if len(data) and not space[0]:
+        edges = np.concatenate([[0], edges])
+    starts, ends = edges[0::2], edges[1::2]
+    power, inverse = _powers_to(len(data))
+    sums = np.cumsum((data + np.uint64(1)) * power[: len(data)])
+    before = sums[starts - 1]  # for a word at 0 this is the last sum
+    if len(starts) and starts[0] == 0:
+        before[0] = 0
+    return mix((sums[ends - 1] - before) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), starts
+
+
+def word_hashes(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """For each text the hashes of its words `[^\x20\x09-\x0D]+`, without making the words: prefix sums of a polynomial over the
+    bytes of many short texts at once, or of a strip of a long one."""
+    for part in groups(texts, lambda t: len(t) + 1, STRIP_BYTES):
+        joined = b"\n".join(part) + b"\n"
+        found, at = [], 0
+        while at < len(joined):
+            end = len(joined)
+            if end - at > 2 * STRIP_BYTES:
+                window = joined[at : at + STRIP_BYTES]
+                cut = max(window.rfind(b) for b in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
+                if cut < 0:
+                    cut = min(x for x in (joined.find(b, at + STRIP_BYTES) for b in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")) if x >= 0) - at
+                end = at + cut + 1
+            hashes, starts = _hash_strip(joined[at:end])
+            found.append((hashes, starts + at))
+            at = end
+        hashes, starts = found[0] if len(found) == 1 else (np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
+        ends = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in part]))
+        yield from np.split(hashes, ends[:-1])
 
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)

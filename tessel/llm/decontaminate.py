@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, byte_rows, id_type, plain, shingles, texts, written
+from .common import byte_rows, id_type, plain, shingles, texts, word_hashes, written
 
 #: A-Z in lower case; the bytes that are in no word `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` become spaces.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -57,6 +57,10 @@ def item_windows(items: DataFrame, window: int, shingle: int, block_bytes: int,
     return written(distinct.withColumn("block", F.pmod(F.xxhash64("words"), F.lit(blocks)).cast("int")), "window-blocks")
 
 
+def _tokens(words: list[bytes], shingle: int) -> np.ndarray:
+    return shingles(next(word_hashes([b" ".join(words)])), min(shingle, len(words)))
+
+
 def _sizes(windows: list[list[bytes]], shingle: int) -> list[int]:
     return sorted({min(shingle, len(w)) for w in windows})
 
@@ -66,11 +70,10 @@ def _count(rows: DataFrame, wanted: np.ndarray, sizes: list[int]) -> dict[int, i
     held = rows.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches):
-        hashes, known = WordHashes(), held.value
+        known = held.value
         total = np.zeros(len(known), np.int64)
         for batch in batches:
-            for text in byte_rows(batch):
-                one = hashes(words_of(text))
+            for one in word_hashes([t.translate(_WORD_BYTES) for t in byte_rows(batch)]):
                 for size in sizes:
                     found = shingles(one, size)
                     at = np.searchsorted(known, found)
@@ -87,12 +90,11 @@ def _count(rows: DataFrame, wanted: np.ndarray, sizes: list[int]) -> dict[int, i
 
 def _index(windows: list[tuple[str | None, list[bytes]]], shingle: int, rarity: dict[int, int]):
     """Prefix token to (offset of the token, words of the window, items that have it); the tokens, sorted; shingle sizes."""
-    hashes, places = WordHashes(), {}
+    places = {}
     for item, words in windows:
         key = tuple(words)
         if key not in places:
-            size = min(shingle, len(words))
-            tokens = shingles(hashes(words), size)
+            tokens = _tokens(words, shingle)
             at = min(range(len(tokens)), key=lambda i: (rarity.get(int(tokens[i]), 0), int(tokens[i])))
             places[key] = (int(tokens[at]), at, [])
         if item is not None:
@@ -116,8 +118,7 @@ def find(documents: DataFrame, items: DataFrame, window: int = 13, shingle: int
     for block in range(n_blocks):
         windows = [(r["item_id"], bytes(r["words"]).split()) for r in table.where(F.col("block") == block).collect()]  # about block_bytes
         sizes = _sizes([w for _, w in windows], shingle)
-        hashes = WordHashes()
-        all_tokens = [shingles(hashes(w), min(shingle, len(w))) for _, w in windows]
+        all_tokens = [_tokens(w, shingle) for _, w in windows]
         wanted = np.unique(np.concatenate(all_tokens)) if all_tokens else np.zeros(0, np.uint64)
         rarity = _count(texts(documents, id_col, text_col), wanted, sizes) if len(wanted) else {}
         indexes.append(spark.sparkContext.broadcast(_index(windows, shingle, rarity)))
@@ -125,15 +126,13 @@ def find(documents: DataFrame, items: DataFrame, window: int = 13, shingle: int
     source = rows.select(*kept, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text")) if keep is not None else rows.withColumnRenamed("text", "__text")
 
     def run(batches):
-        hashes = WordHashes()
         for batch in batches:
             counts, hits, found_items = [], [], []
-            for text in byte_rows(batch, "__text"):
-                words = words_of(text)
-                n = len(words)
+            data = [t.translate(_WORD_BYTES) for t in byte_rows(batch, "__text")]
+            for text, one in zip(data, word_hashes(data)):
+                n, words = len(one), None
                 spans: list[tuple[int, int]] = []
                 items: set[str] = set()
-                one = hashes(words)
                 for held in indexes:
                     by_token, tokens, sizes = held.value
                     if not len(tokens):
@@ -143,6 +142,7 @@ def find(documents: DataFrame, items: DataFrame, window: int = 13, shingle: int
                         at = np.searchsorted(tokens, here)
                         at[at == len(tokens)] = 0
                         for place in np.flatnonzero(tokens[at] == here).tolist():
+                            words = words or text.split()
                             for offset, item_words, having in by_token[int(here[place])]:
                                 start = place - offset
                                 if start >= 0 and start + len(item_words) <= n and words[start : start + len(item_words)] == item_words:

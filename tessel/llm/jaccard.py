@@ -9,12 +9,15 @@ twice.
 Which pairs are counted:
 
 1. Equal sets are one node (by a digest); what follows runs over nodes.
-2. Nodes that agree in one of several min-hash bands are compared with the smallest node of that band (a star, never all pairs
-   of a group). The links found this way contract most near copies into components.
+2. Nodes that agree in one of several min-hashes are compared with one leader of that group (a star, never all pairs of a group): the
+   node whose min-hashes are shared most widely, which among edited copies is the least edited one. The links found this
+   way contract most near copies into components.
 3. What can still be missing is a link between two different components. Such a pair shares a shingle among the first
    n - ceil(0.85 n) + 1 of both sets in the global order (the prefix filter). Prefix shingles are grouped by shingle with the smallest and
-   largest component as pre-aggregated values; only those with two components or more give pairs, only across components, and
-   only of sets whose sizes allow the similarity.
+   largest component as pre-aggregated values; only those with two components or more give pairs, only across components.
+
+Both joins let a pair through only if it can still be similar enough: by the sizes, and by parity signatures of 1024 bits, whose
+differing bits are a lower bound of the sets' symmetric difference.
 
 Components of all links together are exact: steps 2 and 3 only save work. Sets are compared by 64-bit hashes of shingles, so
 an overlap is off by one with a chance of about n * n / 2 ** 64 a pair.
@@ -28,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,62 +39,82 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import Filter, WordHashes, byte_rows, drop, id_type, plain, shingles, texts, written
+from .common import Filter, byte_rows, drop, id_type, plain, shingles, texts, word_hashes, written
 
 FRAGMENTS = 4
-BANDS, ROWS = 5, 2
+MIN_HASHES = 8
+#: 64-bit words of a signature.
+WORDS = 16
 #: Counters of the sketch: one byte each, 256 slices of 64 KB.
 SKETCH_BITS, SKETCH_SLICES = 24, 256
-_SEEDS = np.array([0x8EBC6AF09C88C6E3 + 2 * i * 0x589965CC75374CC3 & 0xFFFFFFFFFFFFFFFF | 1 for i in range(BANDS * ROWS)], np.uint64)
+_SEEDS = np.array([0x8EBC6AF09C88C6E3 + 2 * i * 0x589965CC75374CC3 & 0xFFFFFFFFFFFFFFFF | 1 for i in range(MIN_HASHES)], np.uint64)
+
 
+def shingle_set(words: np.ndarray, size: int) -> np.ndarray:
+    """Sorted distinct shingle hashes of a text's word hashes."""
+    return np.unique(shingles(words, min(size, len(words)))) if len(words) else np.zeros(0, np.uint64)
 
-def shingle_set(text: bytes, size: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes."""
-    words = text.lower().split()  # bytes: A-Z alone
-    if not words:
-        return np.zeros(0, np.uint64)
-    return np.unique(shingles(hashes(words), min(size, len(words))))
+
+def shingle_sets(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
+    for words in word_hashes([t.lower() for t in texts]):  # bytes: A-Z alone
+        yield shingle_set(words, size)
 
 
 def _digest(found: np.ndarray) -> bytes:
     return hashlib.md5(found.tobytes()).digest()
 
 
-def _bands(found: np.ndarray) -> list[int]:
-    least = []
-    for seed in _SEEDS:
+def _min_hashes(found: np.ndarray) -> list[int]:
+    """Signed 64-bit numbers, told apart by which hash function they are of."""
+    out = []
+    for i, seed in enumerate(_SEEDS):
         mixed = found * seed
-        least.append(int((mixed ^ (mixed >> np.uint64(32))).min()))
-    return [int.from_bytes(hashlib.blake2b(repr((b, least[b * ROWS : (b + 1) * ROWS])).encode(), digest_size=8).digest(), "little", signed=True) for b in range(BANDS)]
+        least = int((mixed ^ (mixed >> np.uint64(32))).min())
+        value = (least * MIN_HASHES + i) & 0xFFFFFFFFFFFFFFFF
+        out.append(value - (1 << 64) if value >> 63 else value)
+    return out
+
+
+def _signature(found: np.ndarray) -> list[int]:
+    """Bit i is the parity of the shingles that fall on i."""
+    parity = np.bincount((found >> np.uint64(17)).astype(np.int64) & (64 * WORDS - 1), minlength=64 * WORDS) & 1
+    return np.packbits(parity.astype(bool), bitorder="little").view(np.int64).tolist()
+
+
+def _possible(percent: int, a: str, b: str):
+    """Whether the columns n{a}, n{b}, s0{a}, s0{b}, ... leave room for the similarity."""
+    differ = sum((F.bit_count(F.col(f"s{i}{a}").bitwiseXOR(F.col(f"s{i}{b}"))) for i in range(WORDS)), F.lit(0))
+    one, two = F.col(f"n{a}"), F.col(f"n{b}")
+    return (100 * F.least(one, two) >= percent * F.greatest(one, two)) & ((100 + percent) * differ <= (100 - percent) * (one + two))
 
 
 def _survey(docs: DataFrame, size: int) -> DataFrame:
-    """One row a document (doc_id, n, key, bands), and after them the slices of each task's count sketch (slice, counts)."""
+    """One row a document (doc_id, n, key, least, signature), and after them the slices of each task's count sketch (slice, counts)."""
 
     def run(batches):
-        hashes, counters = WordHashes(), np.zeros(1 << SKETCH_BITS, np.uint16)
-        names = ["doc_id", "n", "key", "bands", "slice", "counts"]
+        counters = np.zeros(1 << SKETCH_BITS, np.uint16)
+        names = ["doc_id", "n", "key", "least", "signature", "slice", "counts"]
         kind = None
         for batch in batches:
             kind = batch.schema.field("doc_id").type
-            n, keys, bands = [], [], []
-            for text in byte_rows(batch):
-                found = shingle_set(text, size, hashes)
+            n, keys, least, signatures = [], [], [], []
+            for found in shingle_sets(byte_rows(batch), size):
                 n.append(len(found))
                 keys.append(_digest(found) if len(found) else None)
-                bands.append(_bands(found) if len(found) else None)
+                least.append(_min_hashes(found) if len(found) else None)
+                signatures.append(_signature(found) if len(found) else None)
                 places = (found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
                 counters[places] = np.minimum(counters[places], 0xFFF0) + 1
             none = pa.nulls(len(n))
-            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), none.cast(pa.int32()), none.cast(pa.binary())]
+            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(least, pa.list_(pa.int64())), pa.array(signatures, pa.list_(pa.int64())), none.cast(pa.int32()), none.cast(pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names)
         if kind is not None:
             slices = [(i, zlib.compress(np.minimum(part, 255).astype(np.uint8).tobytes(), 1)) for i, part in enumerate(counters.reshape(SKETCH_SLICES, -1)) if part.any()]
             none = pa.nulls(len(slices))
-            columns = [none.cast(kind), none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.list_(pa.int64())), pa.array([i for i, _ in slices], pa.int32()), pa.array([c for _, c in slices], pa.binary())]
+            columns = [none.cast(kind), none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.list_(pa.int64())), none.cast(pa.list_(pa.int64())), pa.array([i for i, _ in slices], pa.int32()), pa.array([c for _, c in slices], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(run, f"doc_id {id_type(docs)}, n bigint, key binary, bands array<bigint>, slice int, counts binary")
+    return docs.mapInArrow(run, f"doc_id {id_type(docs)}, n bigint, key binary, least array<bigint>, signature array<bigint>, slice int, counts binary")
 
 
 def _sketch(survey: DataFrame) -> np.ndarray:
@@ -116,12 +140,10 @@ def _prefix_and_sets(docs: DataFrame, size: int, percent: int, sketch: np.ndarra
     held = docs.sparkSession.sparkContext.broadcast((sketch, wanted))
 
     def run(batches):
-        hashes = WordHashes()
         sketch, wanted = held.value
         for batch in batches:
             keys, ns, prefixes, fragments = [], [], [], []
-            for text in byte_rows(batch):
-                found = shingle_set(text, size, hashes)
+            for found in shingle_sets(byte_rows(batch), size):
                 if not len(found):
                     continue
                 key = _digest(found)
@@ -182,14 +204,21 @@ def components(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str =
     rows = texts(docs, id_col, text_col)
     survey = written(_survey(rows, size), "survey")
     documents = survey.where("slice IS NULL")
-    nodes = written(documents.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
-    could = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-
-    # stars: each node with the smallest node of each of its bands
-    bands = nodes.select("key", "n", F.explode("bands").alias("band"))
-    leaders = bands.groupBy("band").agg(F.min(F.struct("key", "n")).alias("leader"), F.max("key").alias("last")).where(F.col("leader.key") < F.col("last")).select("band", "leader")
-    stars = bands.join(leaders, "band").where(F.col("key") != F.col("leader.key")).select(F.col("leader.key").alias("a"), F.col("key").alias("b"), F.col("leader.n").alias("na"), F.col("n").alias("nb"))
-    stars = written(stars.where(could).distinct(), "stars")
+    signature = [F.col("signature")[i].alias(f"s{i}") for i in range(WORDS)]
+    nodes = written(documents.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("least").alias("least"), F.first("signature").alias("signature")), "nodes")
+
+    # stars: each node with the leader of each min-hash that it shares
+    values = nodes.select("key", F.explode("least").alias("value"))
+    shared = written(values.groupBy("value").agg(F.count("*").alias("times")).where("times > 1"), "shared-min-hashes")
+    members = written(values.join(shared, "value"), "members")
+    scores = members.groupBy("key").agg(F.sum("times").alias("score"))
+    scored = written(members.join(scores, "key").select("value", "key", "score"), "scored-members")
+    leaders = scored.groupBy("value").agg(F.max(F.struct("score", "key"))["key"].alias("leader"))
+    stars = written(scored.join(leaders, "value").where("key <> leader").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct(), "stars")
+    side = lambda c: nodes.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), *[F.col("signature")[i].alias(f"s{i}{c}") for i in range(WORDS)])
+    stars = stars.join(side("b"), "b").join(side("a"), "a").where(_possible(percent, "a", "b")).select("a", "b", "na", "nb")
+    drop(shared, members, scored)
+    stars = written(stars, "possible-stars")
     passed = written(_prefix_and_sets(rows, size, percent, _sketch(survey), _wanted(stars)), "prefixes")
     first_links = _links(stars, passed, percent)
     drop(stars)
@@ -204,16 +233,17 @@ def components(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str =
     across = tokens.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("token")
     shared = _only(prefixes, Filter.of(across))
     shared = written(shared.select("key", "n", "component", F.explode("prefix").alias("token")), "shared-tokens")
-    one, two = (shared.select(*[F.col(c).alias(f"{c}_{s}") for c in ("key", "n", "component")], "token") for s in "ab")
-    pairs = one.join(two, "token").where((F.col("component_a") < F.col("component_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
-    pairs = written(pairs.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"), F.col("n_a").alias("na"), F.col("n_b").alias("nb")).distinct(), "pairs")
+    shared = shared.join(nodes.select("key", *signature), "key")
+    one, two = (shared.select(*[F.col(c).alias(f"{c}{s}") for c in ("key", "n", "component", *(f"s{i}" for i in range(WORDS)))], "token") for s in "ab")
+    pairs = one.join(two, "token").where((F.col("componenta") < F.col("componentb")) & _possible(percent, "a", "b"))
+    pairs = written(pairs.select(F.col("keya").alias("a"), F.col("keyb").alias("b"), "na", "nb").distinct(), "pairs")
     drop(prefixes, shared)
     second_links = _links(pairs, _prefix_and_sets(rows, size, percent, None, _wanted(pairs)), percent)
 
     # the nodes' components, then the documents'
     labels = connected_components(first_links.union(second_links))
-    labelled = nodes.join(labels, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("component", "key").alias("component"))
-    smallest = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
+    labelled = nodes.join(labels, F.col("key") == F.col("node"), "left").select("key", "least_id", F.coalesce("component", "key").alias("component"))
+    smallest = labelled.groupBy("component").agg(F.min("least_id").alias("component_id"))
     by_key = labelled.join(smallest, "component").select("key", "component_id")
     out = documents.select("doc_id", F.col("n").alias("n_shingles"), "key").join(by_key, "key", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.hex("key").alias("representative"))

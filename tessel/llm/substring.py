@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Filter, WordHashes, byte_rows, drop, id_type, new_path, shingles, texts, written
+from .common import Filter, byte_rows, drop, groups, id_type, mix, new_path, shingles, texts, word_hashes, written
 
 SHINGLE = 8
 #: Places that are handled at once within one long text.
@@ -36,11 +36,6 @@ STRIP = 1 << 18
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-def _mix(values: np.ndarray) -> np.ndarray:
-    out = (values ^ (values >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return out ^ (out >> np.uint64(29))
-
-
 def _powers(n: int, base: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     if n:
@@ -55,11 +50,11 @@ class Digests:
         n = len(hashes)
         inverse = pow(base, -1, 1 << 64)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_mix(hashes) * _powers(n, base), out=self.sums[1:])
+        np.cumsum(mix(hashes) * _powers(n, base), out=self.sums[1:])
         self.back = _powers(n + 1, inverse)
 
     def __call__(self, starts: np.ndarray, lengths: np.ndarray | int) -> np.ndarray:
-        return _mix((self.sums[starts + lengths] - self.sums[starts]) * self.back[starts] + np.asarray(lengths).astype(np.uint64))
+        return mix((self.sums[starts + lengths] - self.sums[starts]) * self.back[starts] + np.asarray(lengths).astype(np.uint64))
 
 
 def minimizers(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -137,10 +132,9 @@ def fingerprints(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text
     """fp, n: fingerprints of the minimizer places of all documents, summed by batch of rows."""
 
     def run(batches):
-        hashes = WordHashes()
         for batch in batches:
-            found = [minimizers(hashes(words), window)[1] for words in map(bytes.split, byte_rows(batch)) if len(words) >= window]
-            if found:
+            for part in groups(byte_rows(batch), len, 32 << 20):
+                found = [minimizers(one, window)[1] for one in word_hashes(part)]
                 fp, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(n)], ["fp", "n"])
 
@@ -152,14 +146,10 @@ def _places(docs: DataFrame, repeated: Filter, window: int) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(repeated)
 
     def run(batches):
-        hashes = WordHashes()
         for batch in batches:
             keys, firsts, counts, fps, wholes, singles = [], [], [], [], [], []
-            for text in byte_rows(batch):
-                words = text.split()
-                if len(words) < window:
-                    continue
-                one = hashes(words)
+            data = byte_rows(batch)
+            for text, one in zip(data, word_hashes(data)):
                 place, fp, first, last = minimizers(one, window)
                 keep = held.value.has(fp)
                 if not keep.any():
@@ -167,7 +157,7 @@ def _places(docs: DataFrame, repeated: Filter, window: int) -> DataFrame:
                 place, fp, first, last = place[keep], fp[keep], first[keep], last[keep]
                 digest = Digests(one)
                 many = last - first + 1
-                whole = digest(first, many + (window - 1)) + _mix((place - first).astype(np.uint64))
+                whole = digest(first, many + (window - 1)) + mix((place - first).astype(np.uint64))
                 ends = np.cumsum(many)
                 starts = np.repeat(first - (ends - many), many) + np.arange(ends[-1])
                 single = digest(starts, window).tobytes()
@@ -187,11 +177,11 @@ def _places(docs: DataFrame, repeated: Filter, window: int) -> DataFrame:
 
 def _masks(places: DataFrame) -> DataFrame:
     """fp, whole, mask (bit i: window i of the stretch also starts elsewhere) for the stretches with any such window."""
-    groups = written(places.groupBy("fp", "whole").agg(F.count("*").alias("n"), F.first("many").alias("many"), F.first("singles").alias("singles")), "stretches")
+    stretches = written(places.groupBy("fp", "whole").agg(F.count("*").alias("n"), F.first("many").alias("many"), F.first("singles").alias("singles")), "stretches")
     full = F.expr("shiftleft(CAST(1 AS BIGINT), CAST(many AS INT)) - 1")
-    same = groups.where("n > 1").select("fp", "whole", full.alias("mask"))
+    same = stretches.where("n > 1").select("fp", "whole", full.alias("mask"))
     # windows are compared one by one only where a fingerprint has different stretches
-    mixed = groups.groupBy("fp").agg(F.count("*").alias("kinds")).where("kinds > 1").select("fp")
+    mixed = stretches.groupBy("fp").agg(F.count("*").alias("kinds")).where("kinds > 1").select("fp")
 
     def windows(batches):
         for batch in batches:
@@ -202,7 +192,7 @@ def _masks(places: DataFrame) -> DataFrame:
             repeat = lambda c: pa.array(np.repeat(c.to_numpy(zero_copy_only=False), many))
             yield pa.RecordBatch.from_arrays([repeat(fp), repeat(whole), repeat(n), pa.array(place), pa.array(data)], ["fp", "whole", "n", "place", "window"])
 
-    single = written(groups.join(mixed, "fp").select("fp", "whole", "n", "singles").mapInArrow(windows, "fp bigint, whole bigint, n bigint, place bigint, window bigint"), "single-windows")
+    single = written(stretches.join(written(mixed, "mixed"), "fp").select("fp", "whole", "n", "singles").mapInArrow(windows, "fp bigint, whole bigint, n bigint, place bigint, window bigint"), "single-windows")
     twice = single.groupBy("fp", "window").agg(F.sum("n").alias("times")).where("times > 1").select("fp", "window")
     bit = F.expr("shiftleft(CAST(1 AS BIGINT), CAST(place AS INT))")
     differing = single.where("n = 1").join(twice, ["fp", "window"]).groupBy("fp", "whole").agg(F.bit_or(bit).alias("mask"))
