@@ -10,7 +10,7 @@ Which pairs are counted:
 
 1. Equal sets are one node (by a digest); what follows runs over nodes.
 2. Nodes that agree in one of several min-hashes are compared with one leader of that group (a star, never all pairs of a group): the
-   node whose min-hashes are shared most widely, which among edited copies is the least edited one. The links found this
+   node whose shingles are the most frequent by the sketch, which among edited copies is the least edited one. The links found this
    way contract most near copies into components.
 3. What can still be missing is a link between two different components. Such a pair shares a shingle among the first
    n - ceil(0.85 n) + 1 of both sets in the global order (the prefix filter). Prefix shingles are grouped by shingle with the smallest and
@@ -135,44 +135,52 @@ def _sketch(survey: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def _prefix_and_sets(docs: DataFrame, size: int, percent: int, sketch: np.ndarray | None, wanted: Filter) -> DataFrame:
-    """key, n, prefix (shingles of the prefix; only with a sketch), fragments (the whole set, cut; only for keys that may be wanted)."""
-    held = docs.sparkSession.sparkContext.broadcast((sketch, wanted))
+def _prefixes(docs: DataFrame, size: int, percent: int, sketch: np.ndarray) -> DataFrame:
+    """key, n, prefix (shingles of the prefix), score (mean count of the set's shingles in the sketch, times a million: of edited copies, the least edited has the highest)."""
+    held = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches):
-        sketch, wanted = held.value
         for batch in batches:
-            keys, ns, prefixes, fragments = [], [], [], []
+            keys, ns, prefixes, scores = [], [], [], []
             for found in shingle_sets(byte_rows(batch), size):
-                if not len(found):
-                    continue
-                key = _digest(found)
-                wants = bool(wanted.has(np.frombuffer(key[:8], "<u8"))[0])
-                if sketch is None and not wants:
-                    continue
-                keys.append(key)
-                ns.append(len(found))
-                if sketch is None:
-                    prefixes.append(None)
-                else:
-                    count = len(found) - -(-percent * len(found) // 100) + 1
+                if len(found):
+                    counts = held.value[(found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                    length = len(found) - -(-percent * len(found) // 100) + 1
+                    keys.append(_digest(found))
+                    ns.append(len(found))
                     # the sketch's count above, the hash below it
-                    order = np.lexsort((found, sketch[(found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))[:count]
-                    prefixes.append(found[order].view(np.int64))
-                cuts = np.searchsorted(found, np.array([i << 62 for i in range(1, FRAGMENTS)], np.uint64)) if wants else None
-                fragments.append([part.tobytes() for part in np.split(found, cuts)] if wants else None)
-            columns = [pa.array(keys, pa.binary()), pa.array(ns, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(fragments, pa.list_(pa.binary()))]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "n", "prefix", "fragments"])
+                    prefixes.append(found[np.lexsort((found, counts))[:length]].view(np.int64))
+                    scores.append(int(counts.sum(dtype=np.int64)) * 1_000_000 // len(found))
+            columns = [pa.array(keys, pa.binary()), pa.array(ns, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(scores, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "n", "prefix", "score"])
 
-    return docs.select("text").mapInArrow(run, "key binary, n bigint, prefix array<bigint>, fragments array<binary>")
+    return docs.select("text").mapInArrow(run, "key binary, n bigint, prefix array<bigint>, score bigint")
+
+
+def _sets(docs: DataFrame, size: int, wanted: Filter) -> DataFrame:
+    """key, fragments (the whole set, cut) for keys that may be wanted."""
+    held = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches):
+        for batch in batches:
+            keys, fragments = [], []
+            for found in shingle_sets(byte_rows(batch), size):
+                if len(found) and held.value.has(np.frombuffer((key := _digest(found))[:8], "<u8"))[0]:
+                    keys.append(key)
+                    cuts = np.searchsorted(found, np.array([i << 62 for i in range(1, FRAGMENTS)], np.uint64))
+                    fragments.append([part.tobytes() for part in np.split(found, cuts)])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(fragments, pa.list_(pa.binary()))], ["key", "fragments"])
+
+    return docs.select("text").mapInArrow(run, "key binary, fragments array<binary>")
 
 
 def _links(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b, na, nb) whose sets are similar enough: overlaps are counted fragment by fragment and summed per pair."""
-    sets = rows.where("fragments IS NOT NULL").select("key", F.posexplode("fragments").alias("fragment", "part")).groupBy("key", "fragment").agg(F.first("part").alias("part"))
+    sets = rows.select("key", F.posexplode("fragments").alias("fragment", "part")).groupBy("key", "fragment").agg(F.first("part").alias("part"))
     sets = written(sets, "sets")
-    left = pairs.join(sets.select(F.col("key").alias("a"), "fragment", F.col("part").alias("part_a")), "a")
-    both = left.join(sets.select(F.col("key").alias("b"), "fragment", F.col("part").alias("part_b")), ["b", "fragment"])
+    # merged at every size: pairs and sets grow with the documents
+    left = pairs.hint("merge").join(sets.select(F.col("key").alias("a"), "fragment", F.col("part").alias("part_a")), "a")
+    both = left.hint("merge").join(sets.select(F.col("key").alias("b"), "fragment", F.col("part").alias("part_b")), ["b", "fragment"])
 
     def count(batches):
         for batch in batches:
@@ -208,44 +216,42 @@ def components(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str =
     nodes = written(documents.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("least").alias("least"), F.first("signature").alias("signature")), "nodes")
 
     # stars: each node with the leader of each min-hash that it shares
-    values = nodes.select("key", F.explode("least").alias("value"))
-    shared = written(values.groupBy("value").agg(F.count("*").alias("times")).where("times > 1"), "shared-min-hashes")
-    members = written(values.join(shared, "value"), "members")
-    scores = members.groupBy("key").agg(F.sum("times").alias("score"))
-    scored = written(members.join(scores, "key").select("value", "key", "score"), "scored-members")
-    leaders = scored.groupBy("value").agg(F.max(F.struct("score", "key"))["key"].alias("leader"))
-    stars = written(scored.join(leaders, "value").where("key <> leader").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct(), "stars")
-    side = lambda c: nodes.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), *[F.col("signature")[i].alias(f"s{i}{c}") for i in range(WORDS)])
-    stars = stars.join(side("b"), "b").join(side("a"), "a").where(_possible(percent, "a", "b")).select("a", "b", "na", "nb")
-    drop(shared, members, scored)
-    stars = written(stars, "possible-stars")
-    passed = written(_prefix_and_sets(rows, size, percent, _sketch(survey), _wanted(stars)), "prefixes")
-    first_links = _links(stars, passed, percent)
+    prefixes = written(_prefixes(rows, size, percent, _sketch(survey)).dropDuplicates(["key"]), "prefixes")
+    members = nodes.select("key", F.explode("least").alias("value")).join(prefixes.select("key", "score").hint("merge"), "key")
+    members = written(members, "members")
+    leaders = members.groupBy("value").agg(F.max(F.struct("score", "key"))["key"].alias("leader"), F.count("*").alias("times")).where("times > 1")
+    leaders = written(leaders.select("value", "leader"), "leaders")
+    stars = members.join(leaders.hint("merge"), "value").where("key <> leader").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
+    side = lambda c: nodes.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), *[F.col("signature")[i].alias(f"s{i}{c}") for i in range(WORDS)]).hint("merge")
+    stars = written(written(stars, "stars").join(side("b"), "b").join(side("a"), "a").where(_possible(percent, "a", "b")).select("a", "b", "na", "nb"), "possible-stars")
+    drop(members, leaders)
+    first_links = _links(stars, _sets(rows, size, _wanted(stars)), percent)
     drop(stars)
     labels = connected_components(first_links)
 
     # prefixes: pairs across components
-    prefixes = passed.select("key", "n", "prefix").join(labels, F.col("key") == F.col("node"), "left").select("key", "n", F.coalesce("component", "key").alias("component"), "prefix")
-    prefixes = written(prefixes.dropDuplicates(["key"]), "node-prefixes")
-    drop(passed)
+    labelled = prefixes.join(labels.hint("merge"), F.col("key") == F.col("node"), "left").select("key", "n", F.coalesce("component", "key").alias("component"), "prefix")
+    labelled = written(labelled, "labelled-prefixes")
+    drop(prefixes)
+    prefixes = labelled
     group = F.xxhash64("component")
     tokens = prefixes.select(F.explode("prefix").alias("token"), group.alias("group"))
     across = tokens.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("token")
     shared = _only(prefixes, Filter.of(across))
     shared = written(shared.select("key", "n", "component", F.explode("prefix").alias("token")), "shared-tokens")
-    shared = shared.join(nodes.select("key", *signature), "key")
+    shared = shared.join(nodes.select("key", *signature).hint("merge"), "key")
     one, two = (shared.select(*[F.col(c).alias(f"{c}{s}") for c in ("key", "n", "component", *(f"s{i}" for i in range(WORDS)))], "token") for s in "ab")
     pairs = one.join(two, "token").where((F.col("componenta") < F.col("componentb")) & _possible(percent, "a", "b"))
     pairs = written(pairs.select(F.col("keya").alias("a"), F.col("keyb").alias("b"), "na", "nb").distinct(), "pairs")
     drop(prefixes, shared)
-    second_links = _links(pairs, _prefix_and_sets(rows, size, percent, None, _wanted(pairs)), percent)
+    second_links = _links(pairs, _sets(rows, size, _wanted(pairs)), percent)
 
     # the nodes' components, then the documents'
     labels = connected_components(first_links.union(second_links))
-    labelled = nodes.join(labels, F.col("key") == F.col("node"), "left").select("key", "least_id", F.coalesce("component", "key").alias("component"))
+    labelled = nodes.join(labels.hint("merge"), F.col("key") == F.col("node"), "left").select("key", "least_id", F.coalesce("component", "key").alias("component"))
     smallest = labelled.groupBy("component").agg(F.min("least_id").alias("component_id"))
     by_key = labelled.join(smallest, "component").select("key", "component_id")
-    out = documents.select("doc_id", F.col("n").alias("n_shingles"), "key").join(by_key, "key", "left")
+    out = documents.select("doc_id", F.col("n").alias("n_shingles"), "key").join(by_key.hint("merge"), "key", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.hex("key").alias("representative"))
 
 
