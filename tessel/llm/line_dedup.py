@@ -90,7 +90,8 @@ def deduplicate(docs: DataFrame, min_lines: int = 2, id_col: str = "doc_id", tex
 
     # null-safe on both fields: a null doc_id is an identifier too
     same = F.col("doc.id").eqNullSafe(F.col("gone_doc.id")) & (F.col("doc.text") == F.col("gone_doc.text"))
-    out = keyed.join(gone, same, "left").select(
+    # merged at every size: what is gone grows with the documents, so it is no table to broadcast
+    out = keyed.join(gone.hint("merge"), same, "left").select(
         *[F.when(F.col("gone").isNull(), F.col(f"own_{i}")).otherwise(let(_lines(F.col("whole")), without)).alias(c) if c == text_col else F.col(f"own_{i}").alias(c) for i, c in enumerate(names)],
         F.size(F.filter(_lines(F.col("whole")), lambda x: ~_blank(x))).cast("bigint").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"),
