@@ -81,6 +81,19 @@ def _signature(found: np.ndarray) -> list[int]:
     return np.packbits(parity.astype(bool), bitorder="little").view(np.int64).tolist()
 
 
+def _packed_slice(counts: np.ndarray) -> bytes:
+    """Most counters of a task are zero: a bit for each counter, then the others' values."""
+    return zlib.compress(np.packbits(counts > 0, bitorder="little").tobytes() + counts[counts > 0].tobytes(), 1)
+
+
+def _unpacked_slice(packed: bytes) -> np.ndarray:
+    data = np.frombuffer(zlib.decompress(packed), np.uint8)
+    length = (1 << SKETCH_BITS) // SKETCH_SLICES
+    out = np.zeros(length, np.uint8)
+    out[np.unpackbits(data[: length // 8], bitorder="little").astype(bool)] = data[length // 8 :]
+    return out
+
+
 def _possible(percent: int, a: str, b: str):
     """Whether the columns n{a}, n{b}, s0{a}, s0{b}, ... leave room for the similarity."""
     differ = sum((F.bit_count(F.col(f"s{i}{a}").bitwiseXOR(F.col(f"s{i}{b}"))) for i in range(WORDS)), F.lit(0))
@@ -109,7 +122,7 @@ def _survey(docs: DataFrame, size: int) -> DataFrame:
             columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(least, pa.list_(pa.int64())), pa.array(signatures, pa.list_(pa.int64())), none.cast(pa.int32()), none.cast(pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names)
         if kind is not None:
-            slices = [(i, zlib.compress(np.minimum(part, 255).astype(np.uint8).tobytes(), 1)) for i, part in enumerate(counters.reshape(SKETCH_SLICES, -1)) if part.any()]
+            slices = [(i, _packed_slice(np.minimum(part, 255).astype(np.uint8))) for i, part in enumerate(counters.reshape(SKETCH_SLICES, -1)) if part.any()]
             none = pa.nulls(len(slices))
             columns = [none.cast(kind), none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.list_(pa.int64())), none.cast(pa.list_(pa.int64())), pa.array([i for i, _ in slices], pa.int32()), pa.array([c for _, c in slices], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names)
@@ -124,7 +137,7 @@ def _sketch(survey: DataFrame) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for number, packed in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist()):
-                part = np.frombuffer(zlib.decompress(packed), np.uint8).astype(np.uint16)
+                part = _unpacked_slice(packed).astype(np.uint16)
                 sums[number] = np.minimum(sums[number] + part, 255) if number in sums else part
         yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int32()), pa.array([s.astype(np.uint8).tobytes() for s in sums.values()], pa.binary())], ["slice", "counts"])
 
@@ -157,30 +170,37 @@ def _prefixes(docs: DataFrame, size: int, percent: int, sketch: np.ndarray) -> D
     return docs.select("text").mapInArrow(run, "key binary, n bigint, prefix array<bigint>, score bigint")
 
 
-def _sets(docs: DataFrame, size: int, wanted: Filter) -> DataFrame:
-    """key, fragments (the whole set, cut) for keys that may be wanted."""
-    held = docs.sparkSession.sparkContext.broadcast(wanted)
+def _sets(docs: DataFrame, size: int, pairs: DataFrame) -> DataFrame:
+    """key, fragments (the whole set, cut), first, second (whether the key may be the a or the b of a pair), for keys that may be either."""
+    held = docs.sparkSession.sparkContext.broadcast((_wanted(pairs, "a"), _wanted(pairs, "b")))
 
     def run(batches):
         for batch in batches:
-            keys, fragments = [], []
+            keys, fragments, sides = [], [], []
             for found in shingle_sets(byte_rows(batch), size):
-                if len(found) and held.value.has(np.frombuffer((key := _digest(found))[:8], "<u8"))[0]:
+                if not len(found):
+                    continue
+                number = np.frombuffer((key := _digest(found))[:8], "<u8")
+                side = [bool(wanted.has(number)[0]) for wanted in held.value]
+                if any(side):
                     keys.append(key)
+                    sides.append(side)
                     cuts = np.searchsorted(found, np.array([i << 62 for i in range(1, FRAGMENTS)], np.uint64))
                     fragments.append([part.tobytes() for part in np.split(found, cuts)])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(fragments, pa.list_(pa.binary()))], ["key", "fragments"])
+            columns = [pa.array(keys, pa.binary()), pa.array(fragments, pa.list_(pa.binary())), *(pa.array([s[i] for s in sides], pa.bool_()) for i in (0, 1))]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "fragments", "first", "second"])
 
-    return docs.select("text").mapInArrow(run, "key binary, fragments array<binary>")
+    return docs.select("text").mapInArrow(run, "key binary, fragments array<binary>, first boolean, second boolean")
 
 
 def _links(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b, na, nb) whose sets are similar enough: overlaps are counted fragment by fragment and summed per pair."""
-    sets = rows.select("key", F.posexplode("fragments").alias("fragment", "part")).groupBy("key", "fragment").agg(F.first("part").alias("part"))
+    sets = rows.select("key", "first", "second", F.posexplode("fragments").alias("fragment", "part"))
+    sets = sets.groupBy("key", "fragment").agg(F.first("part").alias("part"), F.first("first").alias("first"), F.first("second").alias("second"))
     sets = written(sets, "sets")
     # merged at every size: pairs and sets grow with the documents
-    left = pairs.hint("merge").join(sets.select(F.col("key").alias("a"), "fragment", F.col("part").alias("part_a")), "a")
-    both = left.hint("merge").join(sets.select(F.col("key").alias("b"), "fragment", F.col("part").alias("part_b")), ["b", "fragment"])
+    left = pairs.hint("merge").join(sets.where("first").select(F.col("key").alias("a"), "fragment", F.col("part").alias("part_a")), "a")
+    both = left.hint("merge").join(sets.where("second").select(F.col("key").alias("b"), "fragment", F.col("part").alias("part_b")), ["b", "fragment"])
 
     def count(batches):
         for batch in batches:
@@ -196,8 +216,8 @@ def _links(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     return out
 
 
-def _wanted(pairs: DataFrame) -> Filter:
-    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+def _wanted(pairs: DataFrame, side: str) -> Filter:
+    keys = pairs.select(F.col(side).alias("key")).distinct()
 
     def numbers(batches):
         for batch in batches:
@@ -216,8 +236,9 @@ def components(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str =
     nodes = written(documents.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("least").alias("least"), F.first("signature").alias("signature")), "nodes")
 
     # stars: each node with the leader of each min-hash that it shares
-    prefixes = written(_prefixes(rows, size, percent, _sketch(survey)).dropDuplicates(["key"]), "prefixes")
-    members = nodes.select("key", F.explode("least").alias("value")).join(prefixes.select("key", "score").hint("merge"), "key")
+    prefixes = written(_prefixes(rows, size, percent, _sketch(survey)), "prefixes")
+    scores = prefixes.groupBy("key").agg(F.first("score").alias("score"))
+    members = nodes.select("key", "least").join(scores.hint("merge"), "key").select("key", F.explode("least").alias("value"), "score")
     members = written(members, "members")
     leaders = members.groupBy("value").agg(F.max(F.struct("score", "key"))["key"].alias("leader"), F.count("*").alias("times")).where("times > 1")
     leaders = written(leaders.select("value", "leader"), "leaders")
@@ -225,12 +246,13 @@ def components(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str =
     side = lambda c: nodes.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), *[F.col("signature")[i].alias(f"s{i}{c}") for i in range(WORDS)]).hint("merge")
     stars = written(written(stars, "stars").join(side("b"), "b").join(side("a"), "a").where(_possible(percent, "a", "b")).select("a", "b", "na", "nb"), "possible-stars")
     drop(members, leaders)
-    first_links = _links(stars, _sets(rows, size, _wanted(stars)), percent)
+    first_links = _links(stars, _sets(rows, size, stars), percent)
     drop(stars)
     labels = connected_components(first_links)
 
     # prefixes: pairs across components
-    labelled = prefixes.join(labels.hint("merge"), F.col("key") == F.col("node"), "left").select("key", "n", F.coalesce("component", "key").alias("component"), "prefix")
+    once = prefixes.select("key", "n", "prefix").dropDuplicates(["key"])
+    labelled = once.join(labels.hint("merge"), F.col("key") == F.col("node"), "left").select("key", "n", F.coalesce("component", "key").alias("component"), "prefix")
     labelled = written(labelled, "labelled-prefixes")
     drop(prefixes)
     prefixes = labelled
@@ -244,7 +266,7 @@ def components(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str =
     pairs = one.join(two, "token").where((F.col("componenta") < F.col("componentb")) & _possible(percent, "a", "b"))
     pairs = written(pairs.select(F.col("keya").alias("a"), F.col("keyb").alias("b"), "na", "nb").distinct(), "pairs")
     drop(prefixes, shared)
-    second_links = _links(pairs, _sets(rows, size, _wanted(pairs)), percent)
+    second_links = _links(pairs, _sets(rows, size, pairs), percent)
 
     # the nodes' components, then the documents'
     labels = connected_components(first_links.union(second_links))
