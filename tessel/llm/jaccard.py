@@ -17,7 +17,8 @@ Which pairs are counted:
    largest component as pre-aggregated values; only those with two components or more give pairs, only across components.
 
 Both joins let a pair through only if it can still be similar enough: by the sizes, and by parity signatures of 1024 bits, whose
-differing bits are a lower bound of the sets' symmetric difference.
+differing bits are a lower bound of the sets' symmetric difference. As 1024 bits fill up, sets of more than 512 shingles have a second
+signature of two to four bits a shingle, which is asked before whole sets are sent.
 
 Components of all links together are exact: steps 2 and 3 only save work. Sets are compared by 64-bit hashes of shingles, so
 an overlap is off by one with a chance of about n * n / 2 ** 64 a pair.
@@ -45,6 +46,8 @@ FRAGMENTS = 4
 MIN_HASHES = 8
 #: 64-bit words of a signature.
 WORDS = 16
+#: Sets of more shingles have a signature of their own length too.
+LONG = 512
 #: Counters of the sketch: one byte each, 256 slices of 64 KB.
 SKETCH_BITS, SKETCH_SLICES = 24, 256
 _SEEDS = np.array([0x8EBC6AF09C88C6E3 + 2 * i * 0x589965CC75374CC3 & 0xFFFFFFFFFFFFFFFF | 1 for i in range(MIN_HASHES)], np.uint64)
@@ -81,6 +84,39 @@ def _signature(found: np.ndarray) -> list[int]:
     return np.packbits(parity.astype(bool), bitorder="little").view(np.int64).tolist()
 
 
+def _long_signature(found: np.ndarray) -> bytes | None:
+    """Parities over the least power of two that has two bits for each shingle; half of the bits folded on the other half is the signature of half the length."""
+    if len(found) <= LONG:
+        return None
+    bits = 1 << (2 * len(found) - 1).bit_length()
+    parity = np.bincount((found >> np.uint64(17)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(parity.astype(bool), bitorder="little").tobytes()
+
+
+def _differ(a: bytes, b: bytes) -> int:
+    """Differing bits of two long signatures, at the length of the shorter."""
+    length = min(len(a), len(b))
+    one, two = (np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, length)) for x in (a, b))
+    return int(np.bitwise_count(one ^ two).sum())
+
+
+def _plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, na, nb) that long signatures don't rule out; those of short sets all stay."""
+    long = nodes.where("long IS NOT NULL").select("key", "long")
+    both = pairs.where((F.col("na") > LONG) & (F.col("nb") > LONG))
+    for side in "ba":
+        both = both.join(long.select(F.col("key").alias(side), F.col("long").alias(f"long_{side}")).hint("merge"), side)
+
+    def run(batches):
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("na", "nb", "long_a", "long_b")]
+            stay = [(100 + percent) * _differ(a, b) <= (100 - percent) * (na + nb) for na, nb, a, b in zip(*columns)]
+            yield batch.select(["a", "b", "na", "nb"]).filter(pa.array(stay, pa.bool_()))
+
+    asked = both.select("a", "b", "na", "nb", "long_a", "long_b").mapInArrow(run, "a binary, b binary, na bigint, nb bigint")
+    return asked.union(pairs.where((F.col("na") <= LONG) | (F.col("nb") <= LONG)).select("a", "b", "na", "nb"))
+
+
 def _packed_slice(counts: np.ndarray) -> bytes:
     """Most counters of a task are zero: a bit for each counter, then the others' values."""
     return zlib.compress(np.packbits(counts > 0, bitorder="little").tobytes() + counts[counts > 0].tobytes(), 1)
@@ -102,32 +138,33 @@ def _possible(percent: int, a: str, b: str):
 
 
 def _survey(docs: DataFrame, size: int) -> DataFrame:
-    """One row a document (doc_id, n, key, least, signature), and after them the slices of each task's count sketch (slice, counts)."""
+    """One row a document (doc_id, n, key, least, signature, long), and after them the slices of each task's count sketch (slice, counts)."""
 
     def run(batches):
         counters = np.zeros(1 << SKETCH_BITS, np.uint16)
-        names = ["doc_id", "n", "key", "least", "signature", "slice", "counts"]
+        names = ["doc_id", "n", "key", "least", "signature", "long", "slice", "counts"]
         kind = None
         for batch in batches:
             kind = batch.schema.field("doc_id").type
-            n, keys, least, signatures = [], [], [], []
+            n, keys, least, signatures, longs = [], [], [], [], []
             for found in shingle_sets(byte_rows(batch), size):
                 n.append(len(found))
                 keys.append(_digest(found) if len(found) else None)
                 least.append(_min_hashes(found) if len(found) else None)
                 signatures.append(_signature(found) if len(found) else None)
+                longs.append(_long_signature(found))
                 places = (found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
                 counters[places] = np.minimum(counters[places], 0xFFF0) + 1
             none = pa.nulls(len(n))
-            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(least, pa.list_(pa.int64())), pa.array(signatures, pa.list_(pa.int64())), none.cast(pa.int32()), none.cast(pa.binary())]
+            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(least, pa.list_(pa.int64())), pa.array(signatures, pa.list_(pa.int64())), pa.array(longs, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names)
         if kind is not None:
             slices = [(i, _packed_slice(np.minimum(part, 255).astype(np.uint8))) for i, part in enumerate(counters.reshape(SKETCH_SLICES, -1)) if part.any()]
             none = pa.nulls(len(slices))
-            columns = [none.cast(kind), none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.list_(pa.int64())), none.cast(pa.list_(pa.int64())), pa.array([i for i, _ in slices], pa.int32()), pa.array([c for _, c in slices], pa.binary())]
+            columns = [none.cast(kind), none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.list_(pa.int64())), none.cast(pa.list_(pa.int64())), none.cast(pa.binary()), pa.array([i for i, _ in slices], pa.int32()), pa.array([c for _, c in slices], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(run, f"doc_id {id_type(docs)}, n bigint, key binary, least array<bigint>, signature array<bigint>, slice int, counts binary")
+    return docs.mapInArrow(run, f"doc_id {id_type(docs)}, n bigint, key binary, least array<bigint>, signature array<bigint>, long binary, slice int, counts binary")
 
 
 def _sketch(survey: DataFrame) -> np.ndarray:
@@ -233,7 +270,7 @@ def components(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str =
     survey = written(_survey(rows, size), "survey")
     documents = survey.where("slice IS NULL")
     signature = [F.col("signature")[i].alias(f"s{i}") for i in range(WORDS)]
-    nodes = written(documents.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("least").alias("least"), F.first("signature").alias("signature")), "nodes")
+    nodes = written(documents.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("least").alias("least"), F.first("signature").alias("signature"), F.first("long").alias("long")), "nodes")
 
     # stars: each node with the leader of each min-hash that it shares
     prefixes = written(_prefixes(rows, size, percent, _sketch(survey)), "prefixes")
@@ -245,6 +282,7 @@ def components(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str =
     stars = members.join(leaders.hint("merge"), "value").where("key <> leader").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
     side = lambda c: nodes.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), *[F.col("signature")[i].alias(f"s{i}{c}") for i in range(WORDS)]).hint("merge")
     stars = written(written(stars, "stars").join(side("b"), "b").join(side("a"), "a").where(_possible(percent, "a", "b")).select("a", "b", "na", "nb"), "possible-stars")
+    stars = written(_plausible(stars, nodes, percent), "plausible-stars")
     drop(members, leaders)
     first_links = _links(stars, _sets(rows, size, stars), percent)
     drop(stars)
@@ -265,6 +303,7 @@ def components(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str =
     one, two = (shared.select(*[F.col(c).alias(f"{c}{s}") for c in ("key", "n", "component", *(f"s{i}" for i in range(WORDS)))], "token") for s in "ab")
     pairs = one.join(two, "token").where((F.col("componenta") < F.col("componentb")) & _possible(percent, "a", "b"))
     pairs = written(pairs.select(F.col("keya").alias("a"), F.col("keyb").alias("b"), "na", "nb").distinct(), "pairs")
+    pairs = written(_plausible(pairs, nodes, percent), "plausible-pairs")
     drop(prefixes, shared)
     second_links = _links(pairs, _sets(rows, size, pairs), percent)
 
