@@ -137,6 +137,40 @@ def lexical_band_counts(spark, sf_dir):
     return _lexical(spark, sf_dir).groupBy(T.lexical_band(F.col("score")).alias("band")).agg(F.count("*").alias("n"))
 
 
+def _lexical_all(spark, sf_dir):
+    """doc_id, item_id, score of whole texts against all items, without the pairs that score 0. Words are matched once as
+    vocabularies, by their first five letters; a pair counts the words of its smaller side, the document's on a tie."""
+    words = lambda name, key: table(spark, sf_dir, name).select(key, T.normalized_words(F.array_distinct(T.tokens(F.col("text")))).alias("words"))
+    docs = words("documents", "doc_id").select("doc_id", F.size("words").alias("nd"), F.explode("words").alias("one"))
+    items = words("benchmark", "item_id").select("item_id", F.size("words").alias("ni"), F.explode("words").alias("two"))
+    begin = lambda c: F.left(c, F.lit(T.LEAST_PREFIX))
+    same = docs.select("one").distinct().withColumn("begin", begin("one")).join(items.select("two").distinct().withColumn("begin", begin("two")), "begin")
+    same = same.where(T.same_word(F.col("one"), F.col("two"))).select("one", "two")
+    by_doc_word = same.join(items, "two").select("one", "item_id", "ni").distinct().groupBy("one").agg(F.collect_list(F.struct("item_id", "ni")).alias("items"))
+    by_item_word = items.groupBy("two").agg(F.collect_list(F.struct("item_id", "ni")).alias("items"))
+    ours = docs.join(by_doc_word, "one").select("doc_id", "nd", F.explode(F.filter("items", lambda i: i["ni"] >= F.col("nd"))).alias("i"))
+    theirs = docs.join(same, "one").select("doc_id", "nd", "two").distinct().join(by_item_word, "two").select("doc_id", "nd", F.explode(F.filter("items", lambda i: i["ni"] < F.col("nd"))).alias("i"))
+    shared = ours.union(theirs).groupBy("doc_id", "i.item_id").agg(F.count("*").alias("n"), F.first(F.least("nd", "i.ni")).alias("least"))
+    return shared.select("doc_id", "item_id", F.round(F.col("n") / F.col("least"), 6).alias("score"))
+
+
+@query()
+def lexical_overlap_all(spark, sf_dir):
+    """lexical_overlap over whole texts and all items; pairs that it lacks score 0."""
+    return _lexical_all(spark, sf_dir)
+
+
+@query()
+def lexical_band_counts_all(spark, sf_dir):
+    """lexical_band_counts over whole texts and all items; the pairs that score 0 are what is left of all pairs."""
+    scores = _lexical_all(spark, sf_dir).groupBy(T.lexical_band(F.col("score")).alias("band")).agg(F.count("*").alias("n"))
+    counted = lambda name: table(spark, sf_dir, name).agg(F.count("*").alias(name))
+    total = counted("documents").crossJoin(counted("benchmark")).select(F.lit("= 0").alias("band"), (F.col("documents") * F.col("benchmark")).alias("n"))  # one row
+    scores = scores.where("band <> '= 0'")
+    zero = total.union(scores.select(F.lit("= 0"), -F.col("n"))).groupBy("band").agg(F.sum("n").alias("n")).where("n > 0")
+    return scores.union(zero)
+
+
 @query("""SELECT doc_id, list_filter([CASE WHEN lower(trim(lang)) IN ('fr', 'es') THEN 'lang' END, CASE WHEN lower(trim(source)) IN ('fr', 'es', 'src3') THEN 'source' END], lambda x: x IS NOT NULL) AS fields,
   lower(trim(lang)) IN ('fr', 'es') OR source = 'src3' AS marked FROM documents""")
 def marker_detection(spark, sf_dir):
