@@ -296,6 +296,12 @@ def connected_components(spark, sf_dir):
     return splitting.group_components(rows, "grp", "client")
 
 
+@query()
+def connected_components_all(spark, sf_dir):
+    """connected_components over all orders and their real keys: orders of one customer are one component."""
+    return splitting.group_components(table(spark, sf_dir, "orders"), "o_orderkey", "o_custkey").withColumnRenamed("o_orderkey", "grp")
+
+
 @query()
 def group_split(spark, sf_dir):
     """Folds of conversations: 0 test, 1 validation, others training; roles are the strata."""

@@ -48,3 +48,24 @@ def test_lexical_overlap_all(spark):
     assert sorted(run(spark, "lexical_overlap_all", tables)) == sorted((d, i, s) for (d, i), s in expected.items() if s)
     bands = [("= 0" if s == 0 else "0–0.1" if s < 0.1 else ">= 0.1") for s in expected.values()]
     assert sorted(run(spark, "lexical_band_counts_all", tables)) == sorted((b, bands.count(b)) for b in set(bands))
+
+
+def test_connected_components_all(spark):
+    rows = [(37 * i, 1000 + i) for i in range(6)] + [(37 * i + 1, 1000 + i) for i in range(5)] + [(37 * i + 1, 1001 + i) for i in range(5)] + [(437, 1700), (37, 2000), (900, 3000), (901, None)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for order, customer in rows:
+        if customer is not None:
+            parent[root(("g", str(order)))] = root(("h", str(customer)))
+    groups = {}
+    for kind, name in parent:
+        if kind == "g":
+            groups.setdefault(root((kind, name)), []).append(name)
+    expected = sorted((name, min(members)) for members in groups.values() for name in members)
+    assert 1 < len(groups) < 5
+    assert sorted(run(spark, "connected_components_all", {"orders": (rows, "o_orderkey bigint, o_custkey bigint")})) == expected
