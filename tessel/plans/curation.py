@@ -199,6 +199,15 @@ def exact_one_link_reasons(spark, sf_dir):
     return out.select("o_orderkey", "c_custkey", "reason")
 
 
+@query()
+def exact_one_link_reasons_all(spark, sf_dir):
+    """exact_one_link_reasons over all customers and the real keys."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("k"), "o_orderpriority", (F.floor("o_totalprice") % 7).alias("z"))
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), "c_custkey")
+    out = relational.link_exactly_one(orders, customers, ["k"], "c_custkey", [F.asc("o_orderkey")], F.col("z") == 0, F.col("o_orderpriority") != "1-URGENT")
+    return out.select("o_orderkey", "c_custkey", "reason")
+
+
 @query("""SELECT doc_id, 'reserved' AS part FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) UNION ALL SELECT doc_id, 'free' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
 def semi_anti_reserved(spark, sf_dir):
     documents, labels = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels")

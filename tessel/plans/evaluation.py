@@ -378,6 +378,25 @@ def verdict_cache_lookup(spark, sf_dir):
     return hits.agg(F.lit("hit").alias("kind"), F.count("*").alias("n")).union(misses.agg(F.lit("miss").alias("kind"), F.count("*").alias("n")))
 
 
+def _keyed_events(spark, sf_dir):
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("fingerprint"), F.col("event_type").alias("prompt_hash"), "value", "event_id", "ts")
+
+
+@query()
+def verdict_cache_first_all(spark, sf_dir):
+    """verdict_cache_first over all events and users."""
+    return external.first_verdicts(_keyed_events(spark, sf_dir).drop("ts"), "event_id")
+
+
+@query()
+def verdict_cache_lookup_all(spark, sf_dir):
+    """verdict_cache_lookup over all events and users: those before 16 January 2024 are the log, all others (without a time too) are requests."""
+    keyed = _keyed_events(spark, sf_dir).withColumn("logged", F.coalesce(F.col("ts") < "2024-01-16", F.lit(False)))
+    log = keyed.where("logged").select("fingerprint", "prompt_hash", F.col("event_id").alias("order"))
+    hits, misses = external.look_up(keyed.where("NOT logged").select("event_id", "fingerprint", "prompt_hash"), log, "order")
+    return hits.agg(F.lit("hit").alias("kind"), F.count("*").alias("n")).union(misses.agg(F.lit("miss").alias("kind"), F.count("*").alias("n")))
+
+
 @query("SELECT event_id, event_type FROM events WHERE event_id NOT IN (SELECT event_id FROM events WHERE event_type = 'view')")
 def resume_anti_join(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", "event_type")

@@ -69,3 +69,26 @@ def test_connected_components_all(spark):
     expected = sorted((name, min(members)) for members in groups.values() for name in members)
     assert 1 < len(groups) < 5
     assert sorted(run(spark, "connected_components_all", {"orders": (rows, "o_orderkey bigint, o_custkey bigint")})) == expected
+
+
+def test_exact_one_link_reasons_all(spark):
+    orders = [(1, 500, "2-HIGH", 1.0), (2, 500, "2-HIGH", 2.0), (3, 95, "1-URGENT", 1.0), (4, 95, "2-HIGH", 7.5), (5, 14000, "2-HIGH", 3.0), (6, 77, "2-HIGH", 1.0), (7, 61, "2-HIGH", 1.0), (8, None, "2-HIGH", 1.0)]
+    customers = [(500,), (95,), (14000,), (61,), (61,), (1,)]
+    out = run(spark, "exact_one_link_reasons_all", {"orders": (orders, "o_orderkey bigint, o_custkey bigint, o_orderpriority string, o_totalprice double"), "customer": (customers, "c_custkey bigint")})
+    assert sorted(out) == [(1, 500, None), (2, 500, "duplicate"), (3, 95, "unknown"), (4, 95, "excluded"), (5, 14000, None), (6, None, "no match"), (7, 61, "several matches"), (8, None, "no match")]
+
+
+def test_verdict_caches_all(spark):
+    # event_ids with every remainder by 3 and 30, users over 50
+    events = [(i, f"2024-01-{1 + i // 2:02d} 00:00:00" if i < 60 else None, 45 + i % 11, ("view", "click")[i % 2], float(i)) for i in range(62)]
+    df = spark.createDataFrame(events, "event_id bigint, ts string, user_id bigint, event_type string, value double").selectExpr("event_id", "to_timestamp(ts) AS ts", "user_id", "event_type", "value")
+    tables = {"events": (df.collect(), df.schema)}
+    first = {}
+    for i, _, user, kind, value in events:
+        first.setdefault((user, kind), (value, i))
+    assert sorted(run(spark, "verdict_cache_first_all", tables)) == sorted((*k, *v) for k, v in first.items())
+    log = {(u, k) for _, ts, u, k, _ in events if ts and ts < "2024-01-16"}
+    requests = [(u, k) for _, ts, u, k, _ in events if not ts or ts >= "2024-01-16"]
+    hits = sum(r in log for r in requests)
+    assert len(requests) + sum(1 for e in events if e[1] and e[1] < "2024-01-16") == len(events)
+    assert sorted(run(spark, "verdict_cache_lookup_all", tables)) == [("hit", hits), ("miss", len(requests) - hits)]
