@@ -20,8 +20,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of runs of two lines or more go; documents that lose all their lines go with them. n_chars follows the text."""
-    out = line_dedup.deduplicate(docs, min_lines=2).where("n_removed = 0 OR n_removed < n_lines")
+    """Later copies of runs of two lines or more, and of lines of 50 words or more, go; documents that lose all their lines go with them. n_chars follows the text."""
+    out = line_dedup.deduplicate(docs, min_lines=2, long_words=50).where("n_removed = 0 OR n_removed < n_lines")
     columns = {c: F.col(c) for c in docs.columns}
     if "n_chars" in columns:
         columns["n_chars"] = F.when(F.col("n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))

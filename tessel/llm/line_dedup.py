@@ -26,6 +26,9 @@ from pyspark.sql import functions as F
 from .common import drop, written
 from .quality import SPACES, let
 
+#: A run of characters that are no white space of SPACES.
+WORD = r"[^\x20\x09-\x0D]+"
+
 
 def _lines(text: Column) -> Column:
     return F.split(text, "\n")
@@ -65,21 +68,25 @@ def later_copies(lines: DataFrame, min_lines: int) -> DataFrame:
     return suffixes.where(place != F.col("first")).select("doc", "n")
 
 
-def deduplicate(docs: DataFrame, min_lines: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, min_lines: int = 2, id_col: str = "doc_id", text_col: str = "text", long_words: int | None = None) -> DataFrame:
     """docs with later copies of repeated runs of min_lines lines or more taken out of the text, and with n_lines
-    (non-blank lines before) and n_removed. Texts that lose nothing are unchanged."""
+    (non-blank lines before) and n_removed. Texts that lose nothing are unchanged. With long_words, a line of so many words
+    or more is a run by itself: its later copies go too, from documents of any number of lines."""
     names = docs.columns
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     # a document is known by its doc_id and its text; plain names keep any column names of docs apart from ours
     keyed = docs.select(*[F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(names)], F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("text")).alias("doc"), text.alias("whole"))
     lines = (
         keyed.select("doc", F.filter(_lines(F.col("whole")), lambda x: ~_blank(x)).alias("lines"))
-        .where(F.size("lines") >= min_lines)
+        .where(F.size("lines") >= (min_lines if long_words is None else 1))
         .select("doc", F.posexplode("lines").alias("n", "line"))
-        .select("doc", "n", F.unhex(F.left(F.sha2("line", 256), F.lit(32))).alias("line"))
+        .select("doc", "n", F.unhex(F.left(F.sha2("line", 256), F.lit(32))).alias("line"), *([] if long_words is None else [(F.regexp_count("line", F.lit(WORD)) >= long_words).alias("long")]))
     )
-    gone = later_copies(written(lines, "lines"), min_lines)
+    lines = written(lines, "lines")
+    gone = later_copies(lines, min_lines)
     gone = gone.select(F.col("doc").alias("gone_doc"), F.explode(F.sequence("n", F.col("n") + (min_lines - 1))).alias("n"))
+    if long_words is not None:
+        gone = gone.union(later_copies(lines.where("long"), 1))
     gone = written(gone.groupBy("gone_doc").agg(F.collect_set("n").alias("gone")), "gone")
 
     def without(all_lines: Column) -> Column:

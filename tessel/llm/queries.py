@@ -134,6 +134,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op10_line_dedup_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op10_line_dedup in which a line of 50 words or more is a run by itself."""
+    out = line_dedup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"), min_lines=2, long_words=50)
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 _OP10_SQL = r"""
 WITH a AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
 f AS (SELECT *, regexp_matches(line, '[^\x20\x09-\x0D]') AS filled FROM a),
@@ -148,7 +154,7 @@ FROM n LEFT JOIN gone ON n.doc_id = gone.doc_id AND n.n = gone.n GROUP BY n.doc_
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_bpe_codec, op3_substring_dedup, op4_token_counts, op5_decontaminate, op6_ngram_jaccard, op7_url_filter, op8_toxicity, op9_token_shards, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_quality, op2_bpe_codec, op3_substring_dedup, op4_token_counts, op5_decontaminate, op6_ngram_jaccard, op7_url_filter, op8_toxicity, op9_token_shards, op10_line_dedup, op10_line_dedup_long)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -268,3 +268,27 @@ def test_toxicity(spark, nothing):
     assert sum((r.predicted == 1) == toxic[r.doc_id] for r in held) >= 0.97 * len(held)
     empty = toxicity.train(frame_, labels.limit(0))
     assert empty.bias == 0 and toxicity.score(nothing, model).count() == 0
+
+
+@pytest.mark.parametrize("depth", [2, 3])
+def test_line_dedup_long_lines(spark, nothing, depth):
+    long, longer = " ".join(f"w{i}" for i in range(50)), "\t".join(f"v{i}" for i in range(60))
+    short = " ".join(f"w{i}" for i in range(49))
+    rows = [(1, long), (2, f"a\n{long}\nb"), (3, f"{short}\nx"), (4, short), (5, f"{longer}\n\n{longer}"), (6, f"a\n{long}"), (6, f"{longer}\nq"), (7, "\na\n" + long + "\nb\nc"), (8, long), (9, None), (10, "")]
+    seen, seen_runs, expected = set(), set(), []
+    for doc_id, text in sorted(rows, key=lambda r: (r[0], rows.index(r))):
+        lines = (text or "").split("\n")
+        filled = [i for i, x in enumerate(lines) if words(x)]
+        gone = set()
+        for k, i in enumerate(filled):
+            if len(words(lines[i])) >= 50:
+                gone |= {i} if lines[i] in seen else set()
+                seen.add(lines[i])
+            run = tuple(lines[j] for j in filled[k : k + depth])
+            if len(run) == depth:
+                gone |= set(filled[k : k + depth]) if run in seen_runs else set()
+                seen_runs.add(run)
+        expected.append((doc_id, "\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else text, len(filled), len(gone)))
+    assert (8, "", 1, 1) in expected and (4, short, 1, 0) in expected
+    assert got(line_dedup.deduplicate(frame(spark, rows), depth, long_words=50), "doc_id", "text", "n_lines", "n_removed") == want(expected)
+    assert line_dedup.deduplicate(nothing, depth, long_words=50).count() == 0
