@@ -317,14 +317,20 @@ def components(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str =
 
 
 def one_of_each(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component, with their own columns. Exactly repeated rows become one."""
-    found = components(docs, size, percent, id_col, text_col)
-    stay = found.groupBy("doc_id").agg(F.count("*").alias("times"), F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays")).where("stays")
-    stay = written(stay.select(F.col("doc_id").alias("stay_id"), "times"), "stay")
+    """One row of docs of each component, with its own columns: of the smallest doc_id (null comes last), then of the smallest digest of
+    the text, then of the smallest hash of the row. Texts without words are alike to none: of them only rows with the same
+    doc_id and text become one."""
     rows, names = plain(docs)
-    same = F.col(names[docs.columns.index(id_col)]).eqNullSafe(F.col("stay_id"))
-    once = rows.join(stay.where("times = 1"), same, "left_semi")
-    again = rows.join(stay.where("times > 1"), same, "left_semi").dropDuplicates()
+    own_id, own_text = (F.col(names[docs.columns.index(c)]) for c in (id_col, text_col))
+    known = F.struct(own_id.isNull().alias("none"), own_id.alias("id"), F.unhex(F.md5(own_text.cast("string"))).alias("text"))
+    keyed = rows.withColumn("stay_key", known)
+    found = components(keyed.select(F.col("stay_key").alias("doc_id"), own_text.cast("string").alias("text")), size, percent)
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("times"))
+    stay = written(stay.select(F.col("doc_id").alias("stay_id"), "times"), "stay")
+    same = F.col("stay_key").eqNullSafe(F.col("stay_id"))
+    once = keyed.join(stay.where("times = 1"), same, "left_semi").drop("stay_key")
+    again = keyed.join(stay.where("times > 1"), same, "left_semi")
+    again = again.groupBy("stay_key").agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("row")).select("row.*")
     return once.union(again).toDF(*docs.columns)
 
 

@@ -292,3 +292,13 @@ def test_line_dedup_long_lines(spark, nothing, depth):
     assert (8, "", 1, 1) in expected and (4, short, 1, 0) in expected
     assert got(line_dedup.deduplicate(frame(spark, rows), depth, long_words=50), "doc_id", "text", "n_lines", "n_removed") == want(expected)
     assert line_dedup.deduplicate(nothing, depth, long_words=50).count() == 0
+
+
+def test_one_of_each_with_null_and_shared_ids(spark):
+    say = lambda kind, k=60: " ".join(f"{kind}{i}" for i in range(k))
+    near = lambda kind: say(kind, 59) + " edited"
+    rows = [(None, say("a")), (None, near("a")), (None, ""), (None, None), (None, say("b")), (1, near("b")), (2, say("c")), (2, near("c")), (3, say("d")), (3, say("e")), (4, near("d")), (5, say("f")), (5, say("f").upper()), (5, say("f")), (6, ""), (6, "")]
+    kept = [(r.doc_id, r.text) for r in jaccard.one_of_each(frame(spark, rows), 5, 80).collect()]
+    groups = [[(None, say("a")), (None, near("a"))], [(1, near("b"))], [(2, say("c")), (2, near("c"))], [(3, say("d"))], [(3, say("e"))], [(5, say("f")), (5, say("f").upper())], [(None, "")], [(None, None)], [(6, "")]]
+    assert len(kept) == len(groups)
+    assert all(sum(k in g for k in kept) == 1 for g in groups)
