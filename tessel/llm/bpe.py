@@ -5,8 +5,8 @@ lazily. It rests on two facts about BPE: the encoding of every prefix of a text
 and a token sequence is an encoding exactly if each adjacent pair of tokens is (merging the bytes of
 the two gives back the two). A state of the transducer holds, for each place in the input where a
 token may still be open, the bytes of that open token and the tokens chosen before it; reading one
-byte advances all of them. Tokens that all hypotheses agree on are emitted. An open token is a prefix
-of a vocabulary entry, so the lookahead is bounded by the longest entry. States and transitions are
+byte advances all of them. In pre-tokens of more than 1,024 bytes, tokens that all hypotheses agree on are emitted
+after every 1,024; shorter ones are read to their end first. States and transitions are
 made when first needed and memoised (bounded, emptied when full).
 
 Decoding is streaming: chunks of ids become text through an incremental UTF-8 state machine that
@@ -55,6 +55,8 @@ class Transducer:
     """Bytes of one pre-token to ids."""
 
     NEVER = 1 << 60
+    #: Bytes of one pre-token between looks at what can be emitted and at the number of states.
+    STEP = 1024
 
     def __init__(self, ranks: dict[bytes, int], most_states: int = 200_000):
         self.ranks, self.most_states = ranks, most_states
@@ -131,20 +133,42 @@ class Transducer:
         return self._state(tuple(going)), (self.ranks[closed], len(closed))
 
     def encode(self, piece: bytes) -> list[int]:
-        """Tokens are known once the input is a longest entry ahead of them, as no open token reaches back further; short pieces are read to their end first."""
-        if len(self.states) > self.most_states:
-            self._reset()
-        state, lasts = self.start, []
-        for byte in piece:
-            state, last = state[byte]
-            lasts.append(last)
-        out, at = [], len(lasts)
+        """Pieces of up to STEP bytes are read to their end, then walked back; of longer ones, what all open places agree on
+        leaves after every STEP bytes."""
+        out, lasts, state = [], [], self.start
+        for at in range(0, len(piece), self.STEP):
+            if len(self.states) > self.most_states:
+                places = state.open_places
+                self._reset()
+                state = self._state(places)
+            if at:
+                self._emit(lasts, self._agreed(state, lasts), out)
+            for byte in piece[at : at + self.STEP]:
+                state, last = state[byte]
+                lasts.append(last)
+        self._emit(lasts, len(lasts), out)
+        return out
+
+    @staticmethod
+    def _agreed(state: State, lasts: list[tuple[int, int]]) -> int:
+        """The last border that the encodings up to all open places have in common."""
+        borders = {len(lasts) - len(part) for _, part in state.open_places}
+        while len(borders) > 1:
+            last = max(borders)
+            borders.remove(last)
+            borders.add(last - lasts[last - 1][1])
+        return borders.pop()
+
+    @staticmethod
+    def _emit(lasts: list[tuple[int, int]], end: int, out: list[int]) -> None:
+        """Moves the tokens up to a border from lasts (for each byte, the last token and its length) to out."""
+        tokens, at = [], end
         while at:
             token, length = lasts[at - 1]
-            out.append(token)
+            tokens.append(token)
             at -= length
-        out.reverse()
-        return out
+        out += reversed(tokens)
+        del lasts[:end]
 
 
 class Irregular(Exception):

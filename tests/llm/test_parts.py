@@ -81,3 +81,22 @@ def test_query_matches_sql(spark, name):
     assert sorted(result.columns) == columns
     place = [result.columns.index(c) for c in columns]
     assert sorted(repr(tuple(r[c] for c in columns)) for r in df.collect()) == sorted(repr(tuple(r[i] for i in place)) for r in result.fetchall())
+
+
+def test_transducer_holds_little_of_a_long_piece(monkeypatch):
+    import tiktoken
+
+    ranks = bpe.load_ranks(P.path("byte_bpe_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    machine, most = bpe.Transducer(ranks, most_states=300), [0, 0]
+    agreed = machine._agreed
+
+    def watched(state, lasts):
+        most[:] = max(most[0], len(lasts)), max(most[1], len(machine.states))
+        return agreed(state, lasts)
+
+    monkeypatch.setattr(machine, "_agreed", watched)
+    rng = random.Random(5)
+    for piece in ("".join(rng.choice("etaoinshrdlu") for _ in range(30_000)), "z" * 20_000, "abc" * 7_000, "é日本" * 3_000):
+        assert machine.encode(piece.encode()) == library.encode_ordinary(piece)
+    assert 0 < most[0] < 2 * machine.STEP and most[1] <= 300 + machine.STEP
