@@ -1,11 +1,13 @@
-"""What several operators share: texts as Arrow batches, memoised word work, a filter of fixed size."""
+"""What several operators share: texts as Arrow batches, hashes of words and shingles, a filter of bounded size."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,29 +38,27 @@ def byte_rows(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return batch.column(column).cast(pa.binary()).to_pylist()
 
 
-def arrow_schema(ddl: dict[str, pa.DataType]) -> pa.Schema:
-    return pa.schema(list(ddl.items()))
+def utf8(column: pa.Array) -> pa.Array:
+    """The column's texts; bytes that are no UTF-8 become U+FFFD."""
+    try:
+        column.validate(full=True)
+        return column
+    except pa.ArrowInvalid:
+        return pa.array([b.decode("utf-8", "replace") for b in column.cast(pa.binary()).to_pylist()], pa.string())
 
 
-class Memo:
-    """Values by key, computed for many missing keys at once; emptied when it would pass `limit` keys."""
+def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch in which the column has at most `most` bytes, or which are one row."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = done = 0
+    while at < len(ends):
+        after = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
+        yield batch.slice(at, after - at)
+        at, done = after, int(ends[after - 1])
 
-    def __init__(self, compute: Callable[[list], Iterable], limit: int = 500_000):
-        self.compute, self.limit, self.table = compute, limit, {}
 
-    def __call__(self, keys: list) -> list:
-        found = list(map(self.table.get, keys))
-        if None not in found:
-            return found
-        missing = list({k for k, v in zip(keys, found) if v is None})
-        if len(self.table) + len(missing) > self.limit:
-            self.table.clear()
-            missing = list(set(keys))
-        self.table.update(zip(missing, self.compute(missing)))
-        found = list(map(self.table.get, keys))
-        if len(self.table) > self.limit:  # one text with more distinct words than the limit
-            self.table.clear()
-        return found
+def arrow_schema(ddl: dict[str, pa.DataType]) -> pa.Schema:
+    return pa.schema(list(ddl.items()))
 
 
 def groups(rows: list, weight: Callable[[object], int], most: int) -> Iterator[list]:
@@ -78,22 +78,9 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes that are hashed at once; longer texts are cut at white space.
 STRIP_BYTES = 1 << 17
-_BASE = 0x9E3779B97F4A7C15
-_powers: list[np.ndarray] = []
-
-
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse, modulo 2 ** 64."""
-    if not _powers or len(_powers[0]) < n:
-        out = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            values = np.full(max(n, STRIP_BYTES + 1), base, np.uint64)
-            values[0] = 1
-            out.append(np.multiply.accumulate(values))
-        if n > 4 * STRIP_BYTES:  # one enormous word: not kept
-            return out[0], out[1]
-        _powers[:] = out
-    return _powers[0], _powers[1]
+#: Words of more bytes are hashed one by one.
+SHORT_WORD = 64
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix(values: np.ndarray) -> np.ndarray:
@@ -102,25 +89,33 @@ def mix(values: np.ndarray) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
-def _hash_strip(strip: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of a strip that ends with white space, and where they begin."""
+def _hash_strip(strip: bytes, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of a strip that ends with white space, and where they begin. Eight bytes of a word after the other are
+    mixed in, over all words at once: no two words of one length up to 8 bytes agree."""
     data = np.frombuffer(strip, np.uint8)
     space = _SPACE[data]
     edges = np.flatnonzero(space[1:] != space[:-1]) + 1
     if len(data) and not space[0]:
         edges = np.concatenate([[0], edges])
     starts, ends = edges[0::2], edges[1::2]
-    power, inverse = _powers_to(len(data))
-    sums = np.cumsum((data + np.uint64(1)) * power[: len(data)])
-    before = sums[starts - 1]  # for a word at 0 this is the last sum
-    if len(starts) and starts[0] == 0:
-        before[0] = 0
-    return mix((sums[ends - 1] - before) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), starts
-
-
-def word_hashes(texts: list[bytes]) -> Iterator[np.ndarray]:
-    """For each text the hashes of its words `[^\x20\x09-\x0D]+`, without making the words: prefix sums of a polynomial over the
-    bytes of many short texts at once, or of a strip of a long one."""
+    lengths = ends - starts
+    # the eight bytes from each place
+    eight = np.ndarray(len(data), "<u8", strip + bytes(8), strides=(1,))
+    out = mix((lengths.astype(np.uint64) + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15) ^ (eight[starts] & _MASK[np.minimum(lengths, 8)]))
+    left, at = np.flatnonzero(lengths > 8), 8
+    while len(left) and at < SHORT_WORD:
+        part = eight[starts[left] + at] & _MASK[np.minimum(lengths[left] - at, 8)]
+        out[left] = mix((out[left] + np.uint64(at)) * np.uint64(0xD6E8FEB86659FD93) ^ part)
+        at += 8
+        left = left[lengths[left] > at]
+    for i in left.tolist():
+        out[i] = xxhash.xxh3_64_intdigest(strip[starts[i] : ends[i]], seed)
+    return out, starts
+
+
+def word_hashes(texts: list[bytes], seed: int = 0) -> Iterator[np.ndarray]:
+    """For each text the hashes of its words `[^\x20\x09-\x0D]+`, without making the words: of many short texts at once, or of a strip of
+    a long one. Hashes with different seeds are independent."""
     for part in groups(texts, lambda t: len(t) + 1, STRIP_BYTES):
         joined = b"\n".join(part) + b"\n"
         found, at = [], 0
@@ -132,7 +127,7 @@ def word_hashes(texts: list[bytes]) -> Iterator[np.ndarray]:
                 if cut < 0:
                     cut = min(x for x in (joined.find(b, at + STRIP_BYTES) for b in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")) if x >= 0) - at
                 end = at + cut + 1
-            hashes, starts = _hash_strip(joined[at:end])
+            hashes, starts = _hash_strip(joined[at:end], seed)
             found.append((hashes, starts + at))
             at = end
         hashes, starts = found[0] if len(found) == 1 else (np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
@@ -156,40 +151,45 @@ def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
 
 
 class Filter:
-    """A Bloom filter of one fixed size, whatever is put in: 64 slices, 16 MB. When it fills up it lets more through, and never too little."""
+    """A Bloom filter of 64 slices with 16 bits a key: at most LIMIT keys and so 16 MB. It lets a few more through, and never too little."""
 
-    SLICES, BITS = 64, 1 << 21
+    SLICES, LIMIT = 64, 8 << 20
 
     def __init__(self, bits: np.ndarray):
         self.bits = bits  # slices x bytes
 
     @classmethod
-    def _places(cls, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _places(cls, values: np.ndarray, slice_bits: int) -> tuple[np.ndarray, np.ndarray]:
         mixed = values * np.uint64(0xD6E8FEB86659FD93)
         mixed ^= mixed >> np.uint64(32)
-        return ((values >> np.uint64(8)) % np.uint64(cls.BITS)).astype(np.int64), (mixed % np.uint64(cls.BITS)).astype(np.int64)
+        return ((values >> np.uint64(8)) % np.uint64(slice_bits)).astype(np.int64), (mixed % np.uint64(slice_bits)).astype(np.int64)
 
     def has(self, values: np.ndarray) -> np.ndarray:
-        rows = (values % np.uint64(self.SLICES)).astype(np.int64) * (self.BITS // 8)
+        width = self.bits.shape[1]
+        rows = (values % np.uint64(self.SLICES)).astype(np.int64) * width
         flat, out = self.bits.reshape(-1), None
-        for place in self._places(values):
+        for place in self._places(values, 8 * width):
             bit = (flat[rows + (place >> 3)] >> (place & 7).astype(np.uint8)) & np.uint8(1)
             out = bit if out is None else out & bit
         return out.astype(bool)
 
     @classmethod
-    def of(cls, values: DataFrame) -> Filter:
-        """From a table with one bigint column. Each slice is built in one task, as a bitmap; a task has a few; what comes to the driver is the fixed 16 MB."""
-        name = values.columns[0]
+    def of(cls, values: DataFrame) -> Filter | None:
+        """From a written table with one bigint column; None if it has more than LIMIT rows, for which the caller joins instead. Each
+        slice is built in one task, as a bitmap; what comes to the driver is at most 16 MB."""
+        name, n = values.columns[0], values.count()
+        if n > cls.LIMIT:
+            return None
+        slice_bits = max(1 << 10, 1 << (16 * n // cls.SLICES).bit_length())
 
         def build(batches):
             slices: dict[int, np.ndarray] = {}
             for batch in batches:
                 found = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
                 numbers = (found % np.uint64(cls.SLICES)).astype(np.int64)
-                one, two = cls._places(found)
+                one, two = cls._places(found, slice_bits)
                 for number in np.unique(numbers).tolist():
-                    bits = slices.setdefault(number, np.zeros(cls.BITS, bool))
+                    bits = slices.setdefault(number, np.zeros(slice_bits, bool))
                     mine = numbers == number
                     bits[one[mine]] = True
                     bits[two[mine]] = True
@@ -197,8 +197,8 @@ class Filter:
                 yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["slice", "bits"])
 
         # the low 6 bits are the slice, for negative numbers too
-        dealt = values.where(F.col(name).isNotNull()).repartition(16, F.col(name).bitwiseAND(cls.SLICES - 1))
-        out = np.zeros((cls.SLICES, cls.BITS // 8), np.uint8)
+        dealt = values.where(F.col(name).isNotNull()).repartition(4 if n < 100_000 else cls.SLICES, F.col(name).bitwiseAND(cls.SLICES - 1))
+        out = np.zeros((cls.SLICES, slice_bits // 8), np.uint8)
         for row in dealt.mapInArrow(build, "slice bigint, bits binary").collect():
             out[row["slice"]] |= np.frombuffer(row["bits"], np.uint8)
         return cls(out)
