@@ -10,12 +10,13 @@ the first key of a block is whole. Values are ids as little-endian 16-bit intege
 needs it. Blocks are compressed. The sparse index has each block's first key and place, so a look-up asks
 the Bloom filter, bisects the index and scans one block.
 
-Writing: the table is range-partitioned and sorted by identifier once; each task encodes its texts and writes one
-shard under a temporary name, then renames it, so a task that runs again after the loss of an executor
-leaves the same file. The manifest has one row per shard. Reading back is one task per few shards.
+Writing: the table is range-partitioned and sorted by identifier once; each task encodes its texts and writes them as shards of about
+SHARD_BYTES, each under a temporary name that is then changed, so a task that runs again after the loss of an executor
+leaves the same files; what a lost attempt left is removed at the end. A shard's keys are held until it is closed, for its Bloom filter.
+The manifest has one row per shard. Reading back is one task per few shards, block by block.
 
 Defined cases: null text is empty (only the end id is stored); a null identifier is a key of its own and comes first;
-repeated identifiers are kept as separate entries, ordered by text; an empty table gives no shard;
+repeated identifiers are kept as separate entries, ordered by text; bytes that are no UTF-8 are read as U+FFFD; an empty table gives no shard;
 other columns are ignored.
 """
 
@@ -38,11 +39,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_rows, groups, new_path, texts
+from .common import new_path, slices, texts, utf8
 from .token_counts import GROUP_BYTES, loaded
 
 MAGIC = b"tsslsst1"
 BLOCK_BYTES = 256 << 10
+#: Compressed bytes and documents from which a shard is closed.
+SHARD_BYTES, SHARD_DOCS = 128 << 20, 1 << 20
 BLOOM_BITS_A_KEY = 10
 BLOOM_HASHES = 7
 
@@ -75,9 +78,11 @@ def _read_varint(data: bytes, at: int) -> tuple[int, int]:
         shift += 7
 
 
-def _places(key: bytes, bits: int) -> list[int]:
-    one, two = xxhash.xxh3_64_intdigest(key), xxhash.xxh3_64_intdigest(key, 1) | 1
-    return [(one + i * two & 0xFFFFFFFFFFFFFFFF) % bits for i in range(BLOOM_HASHES)]
+def _places(keys: list[bytes], bits: int) -> np.ndarray:
+    """Bits of a Bloom filter: a row for each key."""
+    one = np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64)
+    two = np.array([xxhash.xxh3_64_intdigest(k, 1) | 1 for k in keys], np.uint64)
+    return ((one[:, None] + np.arange(BLOOM_HASHES, dtype=np.uint64) * two[:, None]) % np.uint64(bits)).astype(np.int64)
 
 
 class ShardWriter:
@@ -126,10 +131,10 @@ class ShardWriter:
         self._flush()
         index = b"".join(_varint(len(k)) + k + _varint(at) + _varint(size) + _varint(n) for k, at, size, n in self.index)
         bits = max(64, -(-self.docs * BLOOM_BITS_A_KEY // 8) * 8)
-        bloom = np.zeros(bits // 8, np.uint8)
-        for key in self.hashes:
-            for p in _places(key, bits):
-                bloom[p >> 3] |= 1 << (p & 7)
+        bloom = np.zeros(bits, bool)
+        for at in range(0, len(self.hashes), 1 << 16):
+            bloom[_places(self.hashes[at : at + (1 << 16)], bits)] = True
+        bloom = np.packbits(bloom, bitorder="little")
         footer = json.dumps({"docs": self.docs, "ids": self.ids, "index": [self.at, len(index)], "bloom": [self.at + len(index), len(bloom)], "blocks": len(self.index)}).encode()
         self.out.write(index + bloom.tobytes() + footer + struct.pack("<I", len(footer)) + MAGIC)
         return {"docs": self.docs, "ids": self.ids, "first": self.least, "last": self.most}
@@ -162,9 +167,9 @@ class Shard:
         return self.file.read(n)
 
     def may_have(self, key: bytes) -> bool:
-        return all(self.bloom[p >> 3] >> (p & 7) & 1 for p in _places(key, 8 * len(self.bloom)))
+        return all(self.bloom[p >> 3] >> (p & 7) & 1 for p in _places([key], 8 * len(self.bloom))[0].tolist())
 
-    def _block(self, number: int) -> Iterator[tuple[bytes, np.ndarray]]:
+    def block(self, number: int) -> Iterator[tuple[bytes, np.ndarray]]:
         _, place, length, entries = self.index[number]
         data, at, key = self.codec.decompress(self._bytes(place, length)), 0, b""
         for _ in range(entries):
@@ -178,7 +183,7 @@ class Shard:
 
     def entries(self) -> Iterator[tuple[bytes, np.ndarray]]:
         for number in range(len(self.index)):
-            yield from self._block(number)
+            yield from self.block(number)
 
     def get(self, identifier: int | None) -> list[np.ndarray]:
         """The ids of every entry with this identifier."""
@@ -191,7 +196,7 @@ class Shard:
             number -= 1
         out = []
         while number < len(self.index) and firsts[number] <= key:
-            out += [ids for k, ids in self._block(number) if k == key]
+            out += [ids for k, ids in self.block(number) if k == key]
             number += 1
         return out
 
@@ -205,7 +210,7 @@ def open_shard(path: str) -> Shard:
     return Shard(files.open_input_file(place))
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", n_shards: int | None = None) -> list[dict]:
+def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", n_shards: int | None = None, shard_bytes: int = SHARD_BYTES, shard_docs: int = SHARD_DOCS) -> list[dict]:
     """Encode every whole text, append end_id, write the shards below `path`, and give the manifest: one small row per shard, in key order."""
     spark = docs.sparkSession
     rows = texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("bigint"))
@@ -214,26 +219,38 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     files.create_dir(folder, recursive=True)
 
     def run(batches):
-        tokenizer, writer, out = loaded(tokenizer_path), None, None
+        tokenizer = loaded(tokenizer_path)
         files, folder = _files(path)
-        name = f"{TaskContext.get().partitionId():06d}.sst"
-        temporary = f"{folder}/.{name}.{uuid.uuid4().hex}"
-        end = struct.pack("<I", end_id)
-        for batch in batches:
-            keys, data = batch.column("doc_id").to_pylist(), byte_rows(batch)
-            for part in groups(list(zip(keys, data)), lambda r: len(r[1]), GROUP_BYTES):
-                if writer is None:
-                    writer = ShardWriter(out := files.open_output_stream(temporary))
-                for (key, _), words in zip(part, tokenizer.words([t for _, t in part])):
-                    writer.add(key_of(key), np.frombuffer(b"".join(words) + end, "<u4"))
-        if writer is not None:
+        task, number, writer = TaskContext.get().partitionId(), 0, None
+        schema = pa.schema([("name", pa.string()), ("first_key", pa.binary()), ("docs", pa.int64()), ("ids", pa.int64())])
+
+        def closed() -> pa.RecordBatch:
             made = writer.close()
             out.close()
             files.move(temporary, f"{folder}/{name}")
-            yield pa.RecordBatch.from_pylist([{"name": name, "first_key": made["first"], "docs": made["docs"], "ids": made["ids"]}], pa.schema([("name", pa.string()), ("first_key", pa.binary()), ("docs", pa.int64()), ("ids", pa.int64())]))
+            return pa.RecordBatch.from_pylist([{"name": name, "first_key": made["first"], "docs": made["docs"], "ids": made["ids"]}], schema)
+
+        for batch in batches:
+            for part in slices(batch, "text", GROUP_BYTES):
+                ids, ends = tokenizer.words(utf8(part.column("text"))).text_ids()
+                starts = np.r_[0, ends[:-1]]
+                for key, start, end in zip(part.column("doc_id").to_pylist(), starts.tolist(), ends.tolist()):
+                    if writer is None:
+                        name = f"{task:06d}-{number:06d}.sst"
+                        temporary = f"{folder}/.{name}.{uuid.uuid4().hex}"
+                        writer = ShardWriter(out := files.open_output_stream(temporary))
+                    writer.add(key_of(key), np.append(ids[start:end], np.uint32(end_id)))
+                    if writer.at >= shard_bytes or writer.docs >= shard_docs:
+                        yield closed()
+                        writer, number = None, number + 1
+        if writer is not None:
+            yield closed()
 
     ordered = rows.repartitionByRange(n_shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     made = ordered.mapInArrow(run, "name string, first_key binary, docs bigint, ids bigint").collect()
+    for left in files.get_file_info(pafs.FileSelector(folder)):
+        if left.base_name.startswith("."):
+            files.delete_file(left.path)
     manifest, start = [], 0
     for row in sorted(made, key=lambda r: r["name"]):
         manifest.append({"path": f"{path}/{row['name']}", "start": start, "docs": row["docs"], "ids": row["ids"]})
@@ -247,14 +264,16 @@ def read_shards(spark: SparkSession, manifest: list[dict]) -> DataFrame:
     def run(batches):
         for batch in batches:
             for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist()):
-                keys, starts, counts, sums = [], [], [], []
-                for key, ids in open_shard(path).entries():
-                    keys.append(identifier_of(key))
-                    starts.append(start)
-                    counts.append(len(ids))
-                    sums.append(zlib.crc32(ids.tobytes()))
-                    start += len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (keys, starts, counts, sums)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                shard = open_shard(path)
+                for number in range(len(shard.index)):
+                    keys, starts, counts, sums = [], [], [], []
+                    for key, ids in shard.block(number):
+                        keys.append(identifier_of(key))
+                        starts.append(start)
+                        counts.append(len(ids))
+                        sums.append(zlib.crc32(ids.tobytes()))
+                        start += len(ids)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (keys, starts, counts, sums)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     shards = spark.createDataFrame([(m["path"], m["start"]) for m in manifest], "path string, start bigint")
     return shards.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")

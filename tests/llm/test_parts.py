@@ -5,10 +5,11 @@ from __future__ import annotations
 import codecs
 import random
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 
-from tessel.llm import bpe, queries, urls
+from tessel.llm import bpe, queries, sstable, token_counts, urls
 
 
 def test_transducer_is_the_library():
@@ -17,7 +18,7 @@ def test_transducer_is_the_library():
     ranks = bpe.load_ranks(P.path("byte_bpe_50k.tiktoken"))
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     encoder = bpe.Encoder(ranks, P.PATTERN)
-    encoder.machine.most_states = 500  # forgets now and then
+    encoder.machine.MOST_STATES = 500  # forgets now and then
     rng = random.Random(2)
     parts = ["a", "the", " ", "  ", "\n", "\t", "é", "1", "23", "'s", "'", "!", "\x1c", "\x85", " ", "日本", "🙂", "́", "<|endoftext|>", "ing", "tion", "\r\n", " \n", "²", "\x0b"]
     for _ in range(3000):
@@ -27,6 +28,67 @@ def test_transducer_is_the_library():
     assert encoder.encode(long) == library.encode_ordinary(long)
 
 
+def test_many_texts_at_once(monkeypatch):
+    """Regular and irregular white space, simple words, long ends and long pieces together, while states are forgotten."""
+    import pyarrow as pa
+    import tiktoken
+
+    ranks = bpe.load_ranks(P.path("byte_bpe_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(6)
+    signs = list("aAbé ß中文字'  \n\n\t.,;:!?#|0123  \x1c\x85ôöɏɐ🙂ntsverll")
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 60))) for _ in range(1500)] + ["", " ", "a" * 5000, "ab" * 3000 + " " + "x" * 70 + ".........", "hello......... world,,,,,,,,,,,,", "中" * 500, "don't they'll we've I'm"]
+    encoder = bpe.Encoder(ranks, P.PATTERN)
+    for lanes, states in ((8192, 300_000), (16, 400)):
+        monkeypatch.setattr(encoder.machine, "LANES", lanes)
+        monkeypatch.setattr(encoder.machine, "MOST_STATES", states)
+        ids, counts = encoder.encode_many(pa.array(texts))
+        ends = counts.cumsum()
+        assert [ids[e - n : e].tolist() for e, n in zip(ends, counts)] == [library.encode_ordinary(t) for t in texts]
+    assert encoder.encode_many(pa.array([], pa.string()))[0].tolist() == []
+
+
+def test_prefix_counts_are_the_library():
+    import pyarrow as pa
+
+    tokenizer = token_counts.loaded(P.path("word_bpe_49k.json"))
+    count = lambda text: len(tokenizer.library.encode(text, add_special_tokens=False).ids)
+    rng = random.Random(7)
+    parts = list("aAbé ß中文字'  \n\t\v\f.,;:!?#|0123\x1c\x85ôöɏɐ🙂édntsverllİΣσſḰ가") + ["<|endoftext|>", "<|startoftext|>", "<|endo", "'re", "'ll", "internation"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(120)] + ["", " ", "we'd've 'twas <|endoftext|>ok<|endoftext|>", "".join(rng.choices("etaoinshrdlu", k=150)), "中文" * 60]
+    found = tokenizer.words(pa.array(texts))
+    ids, ends = found.text_ids()
+    assert [ids[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends)] == [tokenizer.library.encode(t, add_special_tokens=False).ids for t in texts]
+    for text in texts:
+        counts = token_counts.PrefixCounts(tokenizer, text)
+        each = [count(text[:k]) for k in range(len(text) + 1)]
+        assert [counts.at(k) for k in range(len(text) + 1)] == each, text
+        for budget in (0, 1, 4, 20):
+            fit = counts.fits(budget)
+            # what follows up to the next fitting prefix is white space
+            assert each[fit] <= budget and all(each[k] > budget or not text[fit:k].strip(" \t\n\v\f\r") for k in range(fit + 1, len(text) + 1)), (text, budget)
+    unspaced = "".join(rng.choices("etaoinshrdlu", k=20_000))
+    kept = token_counts.PrefixCounts(tokenizer, unspaced).truncated(2048)
+    assert count(kept) <= 2048 < count(unspaced[: len(kept) + 3]) + 2 and len(kept) > 2048
+
+
+def test_shard_of_many_blocks(tmp_path):
+    rng = np.random.default_rng(8)
+    entries = [(sstable.key_of(k // 3), rng.integers(0, 70_000 if k % 5 == 0 else 60_000, k % 40).astype(np.uint32)) for k in range(3000)]
+    with open(tmp_path / "a.sst", "wb") as out:
+        writer = sstable.ShardWriter(out, block_bytes=700)
+        for key, ids in entries:
+            writer.add(key, ids)
+        assert writer.close()["docs"] == 3000
+    shard = sstable.open_shard(str(tmp_path / "a.sst"))
+    assert len(shard.index) > 100
+    assert [(k, v.tolist()) for k, v in shard.entries()] == [(k, v.tolist()) for k, v in entries]
+    for k in (0, 1, 7, 500, 999):
+        assert [v.tolist() for v in shard.get(k)] == [v.tolist() for key, v in entries if key == sstable.key_of(k)]
+    assert shard.get(1000) == shard.get(-1) == shard.get(None) == []
+    assert sum(shard.may_have(sstable.key_of(k)) for k in range(5000, 7000)) < 80
+
+
 def test_streaming_utf8():
     rng = random.Random(3)
     for _ in range(2000):
@@ -88,15 +150,16 @@ def test_transducer_holds_little_of_a_long_piece(monkeypatch):
 
     ranks = bpe.load_ranks(P.path("byte_bpe_50k.tiktoken"))
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    machine, most = bpe.Transducer(ranks, most_states=300), [0, 0]
+    machine, most = bpe.Transducer(ranks, lambda a, b: ranks.get(a + b, bpe.Transducer.NEVER)), [0, 0]
+    machine.MOST_STATES = 300
     agreed = machine._agreed
 
     def watched(state, lasts):
-        most[:] = max(most[0], len(lasts)), max(most[1], len(machine.states))
+        most[:] = max(most[0], len(lasts)), max(most[1], len(machine.places))
         return agreed(state, lasts)
 
     monkeypatch.setattr(machine, "_agreed", watched)
     rng = random.Random(5)
     for piece in ("".join(rng.choice("etaoinshrdlu") for _ in range(30_000)), "z" * 20_000, "abc" * 7_000, "é日本" * 3_000):
         assert machine.encode(piece.encode()) == library.encode_ordinary(piece)
-    assert 0 < most[0] < 2 * machine.STEP and most[1] <= 300 + machine.STEP
+    assert 0 < most[0] < 2 * machine.STEP and most[1] <= 300 + machine.STEP + 1
