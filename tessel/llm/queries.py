@@ -39,7 +39,7 @@ def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.deduplicate(table(spark, sf_dir, "documents"), window=35).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return substring.deduplicate(table(spark, sf_dir, "documents"), window=35, batches=3).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 _OP3_SQL = r"""

@@ -4,16 +4,19 @@ A window is 35 consecutive words of one document. Of the shingles of 8 words in
 leftmost of equal ones) is its minimizer: equal windows have equal minimizers at equal offsets, and neighbouring
 windows mostly share theirs. The index holds the minimizers' fingerprints with the number of their places, as sorted
 immutable runs in the shared folder: a new batch is merge-joined with every run, written as a run of its own, and runs are
-compacted into one when there are too many.
+compacted into one when there are too many. A table is put in as several batches, dealt by a hash of the text, so that each is
+joined with the runs before it.
 
 A fingerprint that has been seen at two places makes its windows candidates. Verification compares the candidates' whole
 windows: the words from the first to the last window of one minimizer place are digested at once (copies of long
 passages agree there, and one of them stands for all), and the single windows of what differs are compared one by one within their
-fingerprint. Digests and fingerprints are 64 bits each and independent, so two windows are taken as equal on 128 bits.
+fingerprint. Fingerprints and digests are made of two hashes of each word with different seeds, 64 bits each, so two windows are
+taken as equal on 128 bits.
 
-Bounded memory and skew: documents are streamed; what is broadcast is a filter of fixed size; equal places are counted with
-pre-aggregation, and joins on digests are plain equi-joins that adaptive execution can split. A text is known by its MD5,
-so copies of one text share one verdict.
+Bounded memory and skew: documents are streamed; the repeated fingerprints are broadcast as a filter where they are at most Filter.LIMIT
+(16 MB), and beyond that joined with the places' fingerprints, so that each text comes with its own ones; equal places are counted
+with pre-aggregation, and joins on digests are plain equi-joins that adaptive execution can split. A text is known by its
+MD5, so copies of one text share one verdict.
 
 Defined cases: null text has no words; documents under 35 words lose nothing; windows don't cross documents; repeated rows are copies like any
 others; null ids are kept; an empty table gives an empty result; other columns are ignored.
@@ -22,13 +25,15 @@ others; null ids are kept; an empty table gives an empty result; other columns a
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Filter, byte_rows, drop, groups, id_type, mix, new_path, shingles, texts, word_hashes, written
+from ..scratch import remove
+from .common import Filter, byte_rows, drop, groups, id_type, mix, new_path, shingles, slices, texts, word_hashes, written
 
 SHINGLE = 8
 #: Places that are handled at once within one long text.
@@ -110,7 +115,7 @@ class FingerprintIndex:
         repeated = new.where("n > 1").select("fp")
         for run in history:
             repeated = repeated.union(new.join(self._read(run).select("fp").hint("merge"), "fp").select("fp"))
-        repeated = written(repeated.distinct(), "repeated") if history else repeated
+        repeated = written(repeated, "seen")
         if len(history) + 1 > self.most_runs:
             self.compact()
         return repeated
@@ -128,51 +133,81 @@ class FingerprintIndex:
                 files.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target, f"run-{run[0]:06d}-{run[1]:06d}"), True)
 
 
-def fingerprints(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """fp, n: fingerprints of the minimizer places of all documents, summed by batch of rows."""
+def fingerprints(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", batches: int = 1) -> DataFrame:
+    """batch, fp, n: fingerprints of the minimizer places of all documents, summed by group of rows; batch: a hash of the text, below `batches`."""
+    rows = texts(docs, id_col, text_col).select("text", F.pmod(F.xxhash64("text"), F.lit(batches)).cast("int").alias("batch"))
+
+    def run(arrived):
+        for batch in arrived:
+            numbers = batch.column("batch").to_numpy()
+            data = byte_rows(batch)
+            for number in np.unique(numbers).tolist():
+                for part in groups([data[i] for i in np.flatnonzero(numbers == number).tolist()], len, 32 << 20):
+                    found = [minimizers(one, window)[1] for one in word_hashes(part)]
+                    fp, n = np.unique(np.concatenate(found), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), number, np.int32)), pa.array(fp.view(np.int64)), pa.array(n)], ["batch", "fp", "n"])
+
+    return rows.mapInArrow(run, "batch int, fp bigint, n bigint")
+
+
+def _with_own(corpus: DataFrame, repeated: DataFrame, window: int) -> DataFrame:
+    """text, own (those of its fingerprints that are repeated) of the distinct texts that have any: by joins, for any number of them."""
 
     def run(batches):
         for batch in batches:
             for part in groups(byte_rows(batch), len, 32 << 20):
-                found = [minimizers(one, window)[1] for one in word_hashes(part)]
-                fp, n = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(n)], ["fp", "n"])
+                keys, found = [], []
+                for text, one in zip(part, word_hashes(part)):
+                    fp = np.unique(minimizers(one, window)[1])
+                    keys += [hashlib.md5(text).digest()] * len(fp)
+                    found.append(fp)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(np.concatenate(found).view(np.int64))], ["key", "fp"])
 
-    return texts(docs, id_col, text_col).select("text").mapInArrow(run, "fp bigint, n bigint")
+    places = corpus.mapInArrow(run, "key binary, fp bigint").join(repeated.hint("merge"), "fp", "left_semi")
+    own = places.groupBy("key").agg(F.collect_set("fp").alias("own"))
+    return corpus.withColumn("key", F.unhex(F.md5("text"))).join(own.hint("merge"), "key").select("text", "own")
 
 
-def _places(docs: DataFrame, repeated: Filter, window: int) -> DataFrame:
+def _places(corpus: DataFrame, repeated: DataFrame, window: int) -> DataFrame:
     """One row for each minimizer place whose fingerprint may be repeated: text (MD5), first window, how many windows, fp, digest of their stretch, digests of each window."""
-    held = docs.sparkSession.sparkContext.broadcast(repeated)
+    known = Filter.of(repeated)
+    held = None if known is None else corpus.sparkSession.sparkContext.broadcast(known)
+    source = corpus.withColumn("own", F.lit(None).cast("array<bigint>")) if held else _with_own(corpus, repeated, window)
+
+    def place_rows(data: list[bytes], owns: list) -> pa.RecordBatch | None:
+        with_hits, found = [], []
+        for i, one in enumerate(word_hashes(data)):
+            place, fp, first, last = minimizers(one, window)
+            keep = held.value.has(fp) if held else np.isin(fp, np.array(owns[i], np.int64).view(np.uint64))
+            if keep.any():
+                with_hits.append(data[i])
+                found.append((place[keep], fp[keep], first[keep], last[keep]))
+        if not found:
+            return None
+        keys, firsts, counts, fps, wholes, singles = [], [], [], [], [], []
+        for text, one, (place, fp, first, last) in zip(with_hits, word_hashes(with_hits, seed=1), found):
+            digest = Digests(one)
+            many = last - first + 1
+            wholes.append(digest(first, many + (window - 1)) + mix((place - first).astype(np.uint64)))
+            ends = np.cumsum(many)
+            starts = np.repeat(first - (ends - many), many) + np.arange(ends[-1])
+            single = digest(starts, window).tobytes()
+            keys += [hashlib.md5(text).digest()] * len(fp)
+            firsts.append(first)
+            counts.append(many)
+            fps.append(fp)
+            singles += [single[8 * (e - m) : 8 * e] for e, m in zip(ends.tolist(), many.tolist())]
+        columns = [pa.array(keys, pa.binary()), pa.array(np.concatenate(firsts)), pa.array(np.concatenate(counts)), pa.array(np.concatenate(fps).view(np.int64)), pa.array(np.concatenate(wholes).view(np.int64)), pa.array(singles, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["key", "first", "many", "fp", "whole", "singles"])
 
     def run(batches):
         for batch in batches:
-            keys, firsts, counts, fps, wholes, singles = [], [], [], [], [], []
-            data = byte_rows(batch)
-            for text, one in zip(data, word_hashes(data)):
-                place, fp, first, last = minimizers(one, window)
-                keep = held.value.has(fp)
-                if not keep.any():
-                    continue
-                place, fp, first, last = place[keep], fp[keep], first[keep], last[keep]
-                digest = Digests(one)
-                many = last - first + 1
-                whole = digest(first, many + (window - 1)) + mix((place - first).astype(np.uint64))
-                ends = np.cumsum(many)
-                starts = np.repeat(first - (ends - many), many) + np.arange(ends[-1])
-                single = digest(starts, window).tobytes()
-                key = hashlib.md5(text).digest()
-                keys += [key] * len(fp)
-                firsts.append(first)
-                counts.append(many)
-                fps.append(fp)
-                wholes.append(whole)
-                singles += [single[8 * (e - m) : 8 * e] for e, m in zip(ends.tolist(), many.tolist())]
-            if keys:
-                columns = [pa.array(keys, pa.binary()), pa.array(np.concatenate(firsts)), pa.array(np.concatenate(counts)), pa.array(np.concatenate(fps).view(np.int64)), pa.array(np.concatenate(wholes).view(np.int64)), pa.array(singles, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "first", "many", "fp", "whole", "singles"])
-
-    return texts(docs).select("text").mapInArrow(run, "key binary, first bigint, many bigint, fp bigint, whole bigint, singles binary")
+            for part in slices(batch, "text", 16 << 20):
+                rows = place_rows(byte_rows(part), part.column("own").to_pylist() if not held else [])
+                if rows is not None:
+                    yield rows
+
+    return source.mapInArrow(run, "key binary, first bigint, many bigint, fp bigint, whole bigint, singles binary")
 
 
 def _masks(places: DataFrame) -> DataFrame:
@@ -192,16 +227,19 @@ def _masks(places: DataFrame) -> DataFrame:
             repeat = lambda c: pa.array(np.repeat(c.to_numpy(zero_copy_only=False), many))
             yield pa.RecordBatch.from_arrays([repeat(fp), repeat(whole), repeat(n), pa.array(place), pa.array(data)], ["fp", "whole", "n", "place", "window"])
 
-    single = written(stretches.join(written(mixed, "mixed"), "fp").select("fp", "whole", "n", "singles").mapInArrow(windows, "fp bigint, whole bigint, n bigint, place bigint, window bigint"), "single-windows")
+    mixed = written(mixed, "mixed")
+    single = written(stretches.join(mixed, "fp").select("fp", "whole", "n", "singles").mapInArrow(windows, "fp bigint, whole bigint, n bigint, place bigint, window bigint"), "single-windows")
     twice = single.groupBy("fp", "window").agg(F.sum("n").alias("times")).where("times > 1").select("fp", "window")
     bit = F.expr("shiftleft(CAST(1 AS BIGINT), CAST(place AS INT))")
     differing = single.where("n = 1").join(twice, ["fp", "window"]).groupBy("fp", "whole").agg(F.bit_or(bit).alias("mask"))
-    return written(same.union(differing), "masks")
+    masks = written(same.union(differing), "masks")
+    drop(stretches, mixed, single)
+    return masks
 
 
-def deduplicate(docs: DataFrame, window: int = 35, history: DataFrame | None = None, index: FingerprintIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, window: int = 35, history: DataFrame | None = None, index: FingerprintIndex | None = None, id_col: str = "doc_id", text_col: str = "text", batches: int = 1) -> DataFrame:
     """doc_id, n_words, n_removed, kept (words left, joined by one space) of docs: each word in a window whose words also start
-    anywhere else in docs, or in `history`, whose fingerprints `index` already holds, is removed. Afterwards the index holds docs too."""
+    anywhere else in docs, or in `history`, whose fingerprints `index` already holds, is removed. Afterwards the index holds docs too, put in as so many batches."""
     if not 2 * SHINGLE <= window <= 62 + SHINGLE:
         raise ValueError("windows are of 16 to 70 words")
     spark = docs.sparkSession
@@ -209,9 +247,16 @@ def deduplicate(docs: DataFrame, window: int = 35, history: DataFrame | None = N
     corpus = rows.select("text")
     if history is not None:
         corpus = corpus.union(texts(history, id_col, text_col).select("text"))
-    index = index or FingerprintIndex(spark)
-    repeated = Filter.of(index.add(fingerprints(docs, window, id_col, text_col)))
-    places = written(_places(corpus.withColumn("doc_id", F.lit(None).cast("bigint")), repeated, window), "places")
+    own_index = index is None
+    index = index or FingerprintIndex(spark, most_runs=2)
+    found = written(fingerprints(docs, window, id_col, text_col, batches), "fingerprints")
+    seen = [index.add(found.where(F.col("batch") == number).select("fp", "n")) for number in range(batches)]
+    repeated = written(reduce(DataFrame.union, seen).distinct(), "repeated")
+    drop(found, *seen)
+    if own_index:
+        remove(spark, index.path)
+    places = written(_places(corpus, repeated, window), "places")
+    drop(repeated)
     masks = _masks(places)
     # bits of the windows, above them the first window: one number a place
     packed = F.shiftleft(F.col("first"), window - SHINGLE + 1).bitwiseOR(F.col("mask"))
