@@ -1,10 +1,10 @@
 """N-gram Jaccard join by vertical partitioning.
 
 A document is the set of its distinct shingles of 4 words. All shingles have one global order: rare before frequent, by a
-count sketch over all documents (a fixed number of counters, so a rough rarity; any total order is right), then by hash. The
-order is cut into fragments at fixed places of the hash. Each fragment of a document's set is a row of its own; for a pair of documents the overlap
-is counted in each fragment separately and summed per pair, so no task needs a whole set and no set is sent around for a pair
-twice.
+count sketch over all documents (a fixed number of counters, read as logarithms, so a rough rarity; any total order is right), then by hash.
+The order is cut into fragments of about equal weight, at places that the sketch gives. Each fragment of a document's set is a row of its
+own; for a pair of documents the overlap is counted in each fragment separately and summed per pair, so no task needs a whole set and no
+set is sent around for a pair twice.
 
 Which pairs are counted:
 
@@ -14,7 +14,9 @@ Which pairs are counted:
    way contract most near copies into components.
 3. What can still be missing is a link between two different components. Such a pair shares a shingle among the first
    n - ceil(0.85 n) + 1 of both sets in the global order (the prefix filter). Prefix shingles are grouped by shingle with the smallest and
-   largest component as pre-aggregated values; only those with two components or more give pairs, only across components.
+   largest component as pre-aggregated values; only those with two components or more give pairs, only across components. Pairs of one
+   shingle are made within classes of size (sets of which one has less than 0.85 of the other's shingles never meet), and only where the
+   places of the shared shingle in both orders leave room for the overlap that is wanted.
 
 Both joins let a pair through only if it can still be similar enough: by the sizes, and by parity signatures of 1024 bits, whose
 differing bits are a lower bound of the sets' symmetric difference. As 1024 bits fill up, sets of more than 512 shingles have a second
@@ -31,11 +33,13 @@ after all others when the smallest is taken; an empty table gives an empty resul
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,8 +52,10 @@ MIN_HASHES = 8
 WORDS = 16
 #: Sets of more shingles have a signature of their own length too.
 LONG = 512
-#: Counters of the sketch: one byte each, 256 slices of 64 KB.
+#: Counters of the sketch: 256 slices of 65,536.
 SKETCH_BITS, SKETCH_SLICES = 24, 256
+#: A counter is read as one byte, 8 log2(1 + count): up to 2 ** 31.
+_COUNTS = np.minimum(np.exp2(np.arange(256) / 8) - 1, 255).round().astype(np.int64)
 _SEEDS = np.array([0x8EBC6AF09C88C6E3 + 2 * i * 0x589965CC75374CC3 & 0xFFFFFFFFFFFFFFFF | 1 for i in range(MIN_HASHES)], np.uint64)
 
 
@@ -67,6 +73,11 @@ def _digest(found: np.ndarray) -> bytes:
     return hashlib.md5(found.tobytes()).digest()
 
 
+def _copy(text: bytes) -> int:
+    """A number of the text itself, signed."""
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+
+
 def _min_hashes(found: np.ndarray) -> list[int]:
     """Signed 64-bit numbers, told apart by which hash function they are of."""
     out = []
@@ -118,15 +129,17 @@ def _plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def _packed_slice(counts: np.ndarray) -> bytes:
-    """Most counters of a task are zero: a bit for each counter, then the others' values."""
-    return zlib.compress(np.packbits(counts > 0, bitorder="little").tobytes() + counts[counts > 0].tobytes(), 1)
+    """Most counters of a task are zero: a bit for each counter, then the others' values, of one or two bytes."""
+    some = counts[counts > 0]
+    wide = int(some.max()) > 255
+    return bytes([wide]) + zlib.compress(np.packbits(counts > 0, bitorder="little").tobytes() + some.astype("<u2" if wide else "u1").tobytes(), 1)
 
 
 def _unpacked_slice(packed: bytes) -> np.ndarray:
-    data = np.frombuffer(zlib.decompress(packed), np.uint8)
+    data = zlib.decompress(packed[1:])
     length = (1 << SKETCH_BITS) // SKETCH_SLICES
-    out = np.zeros(length, np.uint8)
-    out[np.unpackbits(data[: length // 8], bitorder="little").astype(bool)] = data[length // 8 :]
+    out = np.zeros(length, np.uint16)
+    out[np.unpackbits(np.frombuffer(data, np.uint8, length // 8), bitorder="little").astype(bool)] = np.frombuffer(data, "<u2" if packed[0] else "u1", -1, length // 8)
     return out
 
 
@@ -138,16 +151,17 @@ def _possible(percent: int, a: str, b: str):
 
 
 def _survey(docs: DataFrame, size: int) -> DataFrame:
-    """One row a document (doc_id, n, key, least, signature, long), and after them the slices of each task's count sketch (slice, counts)."""
+    """One row a document (doc_id, n, key, least, signature, long, copy), and after them the slices of each task's count sketch (slice, counts)."""
 
     def run(batches):
         counters = np.zeros(1 << SKETCH_BITS, np.uint16)
-        names = ["doc_id", "n", "key", "least", "signature", "long", "slice", "counts"]
+        names = ["doc_id", "n", "key", "least", "signature", "long", "copy", "slice", "counts"]
         kind = None
         for batch in batches:
             kind = batch.schema.field("doc_id").type
             n, keys, least, signatures, longs = [], [], [], [], []
-            for found in shingle_sets(byte_rows(batch), size):
+            data = byte_rows(batch)
+            for found in shingle_sets(data, size):
                 n.append(len(found))
                 keys.append(_digest(found) if len(found) else None)
                 least.append(_min_hashes(found) if len(found) else None)
@@ -156,74 +170,107 @@ def _survey(docs: DataFrame, size: int) -> DataFrame:
                 places = (found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
                 counters[places] = np.minimum(counters[places], 0xFFF0) + 1
             none = pa.nulls(len(n))
-            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(least, pa.list_(pa.int64())), pa.array(signatures, pa.list_(pa.int64())), pa.array(longs, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())]
+            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(least, pa.list_(pa.int64())), pa.array(signatures, pa.list_(pa.int64())), pa.array(longs, pa.binary()), pa.array(map(_copy, data), pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names)
         if kind is not None:
-            slices = [(i, _packed_slice(np.minimum(part, 255).astype(np.uint8))) for i, part in enumerate(counters.reshape(SKETCH_SLICES, -1)) if part.any()]
+            slices = [(i, _packed_slice(part)) for i, part in enumerate(counters.reshape(SKETCH_SLICES, -1)) if part.any()]
             none = pa.nulls(len(slices))
-            columns = [none.cast(kind), none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.list_(pa.int64())), none.cast(pa.list_(pa.int64())), none.cast(pa.binary()), pa.array([i for i, _ in slices], pa.int32()), pa.array([c for _, c in slices], pa.binary())]
+            columns = [none.cast(kind), none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.list_(pa.int64())), none.cast(pa.list_(pa.int64())), none.cast(pa.binary()), none.cast(pa.int64()), pa.array([i for i, _ in slices], pa.int32()), pa.array([c for _, c in slices], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(run, f"doc_id {id_type(docs)}, n bigint, key binary, least array<bigint>, signature array<bigint>, long binary, slice int, counts binary")
+    return docs.mapInArrow(run, f"doc_id {id_type(docs)}, n bigint, key binary, least array<bigint>, signature array<bigint>, long binary, copy bigint, slice int, counts binary")
 
 
 def _sketch(survey: DataFrame) -> np.ndarray:
-    """Sums of the tasks' sketches, saturating at 255: 16 MB, whatever the data."""
+    """Sums of the tasks' sketches as one byte a counter: 16 MB, whatever the data."""
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for number, packed in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist()):
-                part = _unpacked_slice(packed).astype(np.uint16)
-                sums[number] = np.minimum(sums[number] + part, 255) if number in sums else part
-        yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int32()), pa.array([s.astype(np.uint8).tobytes() for s in sums.values()], pa.binary())], ["slice", "counts"])
+                part = _unpacked_slice(packed)
+                if number in sums:
+                    sums[number] += part
+                else:
+                    sums[number] = part.astype(np.int64)
+        codes = [np.minimum(8 * np.log2(1 + s), 255).astype(np.uint8).tobytes() for s in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int32()), pa.array(codes, pa.binary())], ["slice", "counts"])
 
     out = np.zeros((SKETCH_SLICES, (1 << SKETCH_BITS) // SKETCH_SLICES), np.uint8)
-    summed = survey.where("slice IS NOT NULL").select("slice", "counts").repartition(16, "slice").mapInArrow(add, "slice int, counts binary")
+    summed = survey.where("slice IS NOT NULL").select("slice", "counts").repartition(32, "slice").mapInArrow(add, "slice int, counts binary")
     for row in summed.collect():
         out[row["slice"]] = np.frombuffer(row["counts"], np.uint8)
     return out.reshape(-1)
 
 
-def _prefixes(docs: DataFrame, size: int, percent: int, sketch: np.ndarray) -> DataFrame:
-    """key, n, prefix (shingles of the prefix), score (mean count of the set's shingles in the sketch, times a million: of edited copies, the least edited has the highest)."""
-    held = docs.sparkSession.sparkContext.broadcast(sketch)
+def _rarity(found: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    return sketch[(found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+
+
+def _ordered(found: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Places of the shingles in the global order, as numbers: the count above, the hash below it. Shingles that agree here are told apart by nothing else."""
+    return codes.astype(np.uint64) << np.uint64(56) | found >> np.uint64(8)
+
+
+def _cuts(sketch: np.ndarray) -> np.ndarray:
+    """Places that cut the global order into fragments of about equal weight."""
+    weight = np.bincount(sketch, minlength=256) * (np.exp2(np.arange(256) / 8) - 1)
+    along = np.r_[0, np.cumsum(weight)]
+    out = []
+    for i in range(1, FRAGMENTS):
+        wanted = along[-1] * i / FRAGMENTS
+        code = min(255, int(np.searchsorted(along, wanted, side="right")) - 1)
+        share = (wanted - along[code]) / weight[code] if weight[code] else 0
+        out.append(code << 56 | min(int(share * (1 << 56)), (1 << 56) - 1))
+    return np.array(out, np.uint64)
+
+
+def _prefixes(docs: DataFrame, size: int, percent: int, held) -> DataFrame:
+    """key, n, prefix (shingles of the prefix, in the global order), score (mean count of the set's shingles in the sketch, times a million: of edited copies, the least edited has the highest)."""
 
     def run(batches):
         for batch in batches:
             keys, ns, prefixes, scores = [], [], [], []
             for found in shingle_sets(byte_rows(batch), size):
                 if len(found):
-                    counts = held.value[(found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                    codes = _rarity(found, held.value)
                     length = len(found) - -(-percent * len(found) // 100) + 1
                     keys.append(_digest(found))
                     ns.append(len(found))
-                    # the sketch's count above, the hash below it
-                    prefixes.append(found[np.lexsort((found, counts))[:length]].view(np.int64))
-                    scores.append(int(counts.sum(dtype=np.int64)) * 1_000_000 // len(found))
+                    places = _ordered(found, codes)
+                    first = np.argpartition(places, length - 1)[:length]
+                    # equal places in the order of the hashes
+                    prefixes.append(found[first[np.lexsort((found[first], places[first]))]].view(np.int64))
+                    scores.append(int(_COUNTS[codes].sum()) * 1_000_000 // len(found))
             columns = [pa.array(keys, pa.binary()), pa.array(ns, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(scores, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["key", "n", "prefix", "score"])
 
     return docs.select("text").mapInArrow(run, "key binary, n bigint, prefix array<bigint>, score bigint")
 
 
-def _sets(docs: DataFrame, size: int, pairs: DataFrame) -> DataFrame:
-    """key, fragments (the whole set, cut), first, second (whether the key may be the a or the b of a pair), for keys that may be either."""
-    held = docs.sparkSession.sparkContext.broadcast((_wanted(pairs, "a"), _wanted(pairs, "b")))
+def _sets(docs: DataFrame, size: int, pairs: DataFrame, nodes: DataFrame, held_sketch) -> DataFrame:
+    """key, fragments (the whole set, cut), first, second (whether the key may be the a or the b of a pair), for keys that may be either. Sets are
+    made of one text of each node alone: texts are told by their own hash first."""
+    sides = [written(pairs.select(F.col(side).alias("key")).distinct().join(nodes.select("key", "copy").hint("merge"), "key").select("copy"), "wanted") for side in "ab"]
+    held = docs.sparkSession.sparkContext.broadcast(tuple(Filter.of(side) for side in sides))
+    drop(*sides)
+    cuts = _cuts(held_sketch.value)
 
     def run(batches):
         for batch in batches:
+            data = byte_rows(batch)
+            copies = np.fromiter(map(_copy, data), np.int64, len(data)).view(np.uint64)
+            # None: too many for a filter, so any may be
+            asked = np.stack([np.ones(len(data), bool) if wanted is None else wanted.has(copies) for wanted in held.value], 1)
+            some = np.flatnonzero(asked.any(1)).tolist()
             keys, fragments, sides = [], [], []
-            for found in shingle_sets(byte_rows(batch), size):
-                if not len(found):
-                    continue
-                number = np.frombuffer((key := _digest(found))[:8], "<u8")
-                side = [bool(wanted.has(number)[0]) for wanted in held.value]
-                if any(side):
-                    keys.append(key)
-                    sides.append(side)
-                    cuts = np.searchsorted(found, np.array([i << 62 for i in range(1, FRAGMENTS)], np.uint64))
-                    fragments.append([part.tobytes() for part in np.split(found, cuts)])
+            for i, found in zip(some, shingle_sets([data[i] for i in some], size)):
+                if len(found):
+                    keys.append(_digest(found))
+                    sides.append(asked[i].tolist())
+                    places = _ordered(found, _rarity(found, held_sketch.value))
+                    number = np.searchsorted(cuts, places, side="right")
+                    fragments.append([found[number == k].tobytes() for k in range(FRAGMENTS)])
             columns = [pa.array(keys, pa.binary()), pa.array(fragments, pa.list_(pa.binary())), *(pa.array([s[i] for s in sides], pa.bool_()) for i in (0, 1))]
             yield pa.RecordBatch.from_arrays(columns, ["key", "fragments", "first", "second"])
 
@@ -253,16 +300,6 @@ def _links(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     return out
 
 
-def _wanted(pairs: DataFrame, side: str) -> Filter:
-    keys = pairs.select(F.col(side).alias("key")).distinct()
-
-    def numbers(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(k[:8], "little", signed=True) for k in batch.column("key").to_pylist()], pa.int64())], ["number"])
-
-    return Filter.of(keys.mapInArrow(numbers, "number bigint"))
-
-
 def components(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach), and representative (a digest of the document's
     set: rows with the same one are equal; null for empty sets)."""
@@ -270,10 +307,11 @@ def components(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str =
     survey = written(_survey(rows, size), "survey")
     documents = survey.where("slice IS NULL")
     signature = [F.col("signature")[i].alias(f"s{i}") for i in range(WORDS)]
-    nodes = written(documents.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("least").alias("least"), F.first("signature").alias("signature"), F.first("long").alias("long")), "nodes")
+    nodes = written(documents.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("least").alias("least"), F.first("signature").alias("signature"), F.first("long").alias("long"), F.min("copy").alias("copy")), "nodes")
 
     # stars: each node with the leader of each min-hash that it shares
-    prefixes = written(_prefixes(rows, size, percent, _sketch(survey)), "prefixes")
+    sketch = rows.sparkSession.sparkContext.broadcast(_sketch(survey))
+    prefixes = written(_prefixes(rows, size, percent, sketch), "prefixes")
     scores = prefixes.groupBy("key").agg(F.first("score").alias("score"))
     members = nodes.select("key", "least").join(scores.hint("merge"), "key").select("key", F.explode("least").alias("value"), "score")
     members = written(members, "members")
@@ -284,7 +322,7 @@ def components(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str =
     stars = written(written(stars, "stars").join(side("b"), "b").join(side("a"), "a").where(_possible(percent, "a", "b")).select("a", "b", "na", "nb"), "possible-stars")
     stars = written(_plausible(stars, nodes, percent), "plausible-stars")
     drop(members, leaders)
-    first_links = _links(stars, _sets(rows, size, stars), percent)
+    first_links = _links(stars, _sets(rows, size, stars, nodes, sketch), percent)
     drop(stars)
     labels = connected_components(first_links)
 
@@ -297,19 +335,28 @@ def components(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str =
     group = F.xxhash64("component")
     tokens = prefixes.select(F.explode("prefix").alias("token"), group.alias("group"))
     across = tokens.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("token")
-    shared = _only(prefixes, Filter.of(across))
-    shared = written(shared.select("key", "n", "component", F.explode("prefix").alias("token")), "shared-tokens")
+    across = written(across, "across")
+    shared = written(_only(prefixes, across), "shared-tokens")
+    drop(across)
     shared = shared.join(nodes.select("key", *signature).hint("merge"), "key")
-    one, two = (shared.select(*[F.col(c).alias(f"{c}{s}") for c in ("key", "n", "component", *(f"s{i}" for i in range(WORDS)))], "token") for s in "ab")
-    pairs = one.join(two, "token").where((F.col("componenta") < F.col("componentb")) & _possible(percent, "a", "b"))
+    # sets that can be similar are of the same class of size or of neighbouring ones
+    shared = shared.withColumn("class", F.floor(F.log("n") / max(1.000001 * math.log(100 / percent), 1e-6)).cast("bigint"))
+    one, two = (shared.select(*[F.col(c).alias(f"{c}{s}") for c in ("key", "n", "component", "place", *(f"s{i}" for i in range(WORDS)))], "token", "class") for s in "ab")
+    two = two.withColumn("class", F.explode(F.array(*[F.col("class") + d for d in (-1, 0, 1)])))
+    # the shared shingle and what comes after it in both orders
+    room = (100 + percent) * F.least(F.col("na") - F.col("placea"), F.col("nb") - F.col("placeb")) >= percent * (F.col("na") + F.col("nb"))
+    pairs = one.join(two, ["token", "class"]).where((F.col("componenta") < F.col("componentb")) & room & _possible(percent, "a", "b"))
     pairs = written(pairs.select(F.col("keya").alias("a"), F.col("keyb").alias("b"), "na", "nb").distinct(), "pairs")
     pairs = written(_plausible(pairs, nodes, percent), "plausible-pairs")
     drop(prefixes, shared)
-    second_links = _links(pairs, _sets(rows, size, pairs), percent)
+    second_links = _links(pairs, _sets(rows, size, pairs, nodes, sketch), percent)
 
-    # the nodes' components, then the documents'
-    labels = connected_components(first_links.union(second_links))
+    # the links between components, contracted; then the nodes' components and the documents'
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")).hint("merge")
+    between = second_links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    further = connected_components(between).withColumnRenamed("component", "whole")
     labelled = nodes.join(labels.hint("merge"), F.col("key") == F.col("node"), "left").select("key", "least_id", F.coalesce("component", "key").alias("component"))
+    labelled = labelled.join(further.hint("merge"), F.col("component") == F.col("node"), "left").select("key", "least_id", F.coalesce("whole", "component").alias("component"))
     smallest = labelled.groupBy("component").agg(F.min("least_id").alias("component_id"))
     by_key = labelled.join(smallest, "component").select("key", "component_id")
     out = documents.select("doc_id", F.col("n").alias("n_shingles"), "key").join(by_key.hint("merge"), "key", "left")
@@ -334,21 +381,26 @@ def one_of_each(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str =
     return once.union(again).toDF(*docs.columns)
 
 
-def _only(prefixes: DataFrame, wanted: Filter) -> DataFrame:
-    """Prefixes without the tokens that the filter doesn't have; rows that lose all are left out."""
-    held = prefixes.sparkSession.sparkContext.broadcast(wanted)
+def _only(prefixes: DataFrame, across: DataFrame) -> DataFrame:
+    """key, n, component, token, place (in the prefix) of the tokens in `across`, and of few others."""
+    known = Filter.of(across)
+    if known is None:
+        return prefixes.select("key", "n", "component", F.posexplode("prefix").alias("place", "token")).join(across.hint("merge"), "token", "left_semi").select("key", "n", "component", "token", "place")
+    held = prefixes.sparkSession.sparkContext.broadcast(known)
 
     def run(batches):
         for batch in batches:
             column = batch.column("prefix")
-            keep, parts = [], []
+            rows, parts, places = [], [], []
             for i, tokens in enumerate(column):
                 values = tokens.values.to_numpy(zero_copy_only=False)
-                left = values[held.value.has(values.view(np.uint64))]
+                left = np.flatnonzero(held.value.has(values.view(np.uint64)))
                 if len(left):
-                    keep.append(i)
-                    parts.append(left)
-            taken = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(taken) for c in ("key", "n", "component")] + [pa.array(parts, pa.list_(pa.int64()))], ["key", "n", "component", "prefix"])
-
-    return prefixes.select("key", "n", "component", "prefix").mapInArrow(run, "key binary, n bigint, component binary, prefix array<bigint>")
+                    rows.append(np.full(len(left), i))
+                    parts.append(values[left])
+                    places.append(left)
+            if rows:
+                taken = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays([batch.column(c).take(taken) for c in ("key", "n", "component")] + [pa.array(np.concatenate(x)) for x in (parts, places)], ["key", "n", "component", "token", "place"])
+
+    return prefixes.select("key", "n", "component", "prefix").mapInArrow(run, "key binary, n bigint, component binary, token bigint, place bigint")
