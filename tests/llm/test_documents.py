@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import struct
 import zlib
@@ -126,6 +127,44 @@ def test_substring(docs, nothing):
     assert substring.deduplicate(nothing).count() == 0
 
 
+def test_substring_batches_and_joins(docs, monkeypatch):
+    """The same rows from several batches, merge-joined and compacted, and where the repeated fingerprints are too many for a filter."""
+    columns = ("doc_id", "n_words", "n_removed", "kept")
+    expected = got(substring.deduplicate(docs), *columns)
+    assert got(substring.deduplicate(docs, batches=4), *columns) == expected
+    monkeypatch.setattr(substring.Filter, "LIMIT", 0)
+    assert got(substring.deduplicate(docs, batches=2), *columns) == expected
+
+
+def alike_words():
+    """Two words of 1,024 bytes that agree under every polynomial hash modulo 2 ** 64."""
+    word = "a"
+    for _ in range(10):
+        word += word.translate({97: 98, 98: 97})
+    return word, word.translate({97: 98, 98: 97})
+
+
+def test_words_that_polynomials_confuse(spark):
+    rows = [(i, " ".join(f"w{k}" if k != 20 else word for k in range(40))) for i, word in enumerate(alike_words())]
+    assert [r.n_removed for r in substring.deduplicate(frame(spark, rows)).collect()] == [0, 0]
+    assert got(jaccard.components(frame(spark, rows)), "doc_id", "component_id") == want([(0, 0), (1, 1)])
+
+
+def test_word_hashes(monkeypatch):
+    """Strips, long words and lanes: the hash depends on the word alone."""
+    from tessel.llm import common
+
+    rng = random.Random(9)
+    pool = ["a" * n for n in range(1, 200)] + ["".join(rng.choices("abé日", k=rng.randint(1, 90))) for _ in range(300)]
+    texts = ["".join(rng.choice(pool) + rng.choice([" ", "\n", " \t "]) for _ in range(rng.randint(0, 400))).encode() for _ in range(20)] + [b"", b" ", b"x" * 5000]
+    one = {w: common.word_hashes([w.encode()]).__next__()[0] for w in pool}
+    for strip in (1 << 17, 1 << 10):
+        monkeypatch.setattr(common, "STRIP_BYTES", strip)
+        for text, found in zip(texts, common.word_hashes(texts)):
+            assert found.tolist() == [one.get(w.decode(), common.word_hashes([w]).__next__()[0]) for w in text.split()]
+    assert len(set(one.values())) == len(one) == len({common.word_hashes([w.encode()], seed=1).__next__()[0] for w in one} - set(one.values()))
+
+
 def test_substring_repeats_inside(spark):
     rows = [(1, "x " * 80), (2, " ".join(f"w{i % 37}" for i in range(200))), (3, " ".join(f"v{i}" for i in range(34)))]
     out = {r.doc_id: r.n_removed for r in substring.deduplicate(frame(spark, rows)).collect()}
@@ -172,6 +211,8 @@ def test_shards(spark, docs, nothing):
     for d, ids in encoded:
         expected.append((d, start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))))
         start += len(ids)
+    rolled = sstable.write_shards(docs, new_path(spark, "test-sst-rolled"), WORD_BPE, n_shards=2, shard_docs=7)
+    assert len(rolled) >= len(ROWS) // 7 and got(sstable.read_shards(spark, rolled), "doc_id", "start", "n_tokens", "ids_crc32") == want(expected)
     manifest = sstable.write_shards(docs, new_path(spark, "test-sst"), WORD_BPE, n_shards=3)
     assert got(sstable.read_shards(spark, manifest), "doc_id", "start", "n_tokens", "ids_crc32") == want(expected)
     by_id = {}
@@ -205,8 +246,8 @@ def test_decontaminate(spark, docs, nothing):
         return doc_id, len(x), len(hit), sorted(ids), len(hit) > 0 and 20 * len(hit) >= len(x)
 
     table = spark.createDataFrame(items, "item_id bigint, text string")
-    for block_bytes in (1 << 20, 300):
-        found = decontaminate.verdicts(decontaminate.find(docs, table, block_bytes=block_bytes))
+    for broadcast_bytes in (1 << 20, 300):
+        found = decontaminate.verdicts(decontaminate.find(docs, table, broadcast_bytes=broadcast_bytes))
         assert got(found, "doc_id", "n_words", "n_hit", "item_ids", "contaminated") == want(row(*r) for r in ROWS)
     assert got(decontaminate.clean(docs, table), "doc_id") == want((r[0],) for r in ROWS if not row(*r)[-1])
     assert decontaminate.find(nothing, table).count() == 0
@@ -252,8 +293,6 @@ def test_jaccard_chain(spark):
 
 
 def test_toxicity(spark, nothing):
-    import random
-
     rng = random.Random(4)
     rows = corpus(8, 600)
     toxic = {d: rng.random() < 0.3 for d, _ in rows}
