@@ -1,13 +1,14 @@
 """Toxicity: a linear classifier over character n-grams whose features are scaled by naive Bayes log-count ratios.
 
 A text's features are the presence of hashed n-grams of 4, 6 and 8 bytes of its text with A-Z in lower case. From the labelled
-training texts, each bucket gets the log ratio of its smoothed document shares among toxic and other texts.
-The buckets that tell the classes apart best are kept, presence is scaled by the ratio, and logistic regression with an
-L2 penalty is fitted on the scaled features. A score is the logistic of the sum of the weights of the buckets
-present, so it does not depend on length or on where in the text an n-gram stands.
+training texts, each bucket gets the log ratio of its smoothed document shares among toxic and other texts. Presence is scaled by
+the ratio, and logistic regression with an L2 penalty is fitted on all buckets whose shares differ by 5 standard errors or more, by coordinate descent on the dual: one number a
+training text, so that the features are never gathered in one matrix. A score is the logistic of the sum of the weights of the
+buckets present, so it does not depend on length or on where in the text an n-gram stands.
 
 Training uses at most `most_rows` labelled rows (a documented bound; chosen by the hash of the identifier), which are the
-only ones broadcast or sent to the driver, as sparse features of a fixed number of buckets. Scoring is narrow.
+only ones broadcast or sent to the driver, as bucket numbers. What is broadcast for scoring is a weight for each of 2 ** 22 buckets
+(16 MB, whatever the data). Scoring is narrow.
 
 Defined cases: null text is scored as the empty text (the bias alone); a null identifier is not held out; labels that are
 null are ignored, and of several labels of one identifier the largest counts; without labels of both classes every
@@ -17,6 +18,7 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from typing import NamedTuple
 
 import numpy as np
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_rows, groups, id_type, texts, written
+from .common import byte_rows, drop, id_type, texts, written
 
 SIZES = (4, 6, 8)
 BITS = 22
@@ -55,14 +57,10 @@ def present(text: bytes) -> np.ndarray:
 
 class Model(NamedTuple):
     bias: float
-    weights: np.ndarray  # by bucket, float32; 0 for buckets that aren't used
-    used: np.ndarray  # by bucket, whether it has a weight: small enough for a processor's cache
+    weights: np.ndarray  # by bucket, float32
 
     def score(self, text: bytes) -> float:
-        used = [found[self.used[found]] for found in buckets(text)]
-        total = self.bias
-        if used:
-            total += float(self.weights[np.unique(np.concatenate(used))].sum(dtype=np.float64))
+        total = self.bias + float(self.weights[present(text)].sum(dtype=np.float64))
         return float(1 / (1 + np.exp(-np.clip(total, -500, 500))))
 
 
@@ -70,68 +68,62 @@ def held_out(identifier: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(identifier.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-class Features(NamedTuple):
-    """The buckets that a model uses, in order of their numbers, and their log-count ratios."""
-
-    chosen: np.ndarray
-    ratio: np.ndarray
-
-    def number(self, found: np.ndarray) -> np.ndarray:
-        """Places in `chosen` of those buckets that are in it."""
-        at = np.searchsorted(self.chosen, found)
-        at[at == len(self.chosen)] = 0
-        return at[self.chosen[at] == found].astype(np.int32)
-
-
-def fit(features: Features, rows: list[tuple[np.ndarray, int]], penalty: float = 1e-3, rounds: int = 300) -> Model:
-    """rows: places in features.chosen, and the label, of each training text; both labels occur."""
-    labels = np.array([y for _, y in rows], np.float64)
-    n, width = len(labels), len(features.chosen)
-    columns = np.concatenate([found for found, _ in rows])
-    owner = np.repeat(np.arange(n), [len(found) for found, _ in rows])
-    values = features.ratio[columns]
-    w, bias = np.zeros(width), float(np.log(labels.mean() / (1 - labels.mean())))
-    # accelerated gradient descent, each weight with a step of its own; the widest row bounds the curvature
-    widest = np.bincount(owner, np.abs(values), n).max()
-    scale = np.maximum(np.bincount(columns, np.abs(values), width) * widest / (4 * n), 1e-9) + penalty
-    old_w, old_bias = w, bias
-    for step in range(rounds):
-        push = step / (step + 3)
-        at, at_bias = w + push * (w - old_w), bias + push * (bias - old_bias)
-        old_w, old_bias = w, bias
-        error = 1 / (1 + np.exp(-np.clip(np.bincount(owner, values * at[columns], n) + at_bias, -500, 500))) - labels
-        w = at - (np.bincount(columns, values * error[owner], width) / n + penalty * at) / scale
-        bias = at_bias - error.mean() * 2
-    weights = np.zeros(1 << BITS, np.float32)
-    weights[features.chosen] = w * features.ratio
-    return Model(bias, weights, weights != 0)
-
-
-def choose(sample: DataFrame, n_one: int, n: int, most_features: int, smoothing: float = 1.0) -> Features:
-    """The buckets whose shares among toxic and other texts are the most standard errors apart; `sample` has found, label."""
-
-    def count(batches):
-        for batch in batches:
-            rows = list(zip(batch.column("found").to_pylist(), batch.column("label").to_pylist()))
-            for part in groups(rows, lambda r: len(r[0]), 16 << 20):
-                for label in (0, 1):
-                    found = [np.frombuffer(f, np.int32) for f, y in part if y == label]
-                    if found:
-                        bucket, n_texts = np.unique(np.concatenate(found), return_counts=True)
-                        none = np.zeros_like(n_texts)
-                        yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(n_texts if label else none), pa.array(none if label else n_texts)], ["bucket", "ones", "zeros"])
-
-    counted = sample.mapInArrow(count, "bucket int, ones bigint, zeros bigint").groupBy("bucket").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
-    one = (F.col("ones") + smoothing) / (n_one + 2 * smoothing)
-    zero = (F.col("zeros") + smoothing) / (n - n_one + 2 * smoothing)
-    pooled = (F.col("ones") + F.col("zeros") + 2 * smoothing) / (n + 4 * smoothing)
-    apart = F.abs(one - zero) / F.sqrt(pooled * (1 - pooled) * (1 / n_one + 1 / (n - n_one)))
-    best = counted.select("bucket", F.log(one / zero).alias("ratio"), apart.alias("apart")).orderBy(F.desc("apart"), "bucket").limit(most_features).collect()
-    best.sort(key=lambda r: r["bucket"])
-    return Features(np.array([r["bucket"] for r in best], np.int64), np.array([r["ratio"] for r in best], np.float64))
-
-
-def train(docs: DataFrame, labels: DataFrame, most_rows: int = 8_000, most_features: int = 2048, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def ratios(rows: list[tuple[np.ndarray, int]], apart: float = 5.0, smoothing: float = 1.0) -> np.ndarray:
+    """By bucket, the log ratio of the smoothed shares of toxic and of other texts that have it; 0 where the two shares are less than
+    `apart` standard errors apart, as such a difference may be chance."""
+    shares, sizes = [], []
+    for label in (1, 0):
+        counts, n = np.zeros(1 << BITS), 0
+        for found, y in rows:
+            if y == label:
+                counts[found] += 1
+                n += 1
+        shares.append((counts + smoothing) / (n + 2 * smoothing))
+        sizes.append(n)
+    one, zero = shares
+    pooled = (one * sizes[0] + zero * sizes[1]) / sum(sizes)
+    error = np.sqrt(pooled * (1 - pooled) * (1 / sizes[0] + 1 / sizes[1]))
+    return np.where(np.abs(one - zero) >= apart * error, np.log(one / zero), 0)
+
+
+def _dual_step(alpha: float, margin: float, square: float, cost: float) -> float:
+    """The new alpha of one text, between 0 and cost: square * (new - alpha) + margin + log(new / (cost - new)) = 0. The left side rises, so halving finds it."""
+    low, high = 0.0, cost
+    for _ in range(50):
+        new = (low + high) / 2
+        if square * (new - alpha) + margin + math.log(new / (cost - new)) > 0:
+            high = new
+        else:
+            low = new
+    return (low + high) / 2
+
+
+def fit(rows: list[tuple[np.ndarray, int]], cost: float = 0.3, rounds: int = 20) -> Model:
+    """rows: buckets present, and the label, of each training text; both labels occur. cost: of a text's loss against half the squared weights."""
+    ratio = ratios(rows)
+    rows = [(found[ratio[found] != 0], y) for found, y in rows]
+    w, bias = np.zeros(1 << BITS), 0.0  # of scaled features, and of a feature that all texts have
+    alpha = [cost / 2] * len(rows)
+    squares = []
+    for found, y in rows:
+        scaled = ratio[found]
+        squares.append(float((scaled * scaled).sum()) + 1)
+        w[found] += (cost / 2) * (2 * y - 1) * scaled
+        bias += (cost / 2) * (2 * y - 1)
+    rng = np.random.default_rng(0)
+    for _ in range(rounds):
+        for i in rng.permutation(len(rows)).tolist():
+            found, y = rows[i]
+            scaled, sign = ratio[found], 2 * y - 1
+            new = _dual_step(alpha[i], sign * (float((w[found] * scaled).sum()) + bias), squares[i], cost)
+            change = sign * (new - alpha[i])
+            w[found] += change * scaled
+            bias += change
+            alpha[i] = new
+    return Model(bias, (w * ratio).astype(np.float32))
+
+
+def train(docs: DataFrame, labels: DataFrame, most_rows: int = 8_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learn from the labelled rows that aren't held out, at most `most_rows` of them."""
     usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
     usable = usable.groupBy(F.col(id_col).alias("doc_id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
@@ -144,23 +136,18 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 8_000, most_featu
     # at most most_rows rows are broadcast
     sample = written(texts(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("text", "label").mapInArrow(extract, "found binary, label int"), "toxicity-sample")
 
-    by_label = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    n_one, n = by_label.get(1, 0), sum(by_label.values())
+    rows = [(np.frombuffer(r["found"], np.int32), r["label"]) for r in sample.orderBy(F.md5("found"), "label").collect()]
+    drop(sample)
+    n_one, n = sum(y for _, y in rows), len(rows)
     if not 0 < n_one < n:
-        return Model(float(np.log((n_one + 1) / (n - n_one + 1))), np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, bool))
-    features = choose(sample, n_one, n, most_features)
-
-    def select(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([features.number(np.frombuffer(f, np.int32)).tobytes() for f in batch.column("found").to_pylist()], pa.binary()), batch.column("label")], ["found", "label"])
-
-    return fit(features, [(np.frombuffer(r["found"], np.int32), r["label"]) for r in sample.mapInArrow(select, "found binary, label int").collect()])
+        return Model(float(np.log((n_one + 1) / (n - n_one + 1))), np.zeros(1 << BITS, np.float32))
+    return fit(rows)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """doc_id, score, predicted."""
     rows = texts(docs, id_col, text_col)
-    held = rows.sparkSession.sparkContext.broadcast(model)  # 1 MB, whatever the data
+    held = rows.sparkSession.sparkContext.broadcast(model)  # 16 MB, whatever the data
 
     def run(batches):
         model = held.value
