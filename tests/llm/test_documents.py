@@ -43,6 +43,9 @@ def test_quality(docs, nothing):
         n, chars, symbols, dup = len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines))
         failed = n < 10 or 100 * len(covered) > 20 * n
         kept = not (failed or 10 * symbols > n or 2 * text.count("!") > n or 2 * dup > len(lines) or chars < 3 * n or chars > 12 * n)
+        trimmed = [x.strip(" \t\n\v\f\r") for x in lines]
+        kept = kept and not (10 * sum(x[0] in "-*•" for x in trimmed) > 9 * len(lines) or 10 * sum(x.endswith(("...", "…")) for x in trimmed) > 3 * len(lines))
+        kept = kept and 2 * sum(bool(re.search(r"^[^A-Za-z]*[A-Z][A-Z]+[^a-z]*$", x)) for x in w) <= n
         return doc_id, n, chars, symbols, dup, len(covered), failed, kept
 
     columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -50,12 +53,15 @@ def test_quality(docs, nothing):
     for order in (list(quality.RULES), list(quality.RULES)[::-1]):
         assert got(quality.judge(docs, order=order), *columns) == want(judged(*r) for r in ROWS)
     assert quality.judge(nothing).count() == 0
+    assert quality.accepted(nothing).count() == 0
+    for order in ([*quality.BASE_RULES, *quality.RULES], [*quality.RULES, *quality.BASE_RULES]):
+        assert got(quality.accepted(docs, order=order), "doc_id") == want((r[0],) for r in ROWS if judged(*r)[-1])
     accepted = quality.accepted(docs)
     assert accepted.columns == docs.columns and got(accepted, "doc_id") == want((r[0],) for r in ROWS if judged(*r)[-1])
 
 
 def test_quality_repeats(spark):
-    rows = [(1, " ".join(["Der"] * 40)), (2, " ".join(f"w{i % 7}" for i in range(30))), (3, "a b c d e x a b c d e y a b c d"), (4, "#% " * 30), (5, "A!! B!! C!! " * 5), (6, "same line of words here\n" * 9)]
+    rows = [(1, " ".join(["Der"] * 40)), (2, " ".join(f"w{i % 7}" for i in range(30))), (3, "a b c d e x a b c d e y a b c d"), (4, "#% " * 30), (5, "A!! B!! C!! " * 5), (6, "same line of words here\n" * 9), (7, "".join(f" - point {i} of all these points\n" for i in range(9))), (8, "".join(f"this line number {i} isn't whole{'...' if i % 2 else '…'} \n" for i in range(9))), (9, " ".join(f"WORD{i} ABC" for i in range(20)))]
     test_quality.__globals__["ROWS"], kept = rows, ROWS
     try:
         test_quality(frame(spark, rows), frame(spark, []))
@@ -306,7 +312,75 @@ def test_toxicity(spark, nothing):
     assert {r.doc_id for r in out if r.held_out} == {d for d in {r.doc_id for r in out} if d is not None and zlib.crc32(str(d).encode()) % 4 == 2}
     assert sum((r.predicted == 1) == toxic[r.doc_id] for r in held) >= 0.97 * len(held)
     empty = toxicity.train(frame_, labels.limit(0))
-    assert empty.bias == 0 and toxicity.score(nothing, model).count() == 0
+    assert empty.bias == 0 and not empty.weights.any() and toxicity.score(nothing, model).count() == 0
+
+
+def test_toxicity_is_a_plain_classifier(spark):
+    """Features, ratios, fit and scores against an implementation without hashing tables, slices or the dual."""
+    import numpy as np
+
+    rng = random.Random(14)
+    rows = corpus(9, 240)
+    toxic = {d: int(rng.random() < 0.3) for d, _ in rows}
+    rows = [(d, t + (rng.choice([" what a blockhead", " you utter nitwit"]) if toxic[d] else rng.choice(["", " fine weather"]))) for d, t in rows]
+
+    def bucket(gram):
+        rolled = 0
+        for i, b in enumerate(gram):
+            rolled = b if i == 0 else (rolled * 0x01000193 + b) & 0xFFFFFFFF
+        return ((rolled ^ (rolled >> 15) ^ len(gram)) * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - toxicity.BITS)
+
+    def features(text):
+        data = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode()
+        return {bucket(data[i : i + n]) for n in (4, 6, 8) for i in range(len(data) - n + 1)}
+
+    train = [(features(t), toxic[d]) for d, t in rows if zlib.crc32(str(d).encode()) % 4 != 2]
+    n_one, n_zero = sum(y for _, y in train), sum(1 - y for _, y in train)
+    ratio = {}
+    for b in set().union(*(f for f, _ in train)):
+        one = (sum(b in f for f, y in train if y) + 1) / (n_one + 2)
+        zero = (sum(b in f for f, y in train if not y) + 1) / (n_zero + 2)
+        pooled = (one * n_one + zero * n_zero) / (n_one + n_zero)
+        if abs(one - zero) >= 5 * (pooled * (1 - pooled) * (1 / n_one + 1 / n_zero)) ** 0.5:
+            ratio[b] = np.log(one / zero)
+    chosen = sorted(ratio)
+    assert len(chosen) > 10
+    x = np.array([[ratio[b] if b in f else 0.0 for b in chosen] + [1.0] for f, _ in train])
+    y = np.array([y for _, y in train])
+    w = np.zeros(len(chosen) + 1)
+    for _ in range(50):  # Newton: squared weights / 2 + 0.3 * losses
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve(np.eye(len(w)) + 0.3 * (x.T * (p * (1 - p))) @ x, w + 0.3 * x.T @ (p - y))
+    weight = dict(zip(chosen, w))
+    expected = {d: 1 / (1 + np.exp(-w[-1] - sum(weight[b] * ratio[b] for b in features(t) if b in weight))) for d, t in rows}
+    labels = spark.createDataFrame(sorted(toxic.items()), "doc_id bigint, toxic int")
+    table = frame(spark, rows + [(90000, ""), (91000, None)])
+    scores = {r.doc_id: r.score for r in toxicity.score(table, toxicity.train(table, labels)).collect()}
+    assert all(abs(scores[d] - expected[d]) < 2e-3 for d, _ in rows)
+    assert abs(scores[90000] - 1 / (1 + np.exp(-w[-1]))) < 2e-3 and scores[90000] == scores[91000]
+
+
+def test_toxicity_slices(monkeypatch):
+    text = "".join(random.Random(3).choices("abcdeé ", k=4000)).encode()
+    whole = toxicity.present(text).tolist()
+    monkeypatch.setattr(toxicity, "SLICE", 100)
+    assert toxicity.present(text).tolist() == whole
+
+
+@pytest.mark.parametrize("size", [3, 600])
+def test_jaccard_long_sets_and_joins(spark, monkeypatch, size):
+    """Long signatures, and sets and tokens beyond the filters' bound, against brute force."""
+    rng = random.Random(size)
+    rows = []
+    for k in range(6):
+        base = [f"b{k}-{i}" for i in range(size * (1 + k % 2))]
+        for e in (0, 0.01, 0.02, 0.06):
+            rows.append((len(rows), " ".join(w if rng.random() >= e else f"e{rng.random()}" for w in base)))
+    monkeypatch.setattr(jaccard, "LONG", 100)
+    expected = want(_components(rows, 4, 85))
+    assert got(jaccard.components(frame(spark, rows)), "doc_id", "n_shingles", "component_id") == expected
+    monkeypatch.setattr(jaccard.Filter, "LIMIT", 0)
+    assert got(jaccard.components(frame(spark, rows)), "doc_id", "n_shingles", "component_id") == expected
 
 
 @pytest.mark.parametrize("depth", [2, 3])
