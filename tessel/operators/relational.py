@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import written
+
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Equi-join in which null keys match; the keys are left's."""
@@ -84,7 +86,56 @@ def anti_either(rows: DataFrame, known: DataFrame, group: str, one: str, two: st
     return rows.join(known.select(group, one).distinct(), [group, one], "left_anti").join(known.select(group, two).distinct(), [group, two], "left_anti")
 
 
+def numbered(df: DataFrame, order: list[Column], name: str, start: int = 1) -> DataFrame:
+    """With the row's number in the order given: a range-partitioned sort, written, then the partitions' offsets (a row each) joined
+    to it. No task sees all rows."""
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    rows = df.orderBy(*order) if order else df
+    rows = written(rows.withColumns({"__partition": F.spark_partition_id(), "__place": place}), "numbered")
+    sizes = rows.groupBy("__partition").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__partition").rowsBetween(Window.unboundedPreceding, -1))  # one row a partition
+    offsets = sizes.select("__partition", F.coalesce(before, F.lit(0)).alias("__before"))
+    number = (F.col("__before") + F.col("__place") + F.lit(start)).cast("bigint")
+    return rows.join(offsets, "__partition").withColumn(name, number).drop("__partition", "__place", "__before")
+
+
 def padded_ids(df: DataFrame, prefix: str, width: int, order: list[Column], name: str = "id", group: list[str] = ()) -> DataFrame:
-    """Sequential identifiers such as N0001, within each group (one sequence without groups: for result tables, not for corpora)."""
-    window = Window.partitionBy(*(group or [F.lit(0)])).orderBy(*order)
+    """Sequential identifiers such as N0001, within each group or over all rows."""
+    if not group:
+        rows = numbered(df, order, "__number")
+        return rows.withColumn(name, F.format_string(f"{prefix}%0{width}d", "__number")).drop("__number")
+    window = Window.partitionBy(*group).orderBy(*order)
     return df.withColumn(name, F.format_string(f"{prefix}%0{width}d", F.row_number().over(window)))
+
+
+def join_indicated(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """A 1:1 left join with `matched`, and one row of counts that are all 0 if every row has exactly one partner: keys that are
+    repeated on either side, and left rows without a partner."""
+    marked = right.withColumn("matched", F.lit(True))
+    joined = left.join(marked, keys, "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
+    counted = lambda df, name: df.agg(F.count("*").alias(name))
+    repeated = lambda df: df.groupBy(*keys).count().where("count > 1")
+    counts = counted(repeated(left), "repeated_left").crossJoin(counted(repeated(right), "repeated_right")).crossJoin(joined.agg(F.count_if(~F.col("matched")).alias("unmatched")))  # one-row tables
+    return joined, counts
+
+
+def join_all(tables: list[DataFrame], keys: list[str]) -> DataFrame:
+    """The rows of the first table that have a partner in all others, with the columns of all; a key is taken once on each side."""
+    out = tables[0]
+    for table in tables[1:]:
+        out = out.join(table, keys)
+    return out
+
+
+def link_two_hops(left: DataFrame, middle: DataFrame, right: DataFrame, first: list[str], second: list[str], right_id: str, order: list[Column], unanimous: bool = False) -> DataFrame:
+    """left with the `right_id` that it reaches through middle: rows of middle with equal `first` keys, each of which must find
+    exactly one row of right by the `second` keys (null keys match), else null. Of several middle rows the first in `order` counts;
+    with unanimous all count, and must reach one and the same id. Keys are met as distinct groups, so repeated rows multiply nothing."""
+    reach = right.groupBy(*second).agg(F.count("*").alias("__n"), F.min(right_id).alias("__id"))
+    hops = null_safe_join(middle, reach, second).withColumn("__sound", F.coalesce(F.col("__n") == 1, F.lit(False)))
+    if unanimous:
+        found = hops.groupBy(*first).agg(F.every("__sound").alias("__all"), F.min("__id").alias("__low"), F.max("__id").alias("__high"))
+        found = found.select(*first, F.when(F.col("__all") & (F.col("__low") == F.col("__high")), F.col("__low")).alias(right_id))
+    else:
+        found = keep_first(hops, first, order).select(*first, F.when(F.col("__sound"), F.col("__id")).alias(right_id))
+    return null_safe_join(left, found, first)

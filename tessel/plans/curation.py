@@ -6,18 +6,16 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import relational, stats, validation
+from ..scratch import written
 from .tables import query, table
 
-_TITLE = "substr(split_part(text, chr(10), 1), 1, 60)"
-
-
 def _titles(spark, sf_dir):
-    """doc_id, title (the first line, 60 characters at most), description (the next line), class (source)."""
+    """doc_id, title (the first line), description (the next line), class (source)."""
     lines = F.split("text", "\n")
-    return table(spark, sf_dir, "documents").select("doc_id", F.substring(F.get(lines, 0), 1, 60).alias("title"), F.coalesce(F.get(lines, 1), F.lit("")).alias("description"), F.col("source").alias("class"), "lang")
+    return table(spark, sf_dir, "documents").select("doc_id", F.get(lines, 0).alias("title"), F.coalesce(F.get(lines, 1), F.lit("")).alias("description"), F.col("source").alias("class"), "lang")
 
 
-_TITLES = f"titles AS (SELECT doc_id, {_TITLE} AS title, split_part(text, chr(10), 2) AS description, source AS class, lang FROM documents)"
+_TITLES = "titles AS (SELECT doc_id, split_part(text, chr(10), 1) AS title, split_part(text, chr(10), 2) AS description, source AS class, lang FROM documents)"
 
 
 @query(f"""WITH {_TITLES} SELECT title, description, class, min(doc_id) AS doc_id FROM titles
@@ -77,15 +75,6 @@ def greek_fixtures(spark, sf_dir):
     return words.select("id", T.text_key(F.col("a")).alias("key_a"), T.plain_text_key(F.col("a")).alias("key_b"), T.overlap_score(F.col("wa"), F.col("wb")).alias("score_ab"), T.overlap_score(F.col("wb"), F.col("wc")).alias("score_bc"), T.language_style(F.concat("a", "b")).alias("style"))
 
 
-def _lexical(spark, sf_dir):
-    """Documents' and items' first 20 words, paired by equal remainder of the ids by the number of items (40 or more)."""
-    n = F.lit(40)
-    head = lambda c: F.array_join(F.slice(F.split(c, " "), 1, 20), " ")
-    docs = table(spark, sf_dir, "documents").select("doc_id", T.normalized_words(T.tokens(head("text"))).alias("one"), (F.col("doc_id") % n).alias("k"))
-    items = table(spark, sf_dir, "benchmark").where("item_id < 40").select("item_id", T.normalized_words(T.tokens(head("text"))).alias("two"), F.col("item_id").alias("k"))
-    return docs.join(items, "k").select("doc_id", "item_id", F.round(T.overlap_score(F.col("one"), F.col("two")), 6).alias("score"))
-
-
 def _latin_sql(e: str) -> str:
     for a, b in T.LATIN_SPELLINGS:
         e = f"replace({e}, '{a}', '{b}')"
@@ -96,53 +85,27 @@ def _latin_sql(e: str) -> str:
 
 
 _LEXICAL = f"""
-heads AS (SELECT 'd' AS kind, doc_id AS id, doc_id % 40 AS k, array_to_string(list_slice(string_split(text, ' '), 1, 20), ' ') AS t FROM documents UNION ALL SELECT 'i', item_id, item_id, array_to_string(list_slice(string_split(text, ' '), 1, 20), ' ') FROM benchmark WHERE item_id < 40),
-raw AS (SELECT kind, id, k, unnest(regexp_extract_all(strip_accents(replace(lower(t), 'ß', 'ss')), '[a-z0-9]+')) AS x FROM heads),
-words AS (SELECT DISTINCT kind, id, k, {_latin_sql('x')} AS w FROM raw),
-kept AS (SELECT * FROM words WHERE length(w) >= 2 AND w NOT IN (SELECT unnest(__STOP__))),
-sizes AS (SELECT h.kind, h.id, h.k, count(w) AS n FROM heads h LEFT JOIN kept USING (kind, id) GROUP BY ALL),
-p AS (SELECT d.id AS doc_id, i.id AS item_id, d.n AS nd, i.n AS ni FROM sizes d JOIN sizes i ON d.kind = 'd' AND i.kind = 'i' AND d.k = i.k),
-m AS (SELECT a.id AS doc_id, b.id AS item_id, a.w AS wa, b.w AS wb FROM kept a JOIN kept b ON a.kind = 'd' AND b.kind = 'i' AND a.k = b.k
+texts AS (SELECT 'd' AS kind, doc_id AS id, coalesce(text, '') AS t FROM documents UNION ALL SELECT 'i', item_id, coalesce(text, '') FROM benchmark),
+raw AS (SELECT DISTINCT kind, id, unnest(regexp_extract_all(strip_accents(replace(lower(t), 'ß', 'ss')), '[a-z0-9]+')) AS x FROM texts),
+spelled AS (SELECT x, {_latin_sql('x')} AS w FROM (SELECT DISTINCT x FROM raw)),
+kept AS (SELECT DISTINCT kind, id, w FROM raw JOIN spelled USING (x) WHERE length(w) >= 2 AND w NOT IN (SELECT unnest(__STOP__))),
+sized AS (SELECT kind, id, w, count(*) OVER (PARTITION BY kind, id) AS n FROM kept),
+vocabulary AS (SELECT DISTINCT kind, w, left(w, 5) AS begin FROM kept),
+same AS (SELECT a.w AS wa, b.w AS wb FROM vocabulary a JOIN vocabulary b ON a.kind = 'd' AND b.kind = 'i' AND a.begin = b.begin
   WHERE CASE WHEN least(length(a.w), length(b.w)) < 5 THEN a.w = b.w ELSE left(a.w, greatest(5, CAST(ceil(7 * least(length(a.w), length(b.w)) / 10) AS INT))) = left(b.w, greatest(5, CAST(ceil(7 * least(length(a.w), length(b.w)) / 10) AS INT))) END),
-lexical AS (SELECT p.doc_id, p.item_id, CASE WHEN least(nd, ni) = 0 THEN 0.0 WHEN nd <= ni THEN round(count(DISTINCT wa) / nd, 6) ELSE round(count(DISTINCT wb) / ni, 6) END AS score
-  FROM p LEFT JOIN m USING (doc_id, item_id) GROUP BY p.doc_id, p.item_id, nd, ni)"""
-
-
-def _stop_words() -> str:
-    """The stop words in the common spelling, as a SQL list."""
-    import re
+m AS (SELECT a.id AS doc_id, b.id AS item_id, a.n AS nd, b.n AS ni, count(DISTINCT wa) AS ca, count(DISTINCT wb) AS cb FROM sized a JOIN same ON a.kind = 'd' AND a.w = wa JOIN sized b ON b.kind = 'i' AND b.w = wb GROUP BY ALL),
+lexical AS (SELECT doc_id, item_id, round(CASE WHEN nd <= ni THEN ca / nd ELSE cb / ni END, 6) AS score FROM m)"""
 
-    out = set()
-    for word in T.STOPWORDS:
-        w = T._fold(word)
-        for a, b in T.GREEK_PAIRS:
-            w = w.replace(a, b)
-        w = "".join({**T.GREEK_SINGLE, **T.GREEK_DOUBLE}.get(c, c) for c in w)
-        for a, b in T.LATIN_SPELLINGS:
-            w = w.replace(a, b)
-        out.add(re.sub(r"(.)\1+", r"\1", w))
-    return "[" + ", ".join(f"'{w}'" for w in sorted(out)) + "]"
 
-
-_LEXICAL = _LEXICAL.replace("__STOP__", _stop_words())
-
-
-@query(f"WITH {_LEXICAL} SELECT doc_id, item_id, score FROM lexical")
-def lexical_overlap(spark, sf_dir):
-    return _lexical(spark, sf_dir)
+_LEXICAL = _LEXICAL.replace("__STOP__", "[" + ", ".join(f"'{w}'" for w in T.stop_words()) + "]")
 
 
-@query(f"WITH {_LEXICAL} SELECT CASE WHEN score = 0 THEN '= 0' WHEN score < 0.1 THEN '0–0.1' ELSE '>= 0.1' END AS band, count(*) AS n FROM lexical GROUP BY 1")
-def lexical_band_counts(spark, sf_dir):
-    return _lexical(spark, sf_dir).groupBy(T.lexical_band(F.col("score")).alias("band")).agg(F.count("*").alias("n"))
-
-
-def _lexical_all(spark, sf_dir):
+def _lexical(spark, sf_dir):
     """doc_id, item_id, score of whole texts against all items, without the pairs that score 0. Words are matched once as
     vocabularies, by their first five letters; a pair counts the words of its smaller side, the document's on a tie."""
     words = lambda name, key: table(spark, sf_dir, name).select(key, T.normalized_words(F.array_distinct(T.tokens(F.col("text")))).alias("words"))
-    docs = words("documents", "doc_id").select("doc_id", F.size("words").alias("nd"), F.explode("words").alias("one"))
-    items = words("benchmark", "item_id").select("item_id", F.size("words").alias("ni"), F.explode("words").alias("two"))
+    docs = written(words("documents", "doc_id").select("doc_id", F.size("words").alias("nd"), F.explode("words").alias("one")), "lexical-documents")
+    items = written(words("benchmark", "item_id").select("item_id", F.size("words").alias("ni"), F.explode("words").alias("two")), "lexical-items")
     begin = lambda c: F.left(c, F.lit(T.LEAST_PREFIX))
     same = docs.select("one").distinct().withColumn("begin", begin("one")).join(items.select("two").distinct().withColumn("begin", begin("two")), "begin")
     same = same.where(T.same_word(F.col("one"), F.col("two"))).select("one", "two")
@@ -154,16 +117,17 @@ def _lexical_all(spark, sf_dir):
     return shared.select("doc_id", "item_id", F.round(F.col("n") / F.col("least"), 6).alias("score"))
 
 
-@query()
-def lexical_overlap_all(spark, sf_dir):
-    """lexical_overlap over whole texts and all items; pairs that it lacks score 0."""
-    return _lexical_all(spark, sf_dir)
+@query(f"WITH {_LEXICAL} SELECT doc_id, item_id, score FROM lexical")
+def lexical_overlap(spark, sf_dir):
+    """Whole texts against all items; pairs that it lacks score 0."""
+    return _lexical(spark, sf_dir)
 
 
-@query()
-def lexical_band_counts_all(spark, sf_dir):
-    """lexical_band_counts over whole texts and all items; the pairs that score 0 are what is left of all pairs."""
-    scores = _lexical_all(spark, sf_dir).groupBy(T.lexical_band(F.col("score")).alias("band")).agg(F.count("*").alias("n"))
+@query(f"""WITH {_LEXICAL}, bands AS (SELECT CASE WHEN score = 0 THEN '= 0' WHEN score < 0.1 THEN '0–0.1' ELSE '>= 0.1' END AS band, count(*) AS n FROM lexical GROUP BY 1
+UNION ALL SELECT '= 0', (SELECT count(*) FROM documents) * (SELECT count(*) FROM benchmark) - (SELECT count(*) FROM lexical)) SELECT band, CAST(sum(n) AS BIGINT) AS n FROM bands GROUP BY band HAVING sum(n) > 0""")
+def lexical_band_counts(spark, sf_dir):
+    """All pairs of whole texts and items; the pairs that score 0 are what is left."""
+    scores = _lexical(spark, sf_dir).groupBy(T.lexical_band(F.col("score")).alias("band")).agg(F.count("*").alias("n"))
     counted = lambda name: table(spark, sf_dir, name).agg(F.count("*").alias(name))
     total = counted("documents").crossJoin(counted("benchmark")).select(F.lit("= 0").alias("band"), (F.col("documents") * F.col("benchmark")).alias("n"))  # one row
     scores = scores.where("band <> '= 0'")
@@ -188,22 +152,15 @@ def dim_attach_left(spark, sf_dir):
     return out.join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left").select("s_suppkey", F.col("nationkey").cast("string").alias("nationkey"), "n_name", "r_name")
 
 
-@query("""WITH o AS (SELECT o_orderkey, o_custkey % 50 AS k, o_orderpriority AS p, CAST(floor(o_totalprice) AS BIGINT) % 7 AS z FROM orders), c AS (SELECT c_custkey % 60 AS k, c_custkey FROM customer WHERE c_custkey < 90),
+@query("""WITH o AS (SELECT o_orderkey, o_custkey AS k, o_orderpriority AS p, CAST(floor(o_totalprice) AS BIGINT) % 7 AS z FROM orders), c AS (SELECT CASE WHEN c_custkey % 5 = 0 THEN c_custkey - 1 ELSE c_custkey END AS k, c_custkey FROM customer),
 m AS (SELECT k, count(*) AS n, min(c_custkey) AS c_custkey FROM c GROUP BY k), j AS (SELECT o.*, coalesce(n, 0) AS n, c_custkey FROM o LEFT JOIN m USING (k)),
 r AS (SELECT *, CASE WHEN z = 0 THEN 'excluded' WHEN p = '1-URGENT' THEN 'unknown' WHEN n = 0 THEN 'no match' WHEN n > 1 THEN 'several matches' END AS reason FROM j)
 SELECT o_orderkey, c_custkey, CASE WHEN reason IS NOT NULL THEN reason WHEN row_number() OVER (PARTITION BY k, reason IS NULL ORDER BY o_orderkey) > 1 THEN 'duplicate' END AS reason FROM r""")
 def exact_one_link_reasons(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 50).alias("k"), "o_orderpriority", (F.floor("o_totalprice") % 7).alias("z"))
-    customers = table(spark, sf_dir, "customer").where("c_custkey < 90").select((F.col("c_custkey") % 60).alias("k"), "c_custkey")
-    out = relational.link_exactly_one(orders, customers, ["k"], "c_custkey", [F.asc("o_orderkey")], F.col("z") == 0, F.col("o_orderpriority") != "1-URGENT")
-    return out.select("o_orderkey", "c_custkey", "reason")
-
-
-@query()
-def exact_one_link_reasons_all(spark, sf_dir):
-    """exact_one_link_reasons over all customers and the real keys."""
+    """All orders against all customers, of which every fifth has the key of the one before it, so that all reasons occur."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("k"), "o_orderpriority", (F.floor("o_totalprice") % 7).alias("z"))
-    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), "c_custkey")
+    key = F.col("c_custkey")
+    customers = table(spark, sf_dir, "customer").select(F.when(key % 5 == 0, key - 1).otherwise(key).alias("k"), "c_custkey")
     out = relational.link_exactly_one(orders, customers, ["k"], "c_custkey", [F.asc("o_orderkey")], F.col("z") == 0, F.col("o_orderpriority") != "1-URGENT")
     return out.select("o_orderkey", "c_custkey", "reason")
 

@@ -19,7 +19,7 @@ def run(spark, name, tables):
 def spelled(word):
     for a, b in T.GREEK_PAIRS:
         word = word.replace(a, b)
-    word = "".join({**T.GREEK_SINGLE, **T.GREEK_DOUBLE}.get(c, c) for c in word)
+    word = "".join(T.GREEK_LETTERS.get(c, c) for c in word)
     for a, b in T.LATIN_SPELLINGS:
         word = word.replace(a, b)
     return re.sub(r"(.)\1+", r"\1", word)
@@ -38,19 +38,19 @@ def lexical(one, two):
     return round(sum(any(same(x, y) for y in large) for x in small) / len(small), 6) if small else 0.0
 
 
-def test_lexical_overlap_all(spark):
+def test_lexical_overlap(spark):
     pad = " ".join(f"filler{i}" for i in range(100, 140))
     docs = [(0, f"{pad} hidden treasure"), (1, "κτίριο laptops sixty"), (2, ""), (3, None), (4, "programming programmer cat cats"), (5, "hidden")]
     items = [(7, "hidden treasure"), (45, "laptop κτιρίου"), (199, f"{pad} treasures"), (60, ""), (61, "programmed cat dog")]
     expected = {(d, i): lexical(t, u) for d, t in docs for i, u in items}
     tables = {"documents": (docs, "doc_id bigint, text string"), "benchmark": (items, "item_id bigint, text string")}
     assert expected[0, 7] == 1 and expected[1, 45] > 0
-    assert sorted(run(spark, "lexical_overlap_all", tables)) == sorted((d, i, s) for (d, i), s in expected.items() if s)
+    assert sorted(run(spark, "lexical_overlap", tables)) == sorted((d, i, s) for (d, i), s in expected.items() if s)
     bands = [("= 0" if s == 0 else "0–0.1" if s < 0.1 else ">= 0.1") for s in expected.values()]
-    assert sorted(run(spark, "lexical_band_counts_all", tables)) == sorted((b, bands.count(b)) for b in set(bands))
+    assert sorted(run(spark, "lexical_band_counts", tables)) == sorted((b, bands.count(b)) for b in set(bands))
 
 
-def test_connected_components_all(spark):
+def test_connected_components(spark):
     rows = [(37 * i, 1000 + i) for i in range(6)] + [(37 * i + 1, 1000 + i) for i in range(5)] + [(37 * i + 1, 1001 + i) for i in range(5)] + [(437, 1700), (37, 2000), (900, 3000), (901, None)]
     parent = {}
 
@@ -68,17 +68,17 @@ def test_connected_components_all(spark):
             groups.setdefault(root((kind, name)), []).append(name)
     expected = sorted((name, min(members)) for members in groups.values() for name in members)
     assert 1 < len(groups) < 5
-    assert sorted(run(spark, "connected_components_all", {"orders": (rows, "o_orderkey bigint, o_custkey bigint")})) == expected
+    assert sorted(run(spark, "connected_components", {"orders": (rows, "o_orderkey bigint, o_custkey bigint")})) == expected
 
 
-def test_exact_one_link_reasons_all(spark):
-    orders = [(1, 500, "2-HIGH", 1.0), (2, 500, "2-HIGH", 2.0), (3, 95, "1-URGENT", 1.0), (4, 95, "2-HIGH", 7.5), (5, 14000, "2-HIGH", 3.0), (6, 77, "2-HIGH", 1.0), (7, 61, "2-HIGH", 1.0), (8, None, "2-HIGH", 1.0)]
-    customers = [(500,), (95,), (14000,), (61,), (61,), (1,)]
-    out = run(spark, "exact_one_link_reasons_all", {"orders": (orders, "o_orderkey bigint, o_custkey bigint, o_orderpriority string, o_totalprice double"), "customer": (customers, "c_custkey bigint")})
-    assert sorted(out) == [(1, 500, None), (2, 500, "duplicate"), (3, 95, "unknown"), (4, 95, "excluded"), (5, 14000, None), (6, None, "no match"), (7, 61, "several matches"), (8, None, "no match")]
+def test_exact_one_link_reasons(spark):
+    orders = [(1, 501, "2-HIGH", 1.0), (2, 501, "2-HIGH", 2.0), (3, 96, "1-URGENT", 1.0), (4, 96, "2-HIGH", 7.5), (5, 14001, "2-HIGH", 3.0), (6, 77, "2-HIGH", 1.0), (7, 64, "2-HIGH", 1.0), (8, None, "2-HIGH", 1.0), (9, 500, "2-HIGH", 1.0)]
+    customers = [(501,), (96,), (14001,), (64,), (65,), (1,), (500,)]  # every fifth has the key before it
+    out = run(spark, "exact_one_link_reasons", {"orders": (orders, "o_orderkey bigint, o_custkey bigint, o_orderpriority string, o_totalprice double"), "customer": (customers, "c_custkey bigint")})
+    assert sorted(out) == [(1, 501, None), (2, 501, "duplicate"), (3, 96, "unknown"), (4, 96, "excluded"), (5, 14001, None), (6, None, "no match"), (7, 64, "several matches"), (8, None, "no match"), (9, None, "no match")]
 
 
-def test_verdict_caches_all(spark):
+def test_verdict_caches(spark):
     # event_ids with every remainder by 3 and 30, users over 50
     events = [(i, f"2024-01-{1 + i // 2:02d} 00:00:00" if i < 60 else None, 45 + i % 11, ("view", "click")[i % 2], float(i)) for i in range(62)]
     df = spark.createDataFrame(events, "event_id bigint, ts string, user_id bigint, event_type string, value double").selectExpr("event_id", "to_timestamp(ts) AS ts", "user_id", "event_type", "value")
@@ -86,9 +86,9 @@ def test_verdict_caches_all(spark):
     first = {}
     for i, _, user, kind, value in events:
         first.setdefault((user, kind), (value, i))
-    assert sorted(run(spark, "verdict_cache_first_all", tables)) == sorted((*k, *v) for k, v in first.items())
+    assert sorted(run(spark, "verdict_cache_first", tables)) == sorted((*k, *v) for k, v in first.items())
     log = {(u, k) for _, ts, u, k, _ in events if ts and ts < "2024-01-16"}
     requests = [(u, k) for _, ts, u, k, _ in events if not ts or ts >= "2024-01-16"]
     hits = sum(r in log for r in requests)
     assert len(requests) + sum(1 for e in events if e[1] and e[1] < "2024-01-16") == len(events)
-    assert sorted(run(spark, "verdict_cache_lookup_all", tables)) == [("hit", hits), ("miss", len(requests) - hits)]
+    assert sorted(run(spark, "verdict_cache_lookup", tables)) == [("hit", hits), ("miss", len(requests) - hits)]
