@@ -114,6 +114,43 @@ def look_up(requests: DataFrame, log: DataFrame, order: str, keys: tuple[str, ..
     return requests.join(known, list(keys)), requests.join(known.select(*keys), list(keys), "left_anti")
 
 
+def add_verdicts(log: DataFrame, new: DataFrame, order: str, keys: tuple[str, ...] = ("fingerprint", "prompt_hash")) -> DataFrame:
+    """The log with the first new entry of each key that it lacks: what was written first stays."""
+    fresh = first_verdicts(new, order, keys).join(log.select(*keys), list(keys), "left_anti")
+    return log.unionByName(fresh)
+
+
+def token_lengths(rows: DataFrame, text: str, make: Callable[[], Callable[[list[str]], list[int]]], name: str = "n_tokens", batch: int = 1000) -> DataFrame:
+    """rows with the number of tokens of the text by a tokenizer, made once a task (null text: 0)."""
+    ship(rows.sparkSession)
+
+    @F.pandas_udf("bigint")
+    def lengths(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        count = make()
+        for part in parts:
+            given = part.fillna("").tolist()
+            yield pd.Series([n for at in range(0, len(given), batch) for n in count(given[at : at + batch])], dtype="int64")
+
+    return rows.withColumn(name, lengths(F.col(text)))
+
+
+def encode_rows(rows: DataFrame, text: str, make: Callable[[], Encode], cache: DataFrame | None = None, batch: int = 16) -> DataFrame:
+    """rows with the embedding of their text: every distinct text is encoded once, then joined back (null text: null)."""
+    made = encode_distinct(rows, text, make, cache, batch).withColumnRenamed("text_hash", "__hash")
+    return rows.withColumn("__hash", F.sha2(F.col(text), 256)).join(made, "__hash", "left").drop("__hash")
+
+
+def checked_embeddings(cache: DataFrame, size: int, rows: int | None = None, column: str = "embedding", tolerance: float = 1e-4) -> tuple[DataFrame, DataFrame]:
+    """A cache of embeddings, and one row of counts that are all 0 if it is sound: vectors of another size, with values that aren't
+    finite, or not of unit length, and rows too many or too few."""
+    vector = F.transform(F.col(column), lambda x: x.cast("double"))
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    length = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda t, x: t + x * x))
+    bad = lambda flag: F.count_if(~F.coalesce(flag, F.lit(False)))
+    missing = (F.abs(F.count("*") - rows) if rows is not None else F.lit(0)).cast("bigint")
+    return cache, cache.agg(bad(F.size(column) == size).alias("wrong_size"), bad(finite).alias("not_finite"), bad(F.abs(length - 1) <= tolerance).alias("not_unit"), missing.alias("wrong_rows"))
+
+
 def remaining(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows that no earlier run has finished."""
     return rows.join(done.select(key), key, "left_anti")

@@ -47,6 +47,39 @@ def competition_rank(pairs: DataFrame, correct: DataFrame) -> DataFrame:
     return marked.join(target, "client_id").groupBy("client_id").agg((1 + F.count_if((F.col("similarity") > F.col("__target")) & F.col("is_target").isNull())).cast("bigint").alias("rank"))
 
 
+def competition_by_client(pairs: DataFrame, correct: str) -> DataFrame:
+    """client_id, class, n_candidates, rank of the correct candidate with the smallest id, as competition_rank() has it, for pairs in which
+    the column `correct` marks the correct ones. One shuffle, by client; clients without a correct candidate are left out."""
+    target = F.min_by("similarity", F.when(F.col(correct), F.col("candidate_id"))).over(Window.partitionBy("client_id"))
+    marked = pairs.withColumn("__target", target).where(F.col("__target").isNotNull())
+    better = F.count_if((F.col("similarity") > F.col("__target")) & ~F.col(correct))
+    return marked.groupBy("client_id", "class").agg((1 + better).cast("bigint").alias("rank"), F.count("*").alias("n_candidates"))
+
+
+def nearest_in_class(items: DataFrame, id_col: str, class_col: str, vector_col: str, k: int, blocks: int = 16) -> DataFrame:
+    """client_id, candidate_id, class, similarity, distance, distance_rank of the k nearest others of each item's class.
+
+    A class is no join key by itself: candidates are dealt into blocks of it by a hash, clients meet each block in another task, and each
+    keeps its k best of a block before the blocks' best are ranked together."""
+    salted = items.withColumn("__block", F.pmod(F.xxhash64(id_col), F.lit(blocks)))
+    left = items.select(F.col(id_col).alias("client_id"), F.col(class_col).alias("class"), F.col(vector_col).alias("__a"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("__block"))
+    right = salted.select(F.col(id_col).alias("candidate_id"), F.col(class_col).alias("class"), F.col(vector_col).alias("__b"), "__block")
+    pairs = left.join(right, ["class", "__block"]).where("client_id <> candidate_id").select("client_id", "candidate_id", "class", "__block", cosine(F.col("__a"), F.col("__b")).alias("similarity"))
+    order = [F.desc("similarity"), F.asc("candidate_id")]
+    best = pairs.withColumn("__place", F.row_number().over(Window.partitionBy("client_id", "__block").orderBy(*order))).where(F.col("__place") <= k)
+    return distance_ranks(best.drop("__place", "__block")).where(F.col("distance_rank") <= k)
+
+
+def scoped_pairs(items: DataFrame, id_col: str, class_col: str, source_col: str, vector_col: str) -> DataFrame:
+    """client_id, candidate_id, class, similarity, scope: candidates of the client's class (scope class), and those of its class and
+    source again (scope class+source)."""
+    side = lambda name, vector: items.select(F.col(id_col).alias(name), F.col(class_col).alias("class"), F.col(source_col).alias(f"__source_{name}"), F.col(vector_col).alias(vector))
+    pairs = side("client_id", "__a").join(side("candidate_id", "__b"), "class").where("client_id <> candidate_id")
+    near = F.col("__source_client_id").eqNullSafe(F.col("__source_candidate_id"))
+    scopes = F.explode(F.when(near, F.array(F.lit("class"), F.lit("class+source"))).otherwise(F.array(F.lit("class"))))
+    return pairs.select("client_id", "candidate_id", "class", cosine(F.col("__a"), F.col("__b")).alias("similarity"), scopes.alias("scope"))
+
+
 def distance_columns(ranked: DataFrame, k: int = 10) -> DataFrame:
     """client_id, class, n_candidates, d1 .. dk (null where there are fewer)."""
     columns = [F.max(F.when(F.col("distance_rank") == i, F.col("distance"))).alias(f"d{i}") for i in range(1, k + 1)]
@@ -104,3 +137,8 @@ def chunks(rows: DataFrame, group: str, order: list[Column], size: int) -> DataF
     """With position (from 1) and chunk (from 0) within the group."""
     position = F.row_number().over(Window.partitionBy(group).orderBy(*order)).cast("bigint")
     return rows.withColumn("position", position).withColumn("chunk", F.floor((F.col("position") - 1) / size).cast("bigint"))
+
+
+def first_chunks(rows: DataFrame, group: str, order: list[Column], size: int) -> DataFrame:
+    """The first chunk of each group."""
+    return chunks(rows, group, order, size).where("chunk = 0").drop("chunk")

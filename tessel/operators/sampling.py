@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def hash_order(id_col: str, seed: int = 42) -> list[Column]:
-    return [F.xxhash64(F.col(id_col), F.lit(seed)), F.col(id_col)]
+    """By the MD5 of seed and identifier, which any engine can recompute."""
+    return [F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))), F.col(id_col)]
 
 
 def shuffled(df: DataFrame, id_col: str, seed: int = 42) -> DataFrame:

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from collections import defaultdict
 from math import ceil
 
-import zlib
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .relational import numbered
 
 
 def group_components(rows: DataFrame, group: str, client: str) -> DataFrame:
@@ -79,10 +80,18 @@ def stratified_group_folds(counts: dict[str, dict[str, int]], n_folds: int, seed
     return out
 
 
-def assign_folds(rows: DataFrame, group: str, stratum: str, n_folds: int, seed: int = 42) -> DataFrame:
-    """group, fold. What reaches the driver is the counts of each group, for data sets of labelled pairs (thousands of groups)."""
+def assign_folds(rows: DataFrame, group: str, stratum: str, n_folds: int, seed: int = 42, most_exact: int = 50_000) -> DataFrame:
+    """group, fold. Up to most_exact rows of (group, stratum) counts are balanced one by one on the driver, as for data sets of labelled
+    pairs. Beyond that nothing is collected: groups are dealt within classes of alike groups (their largest stratum and the order of
+    magnitude of their rows), by a hash of their name, in turn by number within the class, so that each class is spread evenly."""
+    sizes = rows.groupBy(F.col(group).cast("string").alias("g"), F.col(stratum).cast("string").alias("s")).agg(F.count("*").alias("n"))
+    small = sizes.limit(most_exact + 1).collect()
+    if len(small) > most_exact:
+        alike = sizes.groupBy("g").agg(F.max_by("s", F.struct("n", "s")).alias("kind"), F.floor(F.log2(F.sum("n"))).alias("scale"))
+        dealt = numbered(alike, [F.col("kind"), F.col("scale"), F.md5(F.concat(F.lit(f"{seed}:"), F.col("g")))], "__number", 0)
+        return dealt.select(F.col("g").alias(group), (F.col("__number") % n_folds).cast("int").alias("fold"))
     counts: dict[str, dict[str, int]] = defaultdict(dict)
-    for r in rows.groupBy(F.col(group).cast("string").alias("g"), F.col(stratum).cast("string").alias("s")).agg(F.count("*").alias("n")).collect():
+    for r in small:
         counts[r["g"]][r["s"]] = r["n"]
     folds = stratified_group_folds(counts, n_folds, seed)
     return rows.sparkSession.createDataFrame(sorted(folds.items()), f"{group} string, fold int")
@@ -98,7 +107,7 @@ def greedy_groups(sizes: list[tuple[str, str, int]], fraction: float, seed: int
     for name in sorted(by_class):
         groups = by_class[name]
         target, have = fraction * sum(groups.values()), 0
-        for group in sorted(groups, key=lambda g: (zlib.crc32(f"{seed}:{g}".encode()), g)):
+        for group in sorted(groups, key=lambda g: (hashlib.md5(f"{seed}:{g}".encode()).hexdigest(), g)):
             if have >= target:
                 break
             chosen.add(group)
@@ -106,6 +115,16 @@ def greedy_groups(sizes: list[tuple[str, str, int]], fraction: float, seed: int
     return chosen
 
 
+def greedy_split(rows: DataFrame, class_col: str, group_col: str, percent: int, seed: int = 42) -> DataFrame:
+    """greedy_groups() over a table: as all classes take groups in one order, each takes those that begin before it has its percent of
+    rows, and what is set aside is the union. Groups are counted first, so a window sees a row for each group of a class."""
+    sizes = rows.where(F.col(group_col).isNotNull()).groupBy(class_col, group_col).agg(F.count("*").alias("n"))
+    order = [F.md5(F.concat(F.lit(f"{seed}:"), F.col(group_col).cast("string"))), F.col(group_col)]
+    whole = Window.partitionBy(class_col)
+    before = F.coalesce(F.sum("n").over(whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return sizes.withColumns({"__before": before, "__total": F.sum("n").over(whole)}).where(100 * F.col("__before") < percent * F.col("__total")).select(group_col).distinct()
+
+
 def remove_leaks(rows: DataFrame, client: str, source: str, priorities: list[str]) -> DataFrame:
     """Rows of each client from its most important source alone."""
     rank = F.array_position(F.array(*[F.lit(p) for p in priorities]), F.col(source))

@@ -125,3 +125,15 @@ def replaced(df: DataFrame, columns: list[str], names: Mapping[str, str]) -> Dat
 def coded(column: Column, codes: Mapping[str, int]) -> Column:
     """The code of a value; null for values without one."""
     return F.create_map(*[F.lit(x) for kv in codes.items() for x in kv])[column]
+
+
+def first_given(*columns: Column) -> Column:
+    """The first value that isn't null or blank, such as a manual label before the one it corrects; else null."""
+    return F.coalesce(*[F.when(T.clean_value(c) != "", T.clean_value(c)) for c in columns])
+
+
+def conservation(given: DataFrame, kept: DataFrame, removed: DataFrame) -> DataFrame:
+    """One row: n_input, n_kept, n_removed, conserved (every row was kept or removed)."""
+    counted = lambda df, name: df.agg(F.count("*").alias(name))
+    counts = counted(given, "n_input").crossJoin(counted(kept, "n_kept")).crossJoin(counted(removed, "n_removed"))  # one-row tables
+    return counts.withColumn("conserved", F.col("n_kept") + F.col("n_removed") == F.col("n_input"))

@@ -122,12 +122,8 @@ competition AS (SELECT client_id, r.class, 1 + count(*) FILTER (WHERE similarity
 
 
 def _competition(spark, sf_dir):
-    rows = ranked(spark, sf_dir)
-    correct = rows.where("candidate_id % 7 = (client_id + 1) % 7").select("client_id", "candidate_id")
-    target = correct.groupBy("client_id").agg(F.min("candidate_id").alias("__target"))
-    correct = correct.join(target, "client_id").select("client_id", "candidate_id", (F.col("candidate_id") == F.col("__target")).alias("is_target"))
-    sizes = rows.groupBy("client_id", "class").agg(F.count("*").alias("n_candidates"))
-    return ranking.competition_rank(rows.select("client_id", "candidate_id", "similarity"), correct).join(sizes, "client_id")
+    rows = ranked(spark, sf_dir).withColumn("correct", F.col("candidate_id") % 7 == (F.col("client_id") + 1) % 7)
+    return ranking.competition_by_client(rows, "correct")
 
 
 _METRICS = "count(*) AS n, round(avg(CAST(rank <= 1 AS INT)), 6) AS top_1, round(avg(CAST(rank <= 5 AS INT)), 6) AS top_5, round(avg(CAST(rank <= 10 AS INT)), 6) AS top_10, round(avg(1 / rank), 6) AS mrr, round(avg(rank), 6) AS mean_rank, round(avg(n_candidates), 6) AS mean_candidates"
@@ -238,10 +234,18 @@ def describe_numeric(spark, sf_dir):
     return stats.describe(table(spark, sf_dir, "lineitem").select("l_extendedprice"), "l_extendedprice")
 
 
+def _word_lengths():
+    import re
+
+    find = re.compile(r"[^\x20\x09-\x0D]+").findall
+    return lambda texts: [len(find(t)) for t in texts]
+
+
 @query(r"SELECT lang, max(n) AS longest, count(*) FILTER (WHERE n > 512) AS over_limit FROM (SELECT lang, CAST(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS BIGINT) AS n FROM documents) GROUP BY lang")
 def token_length_report(spark, sf_dir):
-    n = F.size(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), 1)).cast("bigint")
-    return table(spark, sf_dir, "documents").select("lang", n.alias("n")).groupBy("lang").agg(F.max("n").alias("longest"), F.count_if(F.col("n") > 512).alias("over_limit"))
+    """Lengths by a tokenizer that the caller passes: here words."""
+    rows = external.token_lengths(table(spark, sf_dir, "documents").select("lang", "text"), "text", _word_lengths)
+    return rows.withColumnRenamed("n_tokens", "n").groupBy("lang").agg(F.max("n").alias("longest"), F.count_if(F.col("n") > 512).alias("over_limit"))
 
 
 @query("SELECT p_brand, CAST(500 // 25 + CASE WHEN row_number() OVER (ORDER BY n DESC, p_brand) <= 500 % k THEN 1 ELSE 0 END AS BIGINT) + 500 // k - 500 // 25 AS quota FROM (SELECT p_brand, count(*) AS n, count(*) OVER () AS k FROM part GROUP BY p_brand)")
@@ -269,16 +273,20 @@ def stratified_sample_sizes(spark, sf_dir):
     return sampling.take(documents, ["lang"], sizes, "doc_id").groupBy("lang").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""WITH h AS (SELECT doc_id, lang, source, md5('42:' || doc_id) AS o FROM documents),
+a AS (SELECT doc_id, lang, source, 'german' AS sample FROM h WHERE lang = 'de' ORDER BY o, doc_id LIMIT 20),
+b AS (SELECT doc_id, lang, source, 'source' AS sample FROM h WHERE source IN ('src1', 'src2') AND doc_id NOT IN (SELECT doc_id FROM a) ORDER BY o, doc_id LIMIT 30),
+c AS (SELECT doc_id, lang, source, 'any' AS sample FROM h WHERE doc_id NOT IN (SELECT doc_id FROM a) AND doc_id NOT IN (SELECT doc_id FROM b) ORDER BY o, doc_id LIMIT 50)
+SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c""")
 def sequential_samples(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
     pools = [("german", documents.where("lang = 'de'"), 20), ("source", documents.where("source IN ('src1', 'src2')"), 30), ("any", documents, 50)]
     return sampling.sequential_samples(pools, "doc_id")
 
 
-@query("SELECT lang, count(*) AS n FROM documents GROUP BY lang")
+@query("SELECT doc_id, lang, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) AS place FROM documents")
 def shuffled_rows(spark, sf_dir):
-    return sampling.shuffled(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.count("*").alias("n"))
+    return relational.numbered(table(spark, sf_dir, "documents").select("doc_id", "lang"), sampling.hash_order("doc_id"), "place")
 
 
 @query("SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS position, (row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) - 1) // 10 AS chunk FROM documents")
@@ -286,50 +294,68 @@ def chunk_positions(spark, sf_dir):
     return ranking.chunks(table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), "source", [F.desc("n_chars"), F.asc("doc_id")], 10).drop("n_chars")
 
 
-_EDGES = "e AS (SELECT DISTINCT 'g' || (o_orderkey % 400) AS a, 'h' || (o_custkey % 700) AS b FROM orders WHERE o_orderkey % 37 = 0)"
-
-
-@query(f"""WITH RECURSIVE {_EDGES}, ee AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS reach FROM ee UNION SELECT r.node, ee.b FROM r JOIN ee ON r.reach = ee.a)
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT 'g' || o_orderkey AS a, 'h' || o_custkey AS b FROM orders WHERE o_orderkey IS NOT NULL AND o_custkey IS NOT NULL), ee AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT a AS node, a AS reach FROM ee UNION SELECT r.node, ee.b FROM r JOIN ee ON r.reach = ee.a)
 SELECT substr(node, 2) AS grp, substr(min(reach), 2) AS component FROM r WHERE node LIKE 'g%' GROUP BY node""")
 def connected_components(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").where("o_orderkey % 37 = 0").select((F.col("o_orderkey") % 400).alias("grp"), (F.col("o_custkey") % 700).alias("client"))
-    return splitting.group_components(rows, "grp", "client")
+    """All orders and their customers: orders of one customer are one component."""
+    return splitting.group_components(table(spark, sf_dir, "orders"), "o_orderkey", "o_custkey").withColumnRenamed("o_orderkey", "grp")
 
 
-@query()
-def connected_components_all(spark, sf_dir):
-    """connected_components over all orders and their real keys: orders of one customer are one component."""
-    return splitting.group_components(table(spark, sf_dir, "orders"), "o_orderkey", "o_custkey").withColumnRenamed("o_orderkey", "grp")
+def _conversation_folds(spark, sf_dir):
+    return splitting.assign_folds(table(spark, sf_dir, "conversations").select("conv_id", "role"), "conv_id", "role", 5)
 
 
 @query()
 def group_split(spark, sf_dir):
     """Folds of conversations: 0 test, 1 validation, others training; roles are the strata."""
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "role")
-    folds = splitting.assign_folds(rows, "conv_id", "role", 5)
-    return folds.withColumn("split", F.when(F.col("fold") == 0, "test").when(F.col("fold") == 1, "validation").otherwise("training"))
+    return _conversation_folds(spark, sf_dir).withColumn("split", F.when(F.col("fold") == 0, "test").when(F.col("fold") == 1, "validation").otherwise("training"))
 
 
-@query()
+@query("SELECT role, count(*) AS n_rows, (SELECT count(DISTINCT conv_id) FROM conversations) AS n_groups, 0::BIGINT AS split_groups, 0::BIGINT AS without_fold, true AS even FROM conversations GROUP BY role")
+def group_split_invariants(spark, sf_dir):
+    """What must hold of group_split: each conversation is in one fold, and of each role every fold has 12 to 28 percent of the rows."""
+    rows, folds = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("conv_id"), "role"), _conversation_folds(spark, sf_dir)
+    groups = rows.select("conv_id").distinct().join(folds.groupBy("conv_id").agg(F.count("*").alias("n"), F.countDistinct("fold").alias("k")), "conv_id", "left")
+    groups = groups.agg(F.count("*").alias("n_groups"), F.count_if(F.col("k") > 1).alias("split_groups"), F.count_if(F.col("n").isNull()).alias("without_fold"))
+    share = rows.join(folds, "conv_id").groupBy("role", "fold").agg(F.count("*").alias("n")).groupBy("role").agg(F.sum("n").alias("n_rows"), F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("k"))
+    even = (F.col("k") == 5) & (100 * F.col("least") >= 12 * F.col("n_rows")) & (100 * F.col("most") <= 28 * F.col("n_rows"))
+    return share.crossJoin(groups).select("role", "n_rows", "n_groups", "split_groups", "without_fold", even.alias("even"))  # one row a role, one row
+
+
+@query("""WITH s AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL),
+w AS (SELECT *, sum(n) OVER (PARTITION BY lang ORDER BY md5('42:' || source), source) - n AS before, sum(n) OVER (PARTITION BY lang) AS total FROM s) SELECT DISTINCT source FROM w WHERE 100 * before < 35 * total""")
 def greedy_group_split(spark, sf_dir):
-    sizes = table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count("*").alias("n")).collect()  # one row a class and group
-    chosen = splitting.greedy_groups([(r["lang"], r["source"], r["n"]) for r in sizes], 0.35)
-    return spark.createDataFrame(sorted((g,) for g in chosen), "source string")
+    return splitting.greedy_split(table(spark, sf_dir, "documents"), "lang", "source", 35)
 
 
-@query()
-def subset_sum_split(spark, sf_dir):
-    """Sources whose numbers of languages sum to exactly a quarter of them all."""
+def _quarter(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").groupBy("source").agg(F.countDistinct("lang").alias("weight")).orderBy("source").collect()  # one row a group
     weights = [r["weight"] for r in rows]
-    chosen = splitting.subset_sum(weights, splitting.validation_target(sum(weights), 0.25, 0))
+    target = splitting.validation_target(sum(weights), 0.25, 0)
+    chosen = splitting.subset_sum(weights, target)
     return spark.createDataFrame([(rows[i]["source"], weights[i]) for i in chosen], "source string, weight bigint")
 
 
-@query("SELECT user_id, event_id, event_type FROM events WHERE event_type IN (SELECT t FROM (VALUES ('click'), ('view'), ('purchase')) v(t)) QUALIFY list_position(['purchase', 'click', 'view'], event_type) = min(list_position(['purchase', 'click', 'view'], event_type)) OVER (PARTITION BY user_id)")
+@query()
+def subset_sum_split(spark, sf_dir):
+    """Sources whose numbers of languages sum to exactly a quarter of them all."""
+    return _quarter(spark, sf_dir)
+
+
+@query("""WITH w AS (SELECT source, count(DISTINCT lang) AS weight FROM documents GROUP BY source) SELECT CAST(ceil(sum(weight) * 0.25) AS BIGINT) AS weight, 0::BIGINT AS repeated, 0::BIGINT AS unknown FROM w""")
+def subset_sum_invariants(spark, sf_dir):
+    """What must hold of subset_sum_split: the exact sum, each source once, and no source or weight that documents don't have."""
+    chosen = _quarter(spark, sf_dir)
+    real = table(spark, sf_dir, "documents").groupBy("source").agg(F.countDistinct("lang").alias("weight"))
+    counted = chosen.agg(F.sum("weight").alias("weight"), (F.count("*") - F.countDistinct("source")).alias("repeated"))
+    return counted.crossJoin(chosen.join(real, ["source", "weight"], "left_anti").agg(F.count("*").alias("unknown")))  # one-row tables
+
+
+@query("""WITH p AS (SELECT *, list_position(['purchase', 'click', 'view', 'signup', 'error'], event_type) AS r FROM events) SELECT user_id, event_id, event_type FROM p QUALIFY r = min(r) OVER (PARTITION BY user_id)""")
 def leakage_removal(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").where("event_type IN ('click', 'view', 'purchase')").select("user_id", "event_id", "event_type")
-    return splitting.remove_leaks(rows, "user_id", "event_type", ["purchase", "click", "view"])
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    return splitting.remove_leaks(rows, "user_id", "event_type", ["purchase", "click", "view", "signup", "error"])
 
 
 @query("""SELECT kind, count(*) AS n, CAST(sum(label) AS BIGINT) AS matches FROM (SELECT 'positive' AS kind, quality AS label FROM labels WHERE doc_id % 3 = 0 UNION ALL SELECT 'easy_negative', 1 - quality FROM labels WHERE doc_id % 3 = 1 UNION ALL SELECT 'non_lexical_positive', toxic FROM labels WHERE doc_id % 3 = 2) GROUP BY kind""")
@@ -363,40 +389,37 @@ def split_invariants(spark, sf_dir):
     return rows.groupBy("conv_id").agg(F.min("split").alias("a"), F.max("split").alias("b")).agg(F.count_if(F.col("a") != F.col("b")).alias("split_groups"), F.count("*").alias("n_groups"))
 
 
-@query("SELECT user_id % 50 AS fingerprint, event_type AS prompt_hash, arg_min(value, event_id) AS value, min(event_id) AS event_id FROM events WHERE event_id % 3 = 0 GROUP BY 1, 2")
-def verdict_cache_first(spark, sf_dir):
-    log = table(spark, sf_dir, "events").where("event_id % 3 = 0").select((F.col("user_id") % 50).alias("fingerprint"), F.col("event_type").alias("prompt_hash"), "value", "event_id")
-    return external.first_verdicts(log, "event_id")
-
-
-@query("""WITH k AS (SELECT DISTINCT user_id % 50 AS f, event_type AS p FROM events WHERE event_id % 30 = 0), r AS (SELECT event_id, user_id % 50 AS f, event_type AS p FROM events WHERE event_id % 3 = 1)
-SELECT 'hit' AS kind, count(*) AS n FROM r WHERE EXISTS (SELECT 1 FROM k WHERE k.f = r.f AND k.p = r.p) UNION ALL SELECT 'miss', count(*) FROM r WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.f = r.f AND k.p = r.p)""")
-def verdict_cache_lookup(spark, sf_dir):
-    keyed = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 50).alias("fingerprint"), F.col("event_type").alias("prompt_hash"))
-    log = keyed.where("event_id % 30 = 0").withColumnRenamed("event_id", "logged")
-    hits, misses = external.look_up(keyed.where("event_id % 3 = 1"), log, "logged")
-    return hits.agg(F.lit("hit").alias("kind"), F.count("*").alias("n")).union(misses.agg(F.lit("miss").alias("kind"), F.count("*").alias("n")))
-
-
 def _keyed_events(spark, sf_dir):
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("fingerprint"), F.col("event_type").alias("prompt_hash"), "value", "event_id", "ts")
 
 
-@query()
-def verdict_cache_first_all(spark, sf_dir):
-    """verdict_cache_first over all events and users."""
+@query("SELECT user_id AS fingerprint, event_type AS prompt_hash, arg_min(value, event_id) AS value, min(event_id) AS event_id FROM events GROUP BY 1, 2")
+def verdict_cache_first(spark, sf_dir):
     return external.first_verdicts(_keyed_events(spark, sf_dir).drop("ts"), "event_id")
 
 
-@query()
-def verdict_cache_lookup_all(spark, sf_dir):
-    """verdict_cache_lookup over all events and users: those before 16 January 2024 are the log, all others (without a time too) are requests."""
+_LOGGED = "coalesce(ts < TIMESTAMP '2024-01-16', false)"
+
+
+@query(f"""WITH k AS (SELECT DISTINCT user_id, event_type FROM events WHERE {_LOGGED}), r AS (SELECT event_id, user_id, event_type FROM events WHERE NOT {_LOGGED})
+SELECT 'hit' AS kind, count(*) AS n FROM r SEMI JOIN k USING (user_id, event_type) UNION ALL SELECT 'miss', count(*) FROM r ANTI JOIN k USING (user_id, event_type)""")
+def verdict_cache_lookup(spark, sf_dir):
+    """Events before 16 January 2024 are the log, all others (without a time too) are requests."""
     keyed = _keyed_events(spark, sf_dir).withColumn("logged", F.coalesce(F.col("ts") < "2024-01-16", F.lit(False)))
     log = keyed.where("logged").select("fingerprint", "prompt_hash", F.col("event_id").alias("order"))
     hits, misses = external.look_up(keyed.where("NOT logged").select("event_id", "fingerprint", "prompt_hash"), log, "order")
     return hits.agg(F.lit("hit").alias("kind"), F.count("*").alias("n")).union(misses.agg(F.lit("miss").alias("kind"), F.count("*").alias("n")))
 
 
+@query(f"""WITH l AS (SELECT user_id, event_type, arg_min(event_id, event_id) AS event_id, true AS old FROM events WHERE {_LOGGED} GROUP BY ALL), n AS (SELECT user_id, event_type, min(event_id) AS event_id FROM events WHERE NOT {_LOGGED} GROUP BY ALL)
+SELECT user_id AS fingerprint, event_type AS prompt_hash, event_id, old FROM l UNION ALL SELECT user_id, event_type, event_id, false FROM n ANTI JOIN l USING (user_id, event_type)""")
+def verdict_cache_add(spark, sf_dir):
+    """The log of verdict_cache_lookup, with the first of its requests for each key that it lacks."""
+    keyed = _keyed_events(spark, sf_dir).withColumn("old", F.coalesce(F.col("ts") < "2024-01-16", F.lit(False))).drop("ts", "value")
+    log = external.first_verdicts(keyed.where("old"), "event_id")
+    return external.add_verdicts(log, keyed.where("NOT old"), "event_id").select("fingerprint", "prompt_hash", "event_id", "old")
+
+
 @query("SELECT event_id, event_type FROM events WHERE event_id NOT IN (SELECT event_id FROM events WHERE event_type = 'view')")
 def resume_anti_join(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", "event_type")
