@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def registered() -> dict[str, tuple]:
-    from . import curation, evaluation  # noqa: F401
+    from . import curation, evaluation, linking  # noqa: F401
     from .tables import REGISTRY
 
     return dict(REGISTRY)

@@ -7,7 +7,9 @@ from collections.abc import Callable, Iterable
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+from ..operators.relational import numbered
 from ..scratch import remove
 
 
@@ -19,11 +21,12 @@ def require_columns(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     return df
 
 
-def read_csv(spark: SparkSession, path: str | list[str], sep: str = ",", columns: list[str] | None = None, null_texts: tuple[str, ...] = (), where: Column | None = None) -> DataFrame:
-    """All columns as strings; a byte-order mark, quoted separators and line breaks inside quotes are understood.
+def read_csv(spark: SparkSession, path: str | list[str], sep: str = ",", columns: list[str] | None = None, null_texts: tuple[str, ...] = (), where: Column | None = None, multi_line: bool = True) -> DataFrame:
+    """All columns as strings; a byte-order mark, quoted separators and line breaks inside quotes are understood. Files that are known
+    to have no line breaks inside quotes are split over tasks with multi_line=False; else a file is one task's.
 
     Blank fields are empty strings; only the texts in null_texts become null. Column pruning and the filter reach the scan."""
-    df = spark.read.csv(path, sep=sep, header=True, multiLine=True, escape='"', encoding="UTF-8", nullValue="\x00", emptyValue="", inferSchema=False)
+    df = spark.read.csv(path, sep=sep, header=True, multiLine=multi_line, escape='"', encoding="UTF-8", nullValue="\x00", emptyValue="", inferSchema=False)
     df = df.toDF(*[c.lstrip("﻿") for c in df.columns]).na.fill("")
     if null_texts:
         df = df.select(*[F.when(~F.col(c).isin(*null_texts), F.col(c)).alias(c) for c in df.columns])
@@ -54,19 +57,15 @@ def read_files(spark: SparkSession, paths: list[str], read: Callable[[SparkSessi
 
 
 def with_ordinal(df: DataFrame, name: str = "ordinal", start: int = 1) -> DataFrame:
-    """Rows numbered in the order of the source, without a sort: by partition, then by place in it.
+    """Rows numbered in the order of the source, without a sort: by partition, then by place in it."""
+    return numbered(df, [], name, start)
 
-    The offsets of the partitions are one small row each."""
-    tagged = df.withColumns({"__partition": F.spark_partition_id(), "__place": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
-    sizes = tagged.groupBy("__partition").agg(F.count("*").alias("n")).orderBy("__partition").collect()
-    offset, total = {}, start
-    for row in sizes:
-        offset[row["__partition"]] = total
-        total += row["n"]
-    if not offset:
-        return df.withColumn(name, F.lit(None).cast("bigint"))
-    offsets = F.create_map(*[F.lit(x) for kv in offset.items() for x in kv])
-    return tagged.withColumn(name, (offsets[F.col("__partition")] + F.col("__place")).cast("bigint")).drop("__partition", "__place")
+
+def stream_csv(spark: SparkSession, path: str, columns: list[str], sep: str = ",", where: Column | None = None) -> DataFrame:
+    """The rows of a folder's CSV files as they come, all columns as strings; a filter is asked before rows leave the reader."""
+    schema = StructType([StructField(c, StringType()) for c in columns])
+    df = spark.readStream.schema(schema).option("sep", sep).option("header", True).option("escape", '"').option("encoding", "UTF-8").option("enforceSchema", False).csv(path)
+    return df if where is None else df.where(where)
 
 
 def find_name(names: Iterable[str], wanted: str) -> str:
@@ -85,10 +84,12 @@ def metadata(cells: DataFrame, group: str, row: str, column: str, value: str, ke
     return found.groupBy(group, F.trim(value).alias("key")).agg(F.max_by("__right", F.struct(row, column)).alias("value"))
 
 
-def write_csv(df: DataFrame, path: str, overwrite: bool = False, dry_run: bool = False) -> DataFrame:
-    """A CSV with a header; an error if the path is there and overwrite isn't asked for; with dry_run, only the rows."""
+def write_csv(df: DataFrame, path: str, overwrite: bool = False, dry_run: bool = False, bom: bool = False) -> DataFrame:
+    """A CSV with a header; an error if the path is there and overwrite isn't asked for; with dry_run, only the rows; with bom, each file
+    begins with a byte-order mark."""
     if not dry_run:
-        df.write.mode("overwrite" if overwrite else "errorifexists").csv(path, header=True, escape='"', emptyValue="")
+        out = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0]) if bom else df
+        out.write.mode("overwrite" if overwrite else "errorifexists").csv(path, header=True, escape='"', emptyValue="", encoding="UTF-8")
     return df
 
 
@@ -98,6 +99,30 @@ def write_sheets(sheets: dict[str, DataFrame], path: str, overwrite: bool = Fals
         df.write.mode("overwrite" if overwrite else "errorifexists").parquet(f"{path}/{name}")
 
 
+def write_cache(df: DataFrame, path: str) -> None:
+    """A table that takes the place of the one at `path` only when it is whole: written beside it, then renamed."""
+    spark = df.sparkSession
+    jvm, beside = spark.sparkContext._jvm, f"{path.rstrip('/')}.new"
+    target, made, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, beside, f"{path.rstrip('/')}.old"))
+    df.write.mode("overwrite").parquet(beside)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    remove(spark, old.toString())
+    if files.exists(target) and not files.rename(target, old):
+        raise OSError(f"{path} can't be moved")
+    if not files.rename(made, target):
+        raise OSError(f"{beside} can't be moved")
+    remove(spark, old.toString())
+
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table of write_cache(), the one before it if a writer was lost between its two renames, or None."""
+    for place in (path, f"{path.rstrip('/')}.old"):
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place, "_SUCCESS")
+        if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+            return spark.read.parquet(place)
+    return None
+
+
 def append_log(df: DataFrame, path: str) -> None:
     """Rows at the end of a log; each append is committed as a whole."""
     df.write.mode("append").parquet(path)
