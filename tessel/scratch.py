@@ -48,14 +48,14 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def drop(*tables: DataFrame) -> None:
-    """Remove written() tables that nothing reads any more, and let Spark delete the shuffle files of plans that are gone."""
+def drop(*tables: DataFrame, collect: bool = True) -> None:
+    """Remove written() tables that nothing reads any more, and, with collect, let Spark delete the shuffle files of plans that are gone."""
     for table in tables:
         path = getattr(table, "_tessel_path", None)
         if path:
             remove(table.sparkSession, path)
             _written[:] = [x for x in _written if x[1] != path]
-    if tables:
+    if tables and collect:
         gc.collect()
         tables[0].sparkSession.sparkContext._jvm.System.gc()
 
