@@ -132,8 +132,8 @@ def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"), min_lines=2)
-    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    out = line_dedup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"), min_lines=2, with_lengths=True)
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"), "longest_run")
 
 
 def op10_line_dedup_long(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,10 +148,13 @@ f AS (SELECT *, regexp_matches(line, '[^\x20\x09-\x0D]') AS filled FROM a),
 n AS (SELECT *, sum(CAST(filled AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM f),
 pairs AS (SELECT doc_id, n, line, lead(line) OVER (PARTITION BY doc_id ORDER BY n) AS next FROM n WHERE filled),
 later AS (SELECT doc_id, n FROM (SELECT doc_id, n, row_number() OVER (PARTITION BY line, next ORDER BY doc_id, n) AS k FROM pairs WHERE next IS NOT NULL) WHERE k > 1),
-gone AS (SELECT DISTINCT doc_id, unnest([n, n + 1]) AS n FROM later)
-SELECT n.doc_id, CAST(count(*) FILTER (WHERE filled) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE filled AND gone.n IS NOT NULL) AS BIGINT) AS n_removed,
+gone AS (SELECT DISTINCT doc_id, unnest([n, n + 1]) AS n FROM later),
+same AS (SELECT a.doc_id, a.n, b.doc_id AS other, b.n - a.n AS gap FROM n a JOIN n b ON a.filled AND b.filled AND a.line = b.line AND (a.doc_id <> b.doc_id OR a.n <> b.n)),
+runs AS (SELECT doc_id, count(*) AS c FROM (SELECT *, n - row_number() OVER (PARTITION BY doc_id, other, gap ORDER BY n) AS island FROM same) GROUP BY doc_id, other, gap, island HAVING count(*) >= 2),
+longest AS (SELECT doc_id, max(c) AS c FROM runs GROUP BY doc_id)
+SELECT n.doc_id, coalesce(any_value(longest.c), 0) AS longest_run, CAST(count(*) FILTER (WHERE filled) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE filled AND gone.n IS NOT NULL) AS BIGINT) AS n_removed,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT filled OR gone.n IS NULL), '')) AS kept_sha256
-FROM n LEFT JOIN gone ON n.doc_id = gone.doc_id AND n.n = gone.n GROUP BY n.doc_id
+FROM n LEFT JOIN gone ON n.doc_id = gone.doc_id AND n.n = gone.n LEFT JOIN longest ON longest.doc_id = n.doc_id GROUP BY n.doc_id
 """
 
 

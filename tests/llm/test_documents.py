@@ -96,6 +96,22 @@ def test_line_dedup(spark, docs, nothing, depth):
             yield doc_id, text if d not in gone else "\n".join(out), len(sequences[d]), len(gone.get(d, ()))
 
     assert got(line_dedup.deduplicate(frame(spark, rows), depth), "doc_id", "text", "n_lines", "n_removed") == want(brute())
+    if depth in (2, 3):
+        sequences = {(d, i): [x for x in (t or "").split("\n") if words(x)] for i, (d, t) in enumerate(rows)}
+        first = {}
+        for key, row in zip(sequences, rows):
+            first.setdefault(row, key)  # rows that are repeated whole are one document
+        suffixes = [(key, n, sequences[key][n:]) for key in first.values() for n in range(len(sequences[key]))]
+
+        def common(a, b):
+            return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+        def longest(d, i):
+            found = [common(s, t) for key, n, s in suffixes if key == first[rows[i]] for other, m, t in suffixes if (other, m) != (key, n)]
+            return max([k for k in found if k >= 2], default=0)
+
+        out = line_dedup.deduplicate(frame(spark, rows), depth, with_lengths=True)
+        assert got(out, "doc_id", "text", "n_lines", "n_removed", "longest_run") == want((*r, longest(rows[i][0], i)) for i, r in enumerate(brute()))
     twice = line_dedup.deduplicate(frame(spark, [(1, "a\nb\nc"), (1, "a\nb\nc"), (2, "q\na\nb")]), 2)
     if depth == 2:
         assert got(twice, "doc_id", "text") == want([(1, "a\nb\nc"), (1, "a\nb\nc"), (2, "q")])
