@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .common import id_type, slices, texts, utf8
+from .common import id_type, settled, texts, utf8
 
 #: Texts are encoded together until they have this many bytes.
 GROUP_BYTES = 16 << 20
@@ -468,13 +468,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
     def run(batches):
         encoder, _ = loaded(ranks_path, pattern)
-        for batch in batches:
-            for part in slices(batch, "text", GROUP_BYTES):
-                ids, counts = encoder.encode_many(utf8(part.column("text")))
-                found = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), found], ["doc_id", "ids"])
+        for part in batches:
+            ids, counts = encoder.encode_many(utf8(part.column("text")))
+            found = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(ids.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), found], ["doc_id", "ids"])
 
-    return rows.mapInArrow(run, f"doc_id {id_type(rows)}, ids array<int>")
+    return rows.mapInArrow(settled(run, GROUP_BYTES), f"doc_id {id_type(rows)}, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -498,17 +497,16 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
 
     def run(batches):
         encoder, decoder = loaded(ranks_path, pattern)
-        for batch in batches:
-            for part in slices(batch, "text", GROUP_BYTES):
-                ids, counts = encoder.encode_many(utf8(part.column("text")))
-                ids_sha, decoded_sha = [], []
-                for own in np.split(ids.astype("<u4"), np.cumsum(counts)[:-1]):
-                    ids_sha.append(hashlib.sha256(own.tobytes()).hexdigest())
-                    machine, digest = Utf8Machine("strict"), hashlib.sha256()
-                    for chunk in decoder.stream_bytes(own.tolist()):
-                        digest.update(machine.feed(chunk).encode())
-                    digest.update(machine.close().encode())
-                    decoded_sha.append(digest.hexdigest())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(decoded_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return rows.mapInArrow(run, f"doc_id {id_type(rows)}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+        for part in batches:
+            ids, counts = encoder.encode_many(utf8(part.column("text")))
+            ids_sha, decoded_sha = [], []
+            for own in np.split(ids.astype("<u4"), np.cumsum(counts)[:-1]):
+                ids_sha.append(hashlib.sha256(own.tobytes()).hexdigest())
+                machine, digest = Utf8Machine("strict"), hashlib.sha256()
+                for chunk in decoder.stream_bytes(own.tolist()):
+                    digest.update(machine.feed(chunk).encode())
+                digest.update(machine.close().encode())
+                decoded_sha.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(decoded_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return rows.mapInArrow(settled(run, GROUP_BYTES), f"doc_id {id_type(rows)}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -61,6 +62,26 @@ def arrow_schema(ddl: dict[str, pa.DataType]) -> pa.Schema:
     return pa.schema(list(ddl.items()))
 
 
+def settled(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], most: int = 8 << 20) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run over parts of the batches with at most `most` bytes of text; at the end of a task, memory that isn't used any more goes back to the
+    system, as the worker may stay idle beside others."""
+
+    def parts(batches):
+        for batch in batches:
+            column = "text" if "text" in batch.schema.names else "__text"
+            yield from slices(batch, column, most)
+
+    def settled_run(batches):
+        yield from run(parts(batches))
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return settled_run
+
+
 def groups(rows: list, weight: Callable[[object], int], most: int) -> Iterator[list]:
     """Consecutive rows whose weights sum to about `most`; every row is in one group."""
     part, total = [], 0

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import Filter, byte_rows, drop, id_type, plain, shingles, texts, word_hashes, written
+from .common import Filter, byte_rows, drop, id_type, plain, settled, shingles, texts, word_hashes, written
 
 FRAGMENTS = 4
 MIN_HASHES = 8
@@ -178,7 +178,7 @@ def _survey(docs: DataFrame, size: int) -> DataFrame:
             columns = [none.cast(kind), none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.list_(pa.int64())), none.cast(pa.list_(pa.int64())), none.cast(pa.binary()), none.cast(pa.int64()), pa.array([i for i, _ in slices], pa.int32()), pa.array([c for _, c in slices], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(run, f"doc_id {id_type(docs)}, n bigint, key binary, least array<bigint>, signature array<bigint>, long binary, copy bigint, slice int, counts binary")
+    return docs.mapInArrow(settled(run), f"doc_id {id_type(docs)}, n bigint, key binary, least array<bigint>, signature array<bigint>, long binary, copy bigint, slice int, counts binary")
 
 
 def _sketch(survey: DataFrame) -> np.ndarray:
@@ -245,7 +245,7 @@ def _prefixes(docs: DataFrame, size: int, percent: int, held) -> DataFrame:
             columns = [pa.array(keys, pa.binary()), pa.array(ns, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(scores, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["key", "n", "prefix", "score"])
 
-    return docs.select("text").mapInArrow(run, "key binary, n bigint, prefix array<bigint>, score bigint")
+    return docs.select("text").mapInArrow(settled(run), "key binary, n bigint, prefix array<bigint>, score bigint")
 
 
 def _sets(docs: DataFrame, size: int, pairs: DataFrame, nodes: DataFrame, held_sketch) -> DataFrame:
@@ -274,7 +274,7 @@ def _sets(docs: DataFrame, size: int, pairs: DataFrame, nodes: DataFrame, held_s
             columns = [pa.array(keys, pa.binary()), pa.array(fragments, pa.list_(pa.binary())), *(pa.array([s[i] for s in sides], pa.bool_()) for i in (0, 1))]
             yield pa.RecordBatch.from_arrays(columns, ["key", "fragments", "first", "second"])
 
-    return docs.select("text").mapInArrow(run, "key binary, fragments array<binary>, first boolean, second boolean")
+    return docs.select("text").mapInArrow(settled(run), "key binary, fragments array<binary>, first boolean, second boolean")
 
 
 def _links(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
@@ -351,6 +351,8 @@ def components(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str =
     drop(prefixes, shared)
     second_links = _links(pairs, _sets(rows, size, pairs, nodes, sketch), percent)
 
+    sketch.destroy()
+
     # the links between components, contracted; then the nodes' components and the documents'
     of = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")).hint("merge")
     between = second_links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import remove
-from .common import Filter, byte_rows, drop, groups, id_type, mix, new_path, shingles, slices, texts, word_hashes, written
+from .common import Filter, byte_rows, drop, groups, id_type, mix, new_path, settled, shingles, texts, word_hashes, written
 
 SHINGLE = 8
 #: Places that are handled at once within one long text.
@@ -147,7 +147,7 @@ def fingerprints(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text
                     fp, n = np.unique(np.concatenate(found), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), number, np.int32)), pa.array(fp.view(np.int64)), pa.array(n)], ["batch", "fp", "n"])
 
-    return rows.mapInArrow(run, "batch int, fp bigint, n bigint")
+    return rows.mapInArrow(settled(run, 16 << 20), "batch int, fp bigint, n bigint")
 
 
 def _with_own(corpus: DataFrame, repeated: DataFrame, window: int) -> DataFrame:
@@ -201,13 +201,12 @@ def _places(corpus: DataFrame, repeated: DataFrame, window: int) -> DataFrame:
         return pa.RecordBatch.from_arrays(columns, ["key", "first", "many", "fp", "whole", "singles"])
 
     def run(batches):
-        for batch in batches:
-            for part in slices(batch, "text", 16 << 20):
-                rows = place_rows(byte_rows(part), part.column("own").to_pylist() if not held else [])
-                if rows is not None:
-                    yield rows
+        for part in batches:
+            rows = place_rows(byte_rows(part), part.column("own").to_pylist() if not held else [])
+            if rows is not None:
+                yield rows
 
-    return source.mapInArrow(run, "key binary, first bigint, many bigint, fp bigint, whole bigint, singles binary")
+    return source.mapInArrow(settled(run), "key binary, first bigint, many bigint, fp bigint, whole bigint, singles binary")
 
 
 def _masks(places: DataFrame) -> DataFrame:
@@ -285,4 +284,4 @@ def deduplicate(docs: DataFrame, window: int = 35, history: DataFrame | None = N
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
     keyed = rows.withColumn("key", F.unhex(F.md5("text"))).join(hit, "key", "left").select("doc_id", "text", "hits")
-    return keyed.mapInArrow(run, f"doc_id {id_type(rows)}, n_words bigint, n_removed bigint, kept string")
+    return keyed.mapInArrow(settled(run), f"doc_id {id_type(rows)}, n_words bigint, n_removed bigint, kept string")
