@@ -158,9 +158,23 @@ FROM n LEFT JOIN gone ON n.doc_id = gone.doc_id AND n.n = gone.n LEFT JOIN longe
 """
 
 
+_OP10_LONG_SQL = r"""
+WITH a AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+f AS (SELECT *, regexp_matches(line, '[^\x20\x09-\x0D]') AS filled FROM a),
+n AS (SELECT *, sum(CAST(filled AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM f),
+pairs AS (SELECT doc_id, n, line, lead(line) OVER (PARTITION BY doc_id ORDER BY n) AS next FROM n WHERE filled),
+later AS (SELECT doc_id, n FROM (SELECT doc_id, n, row_number() OVER (PARTITION BY line, next ORDER BY doc_id, n) AS k FROM pairs WHERE next IS NOT NULL) WHERE k > 1),
+long AS (SELECT doc_id, n FROM (SELECT doc_id, n, row_number() OVER (PARTITION BY line ORDER BY doc_id, n) AS k FROM n WHERE filled AND len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 50) WHERE k > 1),
+gone AS (SELECT doc_id, unnest([n, n + 1]) AS n FROM later UNION SELECT doc_id, n FROM long)
+SELECT n.doc_id, CAST(count(*) FILTER (WHERE filled) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE filled AND gone.n IS NOT NULL) AS BIGINT) AS n_removed,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT filled OR gone.n IS NULL), '')) AS kept_sha256
+FROM n LEFT JOIN gone ON n.doc_id = gone.doc_id AND n.n = gone.n GROUP BY n.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_quality, op2_bpe_codec, op3_substring_dedup, op4_token_counts, op5_decontaminate, op6_ngram_jaccard, op7_url_filter, op8_toxicity, op9_token_shards, op10_line_dedup, op10_line_dedup_long)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality": _OP1_SQL, "op10_line_dedup": _OP10_SQL, "op3_substring_dedup": _OP3_SQL, "op5_decontaminate": _OP5_SQL, "op6_ngram_jaccard": _OP6_SQL, "op7_url_filter": _OP7_SQL}
+    return {"op1_quality": _OP1_SQL, "op10_line_dedup": _OP10_SQL, "op10_line_dedup_long": _OP10_LONG_SQL, "op3_substring_dedup": _OP3_SQL, "op5_decontaminate": _OP5_SQL, "op6_ngram_jaccard": _OP6_SQL, "op7_url_filter": _OP7_SQL}
