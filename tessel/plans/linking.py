@@ -165,7 +165,7 @@ def guideline_judged(spark, sf_dir):
 @query("SELECT 'Nations' AS sheet, CAST(row_number() OVER (ORDER BY n_nationkey) + 1 AS BIGINT) AS row_in_sheet, CAST(n_nationkey AS VARCHAR) AS key, n_name AS name FROM nation UNION ALL SELECT 'Regions & more', row_number() OVER (ORDER BY r_regionkey) + 1, CAST(r_regionkey AS VARCHAR), r_name FROM region")
 def workbook_round_trip(spark, sf_dir):
     """Two tables as the formatted sheets of one workbook, read back by names in another case and spacing."""
-    path = new_path(spark, "workbook") + ".xlsx"
+    path = new_path(spark, "workbook") + "/book.xlsx"
     nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name").orderBy("n_nationkey")
     regions = table(spark, sf_dir, "region").select("r_regionkey", "r_name").orderBy("r_regionkey")
     workbook.write_workbook({"Nations": nations, "Regions & more": regions}, path, overwrite=True, widths={"n_name": 30})
