@@ -7,8 +7,8 @@ training text, so that the features are never gathered in one matrix. A score is
 buckets present, so it does not depend on length or on where in the text an n-gram stands.
 
 Training uses at most `most_rows` labelled rows (a documented bound; chosen by the hash of the identifier), which are the
-only ones broadcast or sent to the driver, as bucket numbers. What is broadcast for scoring is a weight for each of 2 ** 22 buckets
-(16 MB, whatever the data). Scoring is narrow.
+only ones broadcast; what is sent to the driver is their buckets that have a weight. What is broadcast for scoring is a weight for each of 2 ** 22 buckets
+(20 MB, whatever the data). Scoring is narrow.
 
 Defined cases: null text is scored as the empty text (the bias alone); a null identifier is not held out; labels that are
 null are ignored, and of several labels of one identifier the largest counts; without labels of both classes every
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_rows, drop, id_type, texts, written
+from .common import byte_rows, drop, groups, id_type, texts, written
 
 SIZES = (4, 6, 8)
 BITS = 22
@@ -58,9 +58,13 @@ def present(text: bytes) -> np.ndarray:
 class Model(NamedTuple):
     bias: float
     weights: np.ndarray  # by bucket, float32
+    used: np.ndarray  # by bucket, whether it has a weight: small enough for a processor's cache
 
     def score(self, text: bytes) -> float:
-        total = self.bias + float(self.weights[present(text)].sum(dtype=np.float64))
+        used = [found[self.used[found]] for found in buckets(text)]
+        total = self.bias
+        if used:
+            total += float(self.weights[np.unique(np.concatenate(used))].sum(dtype=np.float64))
         return float(1 / (1 + np.exp(-np.clip(total, -500, 500))))
 
 
@@ -68,28 +72,50 @@ def held_out(identifier: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(identifier.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def ratios(rows: list[tuple[np.ndarray, int]], apart: float = 5.0, smoothing: float = 1.0) -> np.ndarray:
-    """By bucket, the log ratio of the smoothed shares of toxic and of other texts that have it; 0 where the two shares are less than
-    `apart` standard errors apart, as such a difference may be chance."""
-    shares, sizes = [], []
-    for label in (1, 0):
-        counts, n = np.zeros(1 << BITS), 0
-        for found, y in rows:
-            if y == label:
-                counts[found] += 1
-                n += 1
-        shares.append((counts + smoothing) / (n + 2 * smoothing))
-        sizes.append(n)
-    one, zero = shares
-    pooled = (one * sizes[0] + zero * sizes[1]) / sum(sizes)
-    error = np.sqrt(pooled * (1 - pooled) * (1 / sizes[0] + 1 / sizes[1]))
-    return np.where(np.abs(one - zero) >= apart * error, np.log(one / zero), 0)
+class Features(NamedTuple):
+    """The buckets that a model uses, in order of their numbers, and their log-count ratios."""
+
+    chosen: np.ndarray
+    ratio: np.ndarray
+
+    def number(self, found: np.ndarray) -> np.ndarray:
+        """Places in `chosen` of those buckets that are in it."""
+        if not len(self.chosen):
+            return np.zeros(0, np.int32)
+        at = np.searchsorted(self.chosen, found)
+        at[at == len(self.chosen)] = 0
+        return at[self.chosen[at] == found].astype(np.int32)
+
+
+def choose(sample: DataFrame, n_one: int, n: int, apart: float = 5.0, smoothing: float = 1.0) -> Features:
+    """The buckets whose smoothed shares among toxic and other texts are `apart` standard errors apart or more (a smaller difference may be
+    chance), and the log ratios of the shares. sample has found, label; buckets are counted by task, then summed."""
+
+    def count(batches):
+        for batch in batches:
+            rows = list(zip(batch.column("found").to_pylist(), batch.column("label").to_pylist()))
+            for part in groups(rows, lambda r: len(r[0]), 16 << 20):
+                for label in (0, 1):
+                    found = [np.frombuffer(f, np.int32) for f, y in part if y == label]
+                    if found:
+                        bucket, n_texts = np.unique(np.concatenate(found), return_counts=True)
+                        none = np.zeros_like(n_texts)
+                        yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(n_texts if label else none), pa.array(none if label else n_texts)], ["bucket", "ones", "zeros"])
+
+    counted = sample.mapInArrow(count, "bucket int, ones bigint, zeros bigint").groupBy("bucket").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
+    one = (F.col("ones") + smoothing) / (n_one + 2 * smoothing)
+    zero = (F.col("zeros") + smoothing) / (n - n_one + 2 * smoothing)
+    pooled = (one * n_one + zero * (n - n_one)) / n
+    error = F.sqrt(pooled * (1 - pooled) * (1 / n_one + 1 / (n - n_one)))
+    best = counted.where(F.abs(one - zero) >= apart * error).select("bucket", F.log(one / zero).alias("ratio")).collect()
+    best.sort(key=lambda r: r["bucket"])
+    return Features(np.array([r["bucket"] for r in best], np.int64), np.array([r["ratio"] for r in best], np.float64))
 
 
 def _dual_step(alpha: float, margin: float, square: float, cost: float) -> float:
     """The new alpha of one text, between 0 and cost: square * (new - alpha) + margin + log(new / (cost - new)) = 0. The left side rises, so halving finds it."""
     low, high = 0.0, cost
-    for _ in range(50):
+    for _ in range(40):
         new = (low + high) / 2
         if square * (new - alpha) + margin + math.log(new / (cost - new)) > 0:
             high = new
@@ -98,11 +124,10 @@ def _dual_step(alpha: float, margin: float, square: float, cost: float) -> float
     return (low + high) / 2
 
 
-def fit(rows: list[tuple[np.ndarray, int]], cost: float = 0.3, rounds: int = 20) -> Model:
-    """rows: buckets present, and the label, of each training text; both labels occur. cost: of a text's loss against half the squared weights."""
-    ratio = ratios(rows)
-    rows = [(found[ratio[found] != 0], y) for found, y in rows]
-    w, bias = np.zeros(1 << BITS), 0.0  # of scaled features, and of a feature that all texts have
+def fit(features: Features, rows: list[tuple[np.ndarray, int]], cost: float = 0.3, rounds: int = 20) -> Model:
+    """rows: places in features.chosen, and the label, of each training text; both labels occur. cost: of a text's loss against half the squared weights."""
+    ratio = features.ratio
+    w, bias = np.zeros(len(ratio)), 0.0  # of scaled features, and of a feature that all texts have
     alpha = [cost / 2] * len(rows)
     squares = []
     for found, y in rows:
@@ -120,7 +145,9 @@ def fit(rows: list[tuple[np.ndarray, int]], cost: float = 0.3, rounds: int = 20)
             w[found] += change * scaled
             bias += change
             alpha[i] = new
-    return Model(bias, (w * ratio).astype(np.float32))
+    weights = np.zeros(1 << BITS, np.float32)
+    weights[features.chosen] = w * ratio
+    return Model(bias, weights, weights != 0)
 
 
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = 8_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -136,18 +163,27 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 8_000, id_col: st
     # at most most_rows rows are broadcast
     sample = written(texts(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("text", "label").mapInArrow(extract, "found binary, label int"), "toxicity-sample")
 
-    rows = [(np.frombuffer(r["found"], np.int32), r["label"]) for r in sample.orderBy(F.md5("found"), "label").collect()]
-    drop(sample)
-    n_one, n = sum(y for _, y in rows), len(rows)
+    by_label = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    n_one, n = by_label.get(1, 0), sum(by_label.values())
     if not 0 < n_one < n:
-        return Model(float(np.log((n_one + 1) / (n - n_one + 1))), np.zeros(1 << BITS, np.float32))
-    return fit(rows)
+        drop(sample)
+        return Model(float(np.log((n_one + 1) / (n - n_one + 1))), np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, bool))
+    features = choose(sample, n_one, n)
+
+    def select(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([features.number(np.frombuffer(f, np.int32)).tobytes() for f in batch.column("found").to_pylist()], pa.binary()), batch.column("label")], ["found", "label"])
+
+    # in an order of their own, as rows come in any
+    rows = sorted((bytes(r["found"]), r["label"]) for r in sample.mapInArrow(select, "found binary, label int").collect())
+    drop(sample)
+    return fit(features, [(np.frombuffer(found, np.int32), label) for found, label in rows])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """doc_id, score, predicted."""
     rows = texts(docs, id_col, text_col)
-    held = rows.sparkSession.sparkContext.broadcast(model)  # 16 MB, whatever the data
+    held = rows.sparkSession.sparkContext.broadcast(model)  # 20 MB, whatever the data
 
     def run(batches):
         model = held.value
