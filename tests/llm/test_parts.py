@@ -72,6 +72,73 @@ def test_prefix_counts_are_the_library():
     assert count(kept) <= 2048 < count(unspaced[: len(kept) + 3]) + 2 and len(kept) > 2048
 
 
+def test_counts_come_from_the_programme(monkeypatch):
+    """Totals and every prefix's counts, of pre-tokens of all lengths side by side, without the library's encoding, while states are forgotten."""
+    import pyarrow as pa
+
+    tokenizer = token_counts.loaded(P.path("word_bpe_49k.json"))
+    count = lambda text: len(tokenizer.library.encode(text, add_special_tokens=False).ids)
+    rng = random.Random(12)
+    parts = list("aAbé ß中文字'  \n.,;:!?#01ntsverll") + ["<|endoftext|>", "'re", "internation", "e\u0301"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 40))) for _ in range(300)] + ["", " ", "etaoin" * 400, "中文" * 300, "." * 2000, "ab" * 500]
+    expected = [count(t) for t in texts]
+
+    def refuse(*_):
+        raise AssertionError("encoded by the library")
+
+    monkeypatch.setattr(token_counts.WordTokenizer, "_flat", refuse)
+    assert [token_counts.PrefixCounts(tokenizer, t).total() for t in texts] == expected
+    for lanes, states in ((8192, 300_000), (16, 400)):
+        monkeypatch.setattr(tokenizer.machine.machine, "LANES", lanes)
+        monkeypatch.setattr(tokenizer.machine.machine, "MOST_STATES", states)
+        found = tokenizer.counts(pa.array(texts))
+        assert found.totals().tolist() == expected
+        last = token_counts.PrefixCounts(tokenizer, texts[-4], found, len(texts) - 4)
+        assert [last.at(k) for k in range(0, 2400, 37)] == [count(texts[-4][:k]) for k in range(0, 2400, 37)]
+    assert tokenizer.counts(pa.array([], pa.string())).totals().tolist() == []
+
+
+def test_prefix_counts_by_the_librarys_characters():
+    """Characters that are letters, signs or capitals to one version of Unicode alone."""
+    tokenizer = token_counts.loaded(P.path("word_bpe_49k.json"))
+    for c in "\u0558\u058b\u088f\u1c89\u208f\ua7cb\ua7dc\U00010940\U00010d50\U000105c9\u1ada\U000113c2\U00030000":
+        text = f"ab{c}c1{c}{c}'{c}s B{c}\u0301e\u0301{c} 'll{c}"
+        counts = token_counts.PrefixCounts(tokenizer, text)
+        assert [counts.at(k) for k in range(len(text) + 1)] == [len(tokenizer.library.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)], text
+
+
+def test_cuts_go_on_from_where_they_are(monkeypatch):
+    """A long word that isn't composed, or has special strings, is read about once, not once for each of its prefixes."""
+    import unicodedata
+
+    tokenizer = token_counts.loaded(P.path("word_bpe_49k.json"))
+    count = lambda text: len(tokenizer.library.encode(text, add_special_tokens=False).ids)
+    steps, step = [0], tokenizer.machine.machine.step
+
+    def counted(state, byte):
+        steps[0] += 1
+        return step(state, byte)
+
+    monkeypatch.setattr(tokenizer.machine.machine, "step", counted)
+    for text in (unicodedata.normalize("NFD", "việtnamtiếng") * 40, unicodedata.normalize("NFD", "한국어말씀") * 40, "ab<|endoftext|>" * 40):
+        steps[0] = 0
+        counts = token_counts.PrefixCounts(tokenizer, text)
+        assert [counts.at(k) for k in range(0, len(text) + 1, 3)] == [count(text[:k]) for k in range(0, len(text) + 1, 3)]
+        assert 0 < steps[0] < 10 * len(text.encode())
+
+
+def test_table_of_states_grows_at_an_end():
+    """The state after the end of a word may be the one for which the table of last tokens has no room yet."""
+    tokenizer = token_counts.WordTokenizer(P.path("word_bpe_49k.json"))
+    programme, rng = tokenizer.machine, random.Random(0)
+    machine = programme.machine
+    for _ in range(60):
+        machine._reset()
+        while len(machine.places) <= 1024:
+            word = "".join(rng.choices("etaoinshrdlu", k=30))
+            assert programme._piece(word.encode())[-1] == len(tokenizer.library.encode(word, add_special_tokens=False).ids)
+
+
 def test_shard_of_many_blocks(tmp_path):
     rng = np.random.default_rng(8)
     entries = [(sstable.key_of(k // 3), rng.integers(0, 70_000 if k % 5 == 0 else 60_000, k % 40).astype(np.uint32)) for k in range(3000)]
