@@ -17,12 +17,14 @@ from .tables import RANKED, query, table
 g AS (SELECT l_orderkey, arg_min(struct_pack(n := nation), l_linenumber).n AS first_one, CASE WHEN bool_and(nation IS NOT NULL) AND min(nation) = max(nation) THEN min(nation) END AS only_one FROM l GROUP BY l_orderkey)
 SELECT o_orderkey, CAST(first_one AS VARCHAR) AS first_nation, CAST(only_one AS VARCHAR) AS only_nation FROM orders LEFT JOIN g ON l_orderkey = o_orderkey""")
 def two_hop_links(spark, sf_dir):
-    """Orders through their lines to the suppliers' nations: by the first line, and where all lines agree."""
+    """Orders through their lines to the suppliers' nations: by the first line, and where all lines agree. Of lines with the same
+    number the first in the table is the first, as it is in the SQL; lines without a number are no first lines."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
     suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
-    link = lambda rows, name, **more: relational.link_two_hops(rows, lines, suppliers, ["l_orderkey"], ["l_suppkey"], "s_nationkey", [F.asc("l_linenumber")], **more).withColumnRenamed("s_nationkey", name)
-    out = link(link(orders, "first_nation"), "only_nation", unanimous=True)
+    order = [F.asc("l_linenumber"), F.asc("file"), F.asc("row")]
+    link = lambda rows, middle, name, **more: relational.link_two_hops(rows, middle, suppliers, ["l_orderkey"], ["l_suppkey"], "s_nationkey", order, **more).withColumnRenamed("s_nationkey", name)
+    out = link(link(orders, lines.where("l_linenumber IS NOT NULL"), "first_nation"), lines, "only_nation", unanimous=True)
     return out.select(F.col("l_orderkey").alias("o_orderkey"), F.col("first_nation").cast("string").alias("first_nation"), F.col("only_nation").cast("string").alias("only_nation"))
 
 

@@ -92,3 +92,18 @@ def test_verdict_caches(spark):
     hits = sum(r in log for r in requests)
     assert len(requests) + sum(1 for e in events if e[1] and e[1] < "2024-01-16") == len(events)
     assert sorted(run(spark, "verdict_cache_lookup", tables)) == [("hit", hits), ("miss", len(requests) - hits)]
+
+
+def test_two_hop_links_of_equal_lines(spark):
+    """The first of an order's lines with the least number, by its place in a table of several files."""
+    lines = [(o, 1 + k // 16, 1 + (7 * o + 5 * k) % 11) for k in range(40) for o in range(9)] + [(9, None, 3), (9, 2, 4)]
+    tables = {
+        "orders": ([(o,) for o in range(11)], "o_orderkey bigint"), "lineitem": (lines, "l_orderkey bigint, l_linenumber int, l_suppkey bigint"),
+        "supplier": ([(s, s) for s in range(1, 12)], "s_suppkey bigint, s_nationkey int"),
+    }
+    expected = [(o, str(1 + 7 * o % 11), None) for o in range(9)] + [(9, "4", None), (10, None, None)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")  # tasks of other rows than the files'
+    try:
+        assert sorted(run(spark, "two_hop_links", tables)) == expected
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
