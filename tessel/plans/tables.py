@@ -59,9 +59,9 @@ def positive(client, candidate):
 def known_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """client_id, class, n_candidates, rank: the rank of the client's known positive, which is its label's vector with the next
     higher remainder of vec_id by 7 (null if there is none)."""
-    rows = ranked(spark, sf_dir)
-    positive = F.col("candidate_id") % 7 == (F.col("client_id") + 1) % 7
-    return rows.groupBy("client_id", "class").agg(F.count("*").alias("n_candidates"), F.min(F.when(positive, F.col("distance_rank"))).alias("rank"))
+    rank = F.min(F.when(positive(F.col("client_id"), F.col("candidate_id")), F.col("distance_rank")))
+    plain = lambda rows: rows.groupBy("client_id", "class").agg(F.count("*").alias("n_candidates"), F.min_by("candidate_id", "distance_rank").alias("best_id"), rank.alias("rank"))
+    return per_client(spark, sf_dir, blocks.first_relevant(positive), "client_id {id}, class {label}, n_candidates bigint, best_id {id}, rank bigint", plain).drop("best_id")
 
 
 KNOWN = RANKED + """,
