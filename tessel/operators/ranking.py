@@ -56,20 +56,6 @@ def competition_by_client(pairs: DataFrame, correct: str) -> DataFrame:
     return marked.groupBy("client_id", "class").agg((1 + better).cast("bigint").alias("rank"), F.count("*").alias("n_candidates"))
 
 
-def nearest_in_class(items: DataFrame, id_col: str, class_col: str, vector_col: str, k: int, blocks: int = 16) -> DataFrame:
-    """client_id, candidate_id, class, similarity, distance, distance_rank of the k nearest others of each item's class.
-
-    A class is no join key by itself: candidates are dealt into blocks of it by a hash, clients meet each block in another task, and each
-    keeps its k best of a block before the blocks' best are ranked together."""
-    salted = items.withColumn("__block", F.pmod(F.xxhash64(id_col), F.lit(blocks)))
-    left = items.select(F.col(id_col).alias("client_id"), F.col(class_col).alias("class"), F.col(vector_col).alias("__a"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("__block"))
-    right = salted.select(F.col(id_col).alias("candidate_id"), F.col(class_col).alias("class"), F.col(vector_col).alias("__b"), "__block")
-    pairs = left.join(right, ["class", "__block"]).where("client_id <> candidate_id").select("client_id", "candidate_id", "class", "__block", cosine(F.col("__a"), F.col("__b")).alias("similarity"))
-    order = [F.desc("similarity"), F.asc("candidate_id")]
-    best = pairs.withColumn("__place", F.row_number().over(Window.partitionBy("client_id", "__block").orderBy(*order))).where(F.col("__place") <= k)
-    return distance_ranks(best.drop("__place", "__block")).where(F.col("distance_rank") <= k)
-
-
 def scoped_pairs(items: DataFrame, id_col: str, class_col: str, source_col: str, vector_col: str, clients: DataFrame | None = None) -> DataFrame:
     """client_id, candidate_id, class, similarity, scope: candidates of the client's class (scope class), and those of its class and
     source again (scope class+source)."""

@@ -68,8 +68,8 @@ def candidate_scopes(spark, sf_dir):
 
 @query(f"WITH {RANKED} SELECT client_id, candidate_id, round(similarity, 6) AS similarity, distance_rank FROM ranked WHERE distance_rank <= 10")
 def nearest_in_class(spark, sf_dir):
-    found = ranking.nearest_in_class(table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding", 10)
-    return found.select("client_id", "candidate_id", F.round("similarity", 6).alias("similarity"), "distance_rank")
+    plain = lambda rows: ranking.top_k(rows, 10).select("client_id", "candidate_id", F.round("similarity", 6).alias("similarity"), "distance_rank", F.col("distance_rank").alias("rank"))
+    return per_client(spark, sf_dir, blocks.nearest(10, None, 6), "client_id {id}, candidate_id {id}, similarity double, distance_rank bigint, rank bigint", plain).drop("rank")
 
 
 @query("SELECT source, doc_id, position FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS position FROM documents) WHERE position <= 10")
