@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import relational, stats, validation
-from ..scratch import written
+from ..operators import lexical, relational, stats, validation
 from .tables import query, table
 
 def _titles(spark, sf_dir):
@@ -100,34 +99,21 @@ lexical AS (SELECT doc_id, item_id, round(CASE WHEN nd <= ni THEN ca / nd ELSE c
 _LEXICAL = _LEXICAL.replace("__STOP__", "[" + ", ".join(f"'{w}'" for w in T.stop_words()) + "]")
 
 
-def _lexical(spark, sf_dir):
-    """doc_id, item_id, score of whole texts against all items, without the pairs that score 0. Words are matched once as
-    vocabularies, by their first five letters; a pair counts the words of its smaller side, the document's on a tie."""
-    words = lambda name, key: table(spark, sf_dir, name).select(key, T.normalized_words(F.array_distinct(T.tokens(F.col("text")))).alias("words"))
-    docs = written(words("documents", "doc_id").select("doc_id", F.size("words").alias("nd"), F.explode("words").alias("one")), "lexical-documents")
-    items = written(words("benchmark", "item_id").select("item_id", F.size("words").alias("ni"), F.explode("words").alias("two")), "lexical-items")
-    begin = lambda c: F.left(c, F.lit(T.LEAST_PREFIX))
-    same = docs.select("one").distinct().withColumn("begin", begin("one")).join(items.select("two").distinct().withColumn("begin", begin("two")), "begin")
-    same = same.where(T.same_word(F.col("one"), F.col("two"))).select("one", "two")
-    by_doc_word = same.join(items, "two").select("one", "item_id", "ni").distinct().groupBy("one").agg(F.collect_list(F.struct("item_id", "ni")).alias("items"))
-    by_item_word = items.groupBy("two").agg(F.collect_list(F.struct("item_id", "ni")).alias("items"))
-    ours = docs.join(by_doc_word, "one").select("doc_id", "nd", F.explode(F.filter("items", lambda i: i["ni"] >= F.col("nd"))).alias("i"))
-    theirs = docs.join(same, "one").select("doc_id", "nd", "two").distinct().join(by_item_word, "two").select("doc_id", "nd", F.explode(F.filter("items", lambda i: i["ni"] < F.col("nd"))).alias("i"))
-    shared = ours.union(theirs).groupBy("doc_id", "i.item_id").agg(F.count("*").alias("n"), F.first(F.least("nd", "i.ni")).alias("least"))
-    return shared.select("doc_id", "item_id", F.round(F.col("n") / F.col("least"), 6).alias("score"))
+def _texts(spark, sf_dir):
+    return table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text"
 
 
 @query(f"WITH {_LEXICAL} SELECT doc_id, item_id, score FROM lexical")
 def lexical_overlap(spark, sf_dir):
     """Whole texts against all items; pairs that it lacks score 0."""
-    return _lexical(spark, sf_dir)
+    return lexical.overlap(*_texts(spark, sf_dir))
 
 
 @query(f"""WITH {_LEXICAL}, bands AS (SELECT CASE WHEN score = 0 THEN '= 0' WHEN score < 0.1 THEN '0–0.1' ELSE '>= 0.1' END AS band, count(*) AS n FROM lexical GROUP BY 1
 UNION ALL SELECT '= 0', (SELECT count(*) FROM documents) * (SELECT count(*) FROM benchmark) - (SELECT count(*) FROM lexical)) SELECT band, CAST(sum(n) AS BIGINT) AS n FROM bands GROUP BY band HAVING sum(n) > 0""")
 def lexical_band_counts(spark, sf_dir):
     """All pairs of whole texts and items; the pairs that score 0 are what is left."""
-    scores = _lexical(spark, sf_dir).groupBy(T.lexical_band(F.col("score")).alias("band")).agg(F.count("*").alias("n"))
+    scores = lexical.score_counts(*_texts(spark, sf_dir)).groupBy(T.lexical_band(F.col("score")).alias("band")).agg(F.sum("n").alias("n"))
     counted = lambda name: table(spark, sf_dir, name).agg(F.count("*").alias(name))
     total = counted("documents").crossJoin(counted("benchmark")).select(F.lit("= 0").alias("band"), (F.col("documents") * F.col("benchmark")).alias("n"))  # one row
     scores = scores.where("band <> '= 0'")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessel.functions import text as T
-from tessel.operators import external, relational, sampling, splitting, validation
+from tessel.operators import external, lexical, relational, sampling, splitting, validation
 from tessel.scratch import new_path
 from tessel.sources import tables, workbook
 
@@ -140,3 +140,31 @@ def test_samples_by_md5(spark):
 
     out = [r["id"] for r in sampling.shuffled(spark.range(50), "id").collect()]
     assert out == sorted(range(50), key=lambda i: (hashlib.md5(f"42:{i}".encode()).hexdigest(), i))
+
+
+def test_plain_tokens_are_tokens(spark):
+    texts = [t for t in ODD_TEXTS if t] + ["Ärger über Öl, naïve Straße 12x", "a\U00010a01b é\U0001e8d0x", "Οι μήλα x-y ABC"]
+    out = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.tokens(F.col("t")).alias("a"), T.normalized_words(F.array_distinct(T.tokens(F.col("t")))).alias("w")).collect()
+    spelled = lexical._Spelled()
+    for r in out:
+        assert [x.decode() if isinstance(x, bytes) else x for x in T.plain_tokens(r["t"])] == r["a"], r["t"]
+        assert spelled.words(r["t"]) == set(r["w"])
+
+
+def test_lexical_overlap_joins_no_words(spark, monkeypatch):
+    """Nor do parts of the items or caches that are emptied change it."""
+    docs = spark.createDataFrame([(i, f"hidden word{i} treasure{i % 7} laptops cat") for i in range(60)], "doc_id int, text string")
+    items = spark.createDataFrame([(i, f"treasure{i} laptop cats word{i}") for i in range(9)] + [(9, None)], "item_id bigint, text string")
+    made = lexical.overlap(docs, "doc_id", "text", items, "item_id", "text")
+    assert "Join" not in made._jdf.queryExecution().executedPlan().toString()
+    found = sorted(map(tuple, made.collect()))
+    words = lambda df, k, c: df.select(k, T.normalized_words(T.tokens(F.col("text"))).alias(c))
+    scores = words(docs, "doc_id", "a").crossJoin(words(items, "item_id", "b")).select("doc_id", "item_id", F.round(T.overlap_score(F.col("a"), F.col("b")), 6).alias("score")).where("score > 0")
+    assert found == sorted(map(tuple, scores.collect()))
+    monkeypatch.setattr(lexical, "MOST_ITEM_WORDS", 5)
+    assert found == sorted(map(tuple, lexical.overlap(docs, "doc_id", "text", items, "item_id", "text").collect()))
+    spelled, few = lexical._Spelled(), lexical._Items([["laptop", "xyz"], ["cat"]])
+    monkeypatch.setattr(lexical, "MOST_CACHED", 1)
+    for _ in range(3):
+        places, scores = few.scores(spelled.words("laptops cat dog"))
+        assert list(places) == [0, 1] and list(scores) == [0.5, 1.0]
