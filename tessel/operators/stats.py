@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..scratch import written
 
 
 def style_profile(rows: DataFrame, class_col: str, title: str, description: str) -> DataFrame:
@@ -59,9 +60,33 @@ def coverage_summary(coverage: DataFrame, group: str) -> DataFrame:
     return coverage.groupBy(group).agg(first(90).alias("k_90"), first(95).alias("k_95"), first(100).alias("k_100"))
 
 
+def percentiles(df: DataFrame, column: str, shares: list[float]) -> DataFrame:
+    """One row, p0 .. : exact percentiles with linear interpolation; null without values. Values are counted, sorted by range and
+    written; only the ranges that hold a rank which is asked for are summed up row by row, so no task sees all values."""
+    counted = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("__value")).agg(F.count("*").alias("__n"))
+    placed = written(counted.orderBy("__value").withColumn("__partition", F.spark_partition_id()), "percentiles")
+    sizes = placed.groupBy("__partition").agg(F.sum("__n").alias("__size"))
+    before = F.sum("__size").over(Window.orderBy("__partition")) - F.col("__size")  # one row a partition
+    offsets = sizes.select("__partition", "__size", before.alias("__before"), F.sum("__size").over(Window.partitionBy(F.lit(0))).alias("__all"))
+    position = lambda p: F.lit(p) * (F.col("__all") - 1)
+    ranks = [(F.floor(position(p)), F.ceil(position(p))) for p in shares]
+    holds = lambda start, n, rank: (start <= rank) & (rank < start + n)
+    asked = F.lit(False)
+    for rank in (r for both in ranks for r in both):
+        asked = asked | holds(F.col("__before"), F.col("__size"), rank)
+    rows = placed.join(offsets.where(asked), "__partition")
+    start = F.col("__before") + F.sum("__n").over(Window.partitionBy("__partition").orderBy("__value").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")
+    rows = rows.withColumns({"__start": start, "__number": F.col("__value").cast("double")})
+    at = lambda rank: F.max(F.when(holds(F.col("__start"), F.col("__n"), rank), F.col("__number")))
+    found = rows.agg(F.max("__all").alias("__all"), *[at(r).alias(f"__{side}{i}") for i, both in enumerate(ranks) for side, r in zip(("low", "high"), both)])
+    between = lambda i, low, high: (high - position(shares[i])) * F.col(f"__low{i}") + (position(shares[i]) - low) * F.col(f"__high{i}")
+    return found.select(*[F.when(low == high, F.col(f"__low{i}")).otherwise(between(i, low, high)).alias(f"p{i}") for i, (low, high) in enumerate(ranks)])
+
+
 def describe(df: DataFrame, column: str, digits: int = 6) -> DataFrame:
-    at = lambda p: F.round(F.expr(f"percentile({column}, {p})"), digits)
-    return df.agg(F.count(column).alias("n"), F.round(F.avg(column), digits).alias("mean"), F.round(F.stddev(column), digits).alias("std"), F.min(column).alias("min"), at(0.25).alias("p25"), at(0.5).alias("p50"), at(0.75).alias("p75"), F.max(column).alias("max"))
+    r = lambda c: F.round(c, digits)
+    whole = df.agg(F.count(column).alias("n"), r(F.avg(column)).alias("mean"), r(F.stddev(column)).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"))
+    return whole.crossJoin(percentiles(df, column, [0.25, 0.5, 0.75])).select("n", "mean", "std", "min", r("p0").alias("p25"), r("p1").alias("p50"), r("p2").alias("p75"), "max")  # one-row tables
 
 
 def crosstab(df: DataFrame, row: str, column: str, values: list) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessel.functions import text as T
-from tessel.operators import external, lexical, relational, sampling, splitting, validation
+from tessel.operators import external, lexical, relational, sampling, splitting, stats, validation
 from tessel.scratch import new_path
 from tessel.sources import tables, workbook
 
@@ -179,3 +179,14 @@ def test_fingerprint_is_one_pass(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "regexp" not in plan.lower() and "rlike" not in plan.lower()
     assert [r["new"] for r in df.collect()] == [r["old"] for r in rows.select(old.alias("old")).collect()]
+
+
+def test_percentiles_by_ranges(spark):
+    """Equal to percentile(), without its table of all values in one task."""
+    for values in ([], [None], [3.5], [1.0, None, 2.0, 2.0, 2.0, 9.0], [float((i * 7919) % 1009) / 4 for i in range(3000)], [-0.0, 0.0, float("inf"), -5.5]):
+        df = spark.createDataFrame([(v,) for v in values], "x double").repartition(5)
+        exact = df.selectExpr(*[f"round(percentile(x, {p}), 6)" for p in (0.25, 0.5, 0.75)]).first()
+        made = stats.describe(df, "x")
+        assert "percentile(" not in made._jdf.queryExecution().executedPlan().toString()
+        r = made.first()
+        assert (r["p25"], r["p50"], r["p75"]) == tuple(exact) and r["n"] == sum(v is not None for v in values), values
